@@ -17,11 +17,13 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,51 +39,81 @@ SHARDS = "range int, shard int, before long, n_ids long, n_docs long, data binar
 class Params:
     tokenizer: str  # path of a vocabulary file of the tokenizers library
     end_id: int = 0
-    shard_ids: int = 1 << 20
-    cached_words: int = 300_000
+    shard_ids: int = 1 << 20  # a shard ends with the batch that reaches it
+    cached_words: int = 1_500_000  # of a Python worker
+    cached_pieces: int = 700_000
+    batch_docs: int = 1500
 
 
 class Encoder:
-    """The tokenizer with a cache of words.
+    """The tokenizer over batches of texts, with a cache of words.
 
-    Where one space stands between two other characters, no piece of the tokenizer's byte-level split crosses from before
-    that space, so a text is encoded piece by piece and most pieces come from the cache. Texts in which white space meets
-    white space, and those with the name of a special token, are encoded as they are.
+    The tokenizer's byte-level split never joins a space to what is before it, unless white space stands on both sides. So a
+    text is cut at each space and each distinct piece of a batch is encoded once, as it would be in its text; ids are then put
+    together by index. Texts with a space before white space (or at their end) are encoded whole. A piece of letters with
+    marks behind them is cut once more between the two, where the split parts them always. The cache never changes the ids.
     """
 
+    MARKS = ".,;:!?)]}$&%#*\"|"
+
     def __init__(self, p: Params):
         from tokenizers import Tokenizer
 
-        self.own, self.p, self.cache = Tokenizer.from_file(p.tokenizer), p, {}
-        self.added = [x.content for x in self.own.get_added_tokens_decoder().values()]
+        self.own, self.p = Tokenizer.from_file(p.tokenizer), p
         self.width = 2 if self.own.get_vocab_size() <= 1 << 16 and p.end_id < 1 << 16 else 4
-        self.end = self._bytes([p.end_id])
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, f"<u{self.width}").tobytes()
-
-    def pieces(self, text: str) -> list[str] | None:
-        parts = text.split(" ")
-        for x in parts:
-            if not x or x[0].isspace() or x[-1].isspace():
-                return None
-        if any(a in text for a in self.added):
-            return None
-        return parts[:1] + [" " + x for x in parts[1:]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text with the end id, as bytes."""
-        cut = [self.pieces(t) for t in texts]
-        cache = self.cache
-        if len(cache) > self.p.cached_words:
-            cache.clear()
-        new = list({x: None for parts in cut if parts for x in parts if x not in cache})
-        for i in range(0, len(new), 20_000):
-            group = new[i : i + 20_000]
-            cache.update(zip(group, (self._bytes(e.ids) for e in self.own.encode_batch(group, add_special_tokens=False)), strict=True))
-        whole = [i for i, parts in enumerate(cut) if parts is None]
-        done = dict(zip(whole, (self._bytes(e.ids) for e in self.own.encode_batch([texts[i] for i in whole], add_special_tokens=False)), strict=True))
-        return [(done[i] if parts is None else b"".join([cache[x] for x in parts])) + self.end for i, parts in enumerate(cut)]
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        kind = "H" if self.width == 2 else "I"
+        return [array(kind, e.ids).tobytes() for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        words, marks = self.words, self.MARKS
+        if len(words) > self.p.cached_words:
+            words.clear()
+        found = list(map(self.pieces.get, pieces))
+        missed = [i for i, c in enumerate(found) if c is None]
+        parts = []
+        for x in map(pieces.__getitem__, missed):
+            w = x.rstrip(marks)
+            parts.append((w, x[len(w) :]) if w and (w[1:] if w[0] == " " else w).isalpha() else (x, ""))
+        new = list(dict.fromkeys(y for part in parts for y in part if y and y not in words))
+        words.update(zip(new, self._encoded(new), strict=True))
+        words[""] = b""
+        for i, (w, m) in zip(missed, parts, strict=True):
+            found[i] = words[w] + words[m] if m else words[w]
+        if len(self.pieces) < self.p.cached_pieces:
+            self.pieces.update((pieces[i], found[i]) for i in missed)
+        return found
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of all texts, each with the end id, end to end; and the number of ids of each text."""
+        column = pc.fill_null(column.cast(pa.large_string()), "")
+        cut = pc.split_pattern(column, " ")
+        at = np.asarray(cut.offsets)
+        coded = cut.values.dictionary_encode()
+        distinct, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(coded.indices).astype(np.int64)
+        starts = at[:-1]  # pieces without a space before them
+        firsts = [distinct[i] for i in index[starts].tolist()]
+        odd = np.array([not x or x[0].isspace() for x in distinct], bool)[index]
+        odd[starts] = False
+        whole = np.flatnonzero(np.add.reduceat(odd, starts)) if len(starts) else starts
+        texts = [column[int(i)].as_py() for i in whole]
+        codes = [*self._pieces([" " + x for x in distinct]), *self._pieces(firsts), *self._encoded(texts), np.array([self.p.end_id], f"<u{self.width}").tobytes()]
+        # the order in which the codes stand: the first piece, the others, the end; or the whole text, the end
+        n, k = len(column), np.diff(at)
+        index[starts] = len(distinct) + np.arange(n)
+        keep = np.ones(len(index), bool)
+        for j, i in enumerate(whole.tolist()):
+            keep[at[i] + 1 : at[i + 1]] = False
+            index[at[i]], k[i] = len(distinct) + n + j, 1
+        ends = np.cumsum(k)
+        order = np.insert(index[keep], ends, len(codes) - 1)
+        flat, size = np.frombuffer(b"".join(codes), f"<u{self.width}"), np.array([len(c) for c in codes]) // self.width
+        before, many = np.cumsum(size) - size, size[order]
+        ids = flat[np.repeat(before[order] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+        return ids, np.add.reduceat(many, ends - k + np.arange(n)) if n else np.zeros(0, np.int64)
 
 
 ENCODERS: dict[Params, Encoder] = {}  # of this Python worker
@@ -93,13 +125,12 @@ def _encoder(p: Params) -> Encoder:
     return ENCODERS[p]
 
 
-def pack(doc_ids: list[int | None], parts: list[bytes], width: int) -> bytes:
-    """One shard. doc_ids: ascending, null ones last."""
+def pack(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
+    """One shard. doc_ids: ascending, null ones last; counts: ids of each document."""
     known = np.array([x for x in doc_ids if x is not None], np.int64)
     least = int(known[0]) if len(known) else 0
-    ends = np.cumsum([len(x) // width for x in parts])
-    head = HEAD.pack(MAGIC, width, len(parts), int(ends[-1]) if len(ends) else 0, len(parts) - len(known), least)
-    return b"".join([head, encode(ends), encode((known - np.int64(least)).view(np.uint64)), *parts])
+    head = HEAD.pack(MAGIC, ids.itemsize, len(counts), len(ids), len(counts) - len(known), least)
+    return b"".join([head, encode(np.cumsum(counts)), encode((known - np.int64(least)).view(np.uint64)), ids.tobytes()])
 
 
 class Shard:
@@ -126,7 +157,7 @@ class Shard:
 
 def shards(spark: SparkSession, docs: DataFrame, p: Params) -> DataFrame:
     """The written table of shards."""
-    bounded_batches(spark)
+    bounded_batches(spark, p.batch_docs)
     order = [F.col("doc_id").asc_nulls_last(), F.col("h").asc()]
     dealt = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
 
@@ -134,24 +165,25 @@ def shards(spark: SparkSession, docs: DataFrame, p: Params) -> DataFrame:
         from pyspark import TaskContext
 
         enc, at, k, before = _encoder(p), TaskContext.get().partitionId(), 0, 0
-        ids: list[int | None] = []
-        parts: list[bytes] = []
+        own: list[int | None] = []
+        parts: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
         held = 0
 
         def shard() -> pa.RecordBatch:
-            n = held // enc.width
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([k], pa.int32()), pa.array([before], pa.int64()), pa.array([n], pa.int64()), pa.array([len(parts)], pa.int64()), pa.array([pack(ids, parts, enc.width)], pa.binary())], names=["range", "shard", "before", "n_ids", "n_docs", "data"])
+            data = pack(own, np.concatenate(counts), np.concatenate(parts))
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([k], pa.int32()), pa.array([before], pa.int64()), pa.array([held], pa.int64()), pa.array([len(own)], pa.int64()), pa.array([data], pa.binary())], names=["range", "shard", "before", "n_ids", "n_docs", "data"])
 
         for b in batches:
-            texts, own = [x or "" for x in b.column(1).to_pylist()], b.column(0).to_pylist()
-            for i, x in zip(own, enc.encode(texts), strict=True):
-                ids.append(i)
-                parts.append(x)
-                held += len(x)
-                if held >= p.shard_ids * enc.width:
-                    yield shard()
-                    k, before, ids, parts, held = k + 1, before + held // enc.width, [], [], 0
-        if parts:
+            ids, many = enc.encode(b.column(1))
+            own += b.column(0).to_pylist()
+            parts.append(ids)
+            counts.append(many)
+            held += len(ids)
+            if held >= p.shard_ids:
+                yield shard()
+                k, before, own, parts, counts, held = k + 1, before + held, [], [], [], 0
+        if own:
             yield shard()
 
     return written(spark, dealt.mapInArrow(each, SHARDS), "token-shards")

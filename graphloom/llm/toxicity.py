@@ -27,8 +27,8 @@ from graphloom.llm.common import LOWER, bounded_batches, held_out, mixed
 
 @dataclass(frozen=True)
 class Params:
-    most_toxic: int = 1200  # labelled documents of each kind that are collected, at most
-    most_clean: int = 2400
+    most_toxic: int = 700  # labelled documents of each kind that are collected, at most
+    most_clean: int = 1400
     vocabulary: int = 4000  # of words and of starts of each length, beside toxic ones
     least_rate: float = 0.6  # of toxic documents among those with a toxic word
     least_surprise: float = 3.0  # log likelihood ratio of that rate beyond the log of the number of words
@@ -165,7 +165,7 @@ def train(texts: list[str], toxic: list[int], weight: list[float], p: Params = P
         token_label |= marked[of] & (y[doc] == 1)
         rank = np.argsort(-(n + marked * len(texts)), kind="stable")[: p.vocabulary + int(marked.sum())]
         vocabularies.append(kinds[np.sort(rank[n[rank] >= 2])])
-        ids.append(_ids(key, vocabularies[-1]))
+        ids.append(_ids(key, vocabularies[-1]).astype(np.int32))
     token_label = token_label.astype(float)
     base, chains = 0, []
     for t in parts:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import language_id, license_scan, source_mix, token_output, toxicity
+from graphloom.llm import language_id, license_scan, merkle, source_mix, token_output, toxicity
 from graphloom.llm.common import documents
 
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_id": lambda spark, d: language_id.query(spark, documents(spark, d)),
         "op4_token_output": lambda spark, d: token_output.query(spark, documents(spark, d)),
         "op5_source_mix": lambda spark, d: source_mix.query(spark, documents(spark, d)),
+        "op6_merkle": lambda spark, d: merkle.query(spark, documents(spark, d)),
         "op8_toxicity": lambda spark, d: toxicity.query(spark, documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
     }
 

@@ -5,12 +5,12 @@ hold them, rarest first. Two sets that reach the threshold share a shingle of th
 bound when the ceil(t n) - 1 longest lists are set aside), so only these are put into lists.
 
 - Short lists are merged: each pair in one is a candidate once its lengths allow it.
-- Long lists are not merged. Each is probed around one member, the one whose shingles are most widespread; what is linked to
-  it is one component. Members left in other components are then probed against all members of the list.
+- Longer lists are not merged, as their pairs grow with the square. Each is first probed around one member, the one that
+  stands in most lists; once components are known, members outside of a list's largest component are probed against all of it.
 - Candidates lose most strangers to a bound on the symmetric difference: the parity of hash buckets (1,024 bits) cannot
   differ in more places than the sets do.
-- What is left is counted exactly on whole sets: first one partner for each class; after components are known, only
-  pairs between different components. Pairs inside a component change no result and are not counted.
+- What is left is counted exactly on whole sets: first, for each class, the partner that shares most lists; then only pairs
+  between different components. Pairs inside a component change no result and are not counted.
 
 Which lists are long comes from counts over all documents: each task counts its classes' shingles exactly and reports those
 above a small share of its classes; at most `most_long` of the largest sums are known to all tasks (a bounded table). The order
@@ -41,7 +41,7 @@ from graphloom.llm.components import components
 class Params:
     words: int = 5
     percent: int = 80
-    long_list: int = 64  # a list with more members is probed, not merged
+    long_list: int = 4  # a list with more members is probed, not merged
     local_least: int = 4  # a task reports shingles that so many of its classes hold
     local_share: float = 0.0005
     most_long: int = 1 << 18
@@ -49,6 +49,7 @@ class Params:
 
 
 WORDS = 16  # longs of the parity sketch
+STEPS = (7919, 104729)  # of the two bits of a document in the sieve
 ENTRY = np.dtype([("shingle", "<u8"), ("class", "<i8"), ("n", "<u4")])
 
 
@@ -114,7 +115,7 @@ def classes(spark: SparkSession, docs: DataFrame, p: Params) -> DataFrame:
 
 def lists(spark: SparkSession, docs: DataFrame, long_: tuple[np.ndarray, np.ndarray], p: Params) -> DataFrame:
     """Written rows of two kinds: a candidate pair of a short list (a < b, n of each) and a member of a long list (shingle,
-    class, n, how widespread its shingles are)."""
+    class, n)."""
     parts = partitions(spark) * 4
     hot, often = long_
     t = p.percent
@@ -171,8 +172,8 @@ def lists(spark: SparkSession, docs: DataFrame, long_: tuple[np.ndarray, np.ndar
             for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if data is not None:
                     held.setdefault(k, []).append(data)
-        for k in list(held):
-            yield from _merged(np.frombuffer(b"".join(held.pop(k)), ENTRY), p)
+        if held:
+            yield from _merged(np.frombuffer(b"".join(x for k in list(held) for x in held.pop(k)), ENTRY), p)
 
     OUT = ["kind", "shingle", "a", "b", "n", "m", "central"]
     dealt = docs.select("text").mapInArrow(emit, "bucket int, data binary, shingle long, class long, n long, central double").repartition(partitions(spark), "bucket")
@@ -220,32 +221,31 @@ def _close(p: Params, x: str, y: str, n: Column, m: Column) -> Column:
 
 
 def _sets(spark: SparkSession, docs: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
-    """Written (class, shingles as bytes) of wanted classes. A bit sieve of fixed size, filled from all wanted classes, keeps
-    most others from being moved; what it lets through besides is dropped by a join."""
+    """Written (class, shingles as bytes) of wanted classes (class, least doc_id), without moving a text. A bit sieve of fixed
+    size, filled from all wanted classes, lets their first documents through, and few others, which do no harm."""
     size = p.sieve_bits
-    words = {r["w"]: r["x"] for r in wanted.select(F.pmod("class", F.lit(size)).alias("k")).groupBy(F.floor(F.col("k") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k % 64 as int))")).alias("x")).collect()}
-    sieve = np.zeros(size // 64, np.int64)
-    for k, x in words.items():
-        sieve[k] = x
-    sieve = np.unpackbits(sieve.view(np.uint8), bitorder="little")
-    packed = np.packbits(sieve)
+    places = [F.pmod(F.pmod("class", F.lit(size)) + k * F.pmod(F.coalesce("least", F.lit(0)), F.lit(size)), F.lit(size)) for k in STEPS]
+    ones = wanted.select(F.explode(F.array(*places)).alias("k")).groupBy(F.floor(F.col("k") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k % 64 as int))")).alias("x"))
+    words = np.zeros(size // 64, np.int64)
+    for r in ones.collect():
+        words[r["w"]] = r["x"]
+    sieve = words.tobytes()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = np.unpackbits(packed), set()
+        bits, seen = np.unpackbits(np.frombuffer(sieve, np.uint8), bitorder="little"), set()
         for b in batches:
             cls, data = [], []
-            for s in shingle_sets(b.column(0), p.words):
+            for i, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1), p.words), strict=True):
                 if len(s):
                     c = class_of(s)
-                    if bits[c % size] and c not in seen:
+                    if c not in seen and all(bits[(c % size + k * ((i or 0) % size)) % size] for k in STEPS):
                         seen.add(c)
                         cls.append(c)
                         data.append(s.tobytes())
             if cls:
                 yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(data, pa.binary())], names=["class", "data"])
 
-    found = docs.select("text").mapInArrow(each, "class long, data binary")
-    return written(spark, found.join(wanted, "class", "left_semi").dropDuplicates(["class"]), "shingle-sets", "none")
+    return written(spark, docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, "class long, data binary"), "shingle-sets", "none")
 
 
 def _verified(spark: SparkSession, pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
@@ -262,6 +262,9 @@ def _verified(spark: SparkSession, pairs: DataFrame, sets: DataFrame, p: Params)
                 ok.append(100 * o >= p.percent * (len(x) + len(y) - o))
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
+    pairs = written(spark, pairs.select("a", "b"), "shingle-to-count")
+    needed = written(spark, pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), "shingle-needed")
+    sets = sets.join(needed, "class", "left_semi")
     left = sets.select(F.col("class").alias("a"), F.col("data").alias("x"))
     right = sets.select(F.col("class").alias("b"), F.col("data").alias("y"))
     return written(spark, pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(each, "a long, b long"), "shingle-links")
@@ -281,19 +284,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: Params = Params())
     sketch = lambda k: by_class.select(F.col("class").alias(k), F.col("parity").alias(f"p{k}"))
 
     short = listed.where("kind = 0").groupBy("a", "b").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.count(F.lit(1)).alias("shared"))
-    member = listed.where("kind = 1").select("shingle", F.col("a").alias("class"), "n", "central")
-    centre = written(spark, member.groupBy("shingle").agg(F.max(F.struct("central", "n", "class")).alias("c")).select("shingle", F.col("c.class").alias("b"), F.col("c.n").alias("m")), "shingle-centres")
-    star = member.join(centre, "shingle").where("class <> b").select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b"), F.when(F.col("class") < F.col("b"), F.col("n")).otherwise(F.col("m")).alias("n"), F.when(F.col("class") < F.col("b"), F.col("m")).otherwise(F.col("n")).alias("m"), F.lit(0).cast("long").alias("shared")).distinct()
-    star = star.where(100 * F.least("n", "m") >= p.percent * F.greatest("n", "m"))
-    pairs = short.unionByName(star).join(sketch("a"), "a").join(sketch("b"), "b").where(_close(p, "pa", "pb", F.col("n"), F.col("m"))).select("a", "b", "n", "m", "shared")
-    pairs = written(spark, pairs, "shingle-pairs")
-
-    # one partner for each class, and every star
-    way = pairs.select("a", "b", "shared").union(pairs.select("b", "a", "shared")).toDF("a", "b", "shared")
+    member = written(spark, listed.where("kind = 1").select("shingle", F.col("a").alias("class"), "n"), "shingle-members")
+    lists_of = member.groupBy("class").agg(F.count(F.lit(1)).alias("lists"))
+    member = written(spark, member.join(lists_of, "class"), "shingle-members")
+    centre = written(spark, member.groupBy("shingle").agg(F.max(F.struct("lists", "n", "class")).alias("c")).select("shingle", F.col("c.class").alias("b"), F.col("c.n").alias("m")), "shingle-centres")
+    star = member.join(centre, "shingle").where((F.col("class") != F.col("b")) & (100 * F.least("n", "m") >= p.percent * F.greatest("n", "m")))
+    star = star.groupBy(F.col("class").alias("a"), "b").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.count(F.lit(1)).alias("shared"))
+    near = lambda df: df.join(sketch("a"), "a").join(sketch("b"), "b").where(_close(p, "pa", "pb", F.col("n"), F.col("m"))).select("a", "b", "shared")
+    pairs, star = written(spark, near(short), "shingle-pairs"), near(star)
+
+    # one partner for each class
+    way = pairs.union(pairs.select("b", "a", "shared")).union(star)
     best = way.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("x")).select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b"))
-    first = best.union(pairs.where("shared = 0").select("a", "b")).distinct()
-    stragglers = member.select("class").distinct()
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(stragglers).distinct()
+    first = written(spark, best.distinct(), "shingle-first")
+    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(member.select("class")).distinct().join(by_class.select("class", "least"), "class")
     sets = _sets(spark, docs, wanted, p)
     links = _verified(spark, first, sets, p)
     found = components(spark, links)
@@ -307,7 +311,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: Params = Params())
     main = sizes.groupBy("shingle").agg(F.max(F.struct("k", "c")).alias("x"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("shingle", F.col("x.c").alias("main"))
     main = written(spark, main, "shingle-main")
     other = placed.join(main, "shingle").join(by_class.select("class", "parity"), "class")
-    other = written(spark, other, "shingle-members")
+    other = written(spark, other, "shingle-open")
     u, v = other.where("c <> main").alias("u"), other.alias("v")
     un, vn = F.col("u.n"), F.col("v.n")
     probe = u.join(v, (F.col("u.shingle") == F.col("v.shingle")) & (F.col("u.c") != F.col("v.c")) & (100 * F.least(un, vn) >= p.percent * F.greatest(un, vn)) & _close(p, F.col("u.parity"), F.col("v.parity"), un, vn))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import language_id, license_scan, merkle, near_duplicates, source_mix, suffix_dedup, token_output, toxicity
+from graphloom.llm import decontamination, language_id, license_scan, merkle, near_duplicates, source_mix, suffix_dedup, token_output, toxicity
 from graphloom.llm.common import documents
 
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_output": lambda spark, d: token_output.query(spark, documents(spark, d)),
         "op5_source_mix": lambda spark, d: source_mix.query(spark, documents(spark, d)),
         "op6_merkle": lambda spark, d: merkle.query(spark, documents(spark, d)),
+        "op7_decontamination": lambda spark, d: decontamination.query(spark, documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")),
         "op8_toxicity": lambda spark, d: toxicity.query(spark, documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
         "op9_suffix_dedup": lambda spark, d: suffix_dedup.query(spark, documents(spark, d)),
         "op10_near_duplicates": lambda spark, d: near_duplicates.query(spark, documents(spark, d)),

@@ -171,12 +171,12 @@ def marks(spark: SparkSession, keyed: DataFrame, keys: np.ndarray, p: Params) ->
             e, found, first, many = _settle(np.concatenate(held))
             for x, kind in found:
                 if len(x):
-                    yield _marks(x, kind, keys[(x["whole"] % np.uint64(n)).astype(np.int64)])
+                    yield _marks(x, kind, keys[np.arange(len(x)) % n])
             e, many = e[first], many[first]
             hot = many > p.local_phrases
             if hot.any():
                 x = e[hot]
-                yield _marks(x, BY_STRING, keys[(x["whole"] % np.uint64(n)).astype(np.int64)])
+                yield _marks(x, BY_STRING, keys[np.arange(len(x)) % n])
                 x = x[np.append(True, x["gram"][1:] != x["gram"][:-1])].copy()  # one of them tells that the gram is settled by strings
                 x["hot"] = True
                 e = np.concatenate([e[~hot], x])

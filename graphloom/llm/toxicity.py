@@ -14,15 +14,17 @@ Repeated rows score alike. Labels that repeat for a document count as toxic if o
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.bytewords import LETTERS, pieces, span_hashes, spans
-from graphloom.llm.common import LOWER, bounded_batches, held_out, mixed
+from graphloom.llm.bytewords import LETTERS, PIECE, span_hashes, spans
+from graphloom.llm.common import bounded_batches, held_out, mixed, runs, utf8
 
 
 @dataclass(frozen=True)
@@ -53,17 +55,28 @@ class Model:
     least_marginal: float
 
 
+def cased(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Number of the first text, bytes in lower case, bytes as they were (if as many, else the lower ones) and offsets of each
+    piece. Lower case is letter for letter, so code points keep their places."""
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    data, offsets = utf8(pc.utf8_lower(column))
+    was, before = utf8(column)
+    for i, j in runs(offsets, PIECE):
+        low, own = data[offsets[i] : offsets[j]], was[before[i] : before[j]]
+        yield i, low, own if len(own) == len(low) else low, offsets[i : j + 1] - offsets[i]
+
+
 class Tokens:
     """Words of letters of a piece of texts."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        self.starts, self.ends, self.at = spans(data, offsets, LETTERS)
-        low = LOWER[data]
+    def __init__(self, low: np.ndarray, was: np.ndarray, offsets: np.ndarray):
+        self.starts, self.ends, self.at = spans(low, offsets, LETTERS)
         self.hash = [span_hashes(low, self.starts, self.ends), *(span_hashes(low, self.starts, np.minimum(self.starts + k, self.ends)) for k in STARTS)]
-        upper = np.zeros(len(data) + 1, np.int64)
-        np.cumsum((data >= 65) & (data <= 90), out=upper[1:])
-        size = self.ends - self.starts
-        caps = (upper[self.ends] - upper[self.starts] == size) & (size > 1)
+        letters, changed = np.zeros(len(low) + 1, np.int64), np.zeros(len(low) + 1, np.int64)
+        np.cumsum((low & 0xC0) != 0x80, out=letters[1:])
+        np.cumsum(low != was, out=changed[1:])
+        size = letters[self.ends] - letters[self.starts]
+        caps = (changed[self.ends] - changed[self.starts] >= size) & (size > 1)
         self.other = np.stack([caps, size <= 3, size >= 12, np.ones(len(size), bool)], axis=1)
 
     def chains(self, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,8 +155,8 @@ def train(texts: list[str], toxic: list[int], weight: list[float], p: Params = P
         return None
     y, w = np.array(toxic), np.array(weight, float)
     parts, docs = [], []
-    for first, data, offsets in pieces(pa.array(texts, pa.large_string()), lower=False):
-        parts.append(Tokens(data, offsets))
+    for first, low, was, offsets in cased(pa.array(texts, pa.large_string())):
+        parts.append(Tokens(low, was, offsets))
         docs.append(np.repeat(np.arange(len(offsets) - 1) + first, np.diff(parts[-1].at)))
     doc = np.concatenate(docs)
     other = np.concatenate([t.other for t in parts]).astype(float)
@@ -220,8 +233,8 @@ def _expected(model: Model, t: Tokens) -> np.ndarray:
 def scores(model: Model | None, column: pa.Array) -> np.ndarray:
     out = np.zeros(len(column))
     if model is not None:
-        for first, data, offsets in pieces(column, lower=False):
-            t = Tokens(data, offsets)
+        for first, low, was, offsets in cased(column):
+            t = Tokens(low, was, offsets)
             out[first : first + len(offsets) - 1] = 1 / (1 + np.exp(-_features(_expected(model, t)) @ model.logistic))
     return out
 
@@ -229,8 +242,8 @@ def scores(model: Model | None, column: pa.Array) -> np.ndarray:
 def toxic_spans(model: Model, text: str, least: float = 0.5) -> list[tuple[int, int, float]]:
     """First and last code point (exclusive) and highest marginal of each run of tokens with a marginal of `least` or more."""
     found: list[tuple[int, int, float]] = []
-    for _, data, offsets in pieces(pa.array([text], pa.large_string()), lower=False):
-        t = Tokens(data, offsets)
+    for _, data, was, offsets in cased(pa.array([text], pa.large_string())):
+        t = Tokens(data, was, offsets)
         m = marginals(model, t)
         chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
         last = -2

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontamination, language_id, license_scan, merkle, near_duplicates, source_mix, suffix_dedup, token_output, toxicity
+from graphloom.llm import decontamination, language_id, license_scan, merkle, near_duplicates, secret_scan, source_mix, suffix_dedup, token_output, toxicity
 from graphloom.llm.common import documents
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": lambda spark, d: license_scan.query(spark, documents(spark, d)),
+        "op2_secret_scan": lambda spark, d: secret_scan.query(spark, documents(spark, d)),
         "op3_language_id": lambda spark, d: language_id.query(spark, documents(spark, d)),
         "op4_token_output": lambda spark, d: token_output.query(spark, documents(spark, d)),
         "op5_source_mix": lambda spark, d: source_mix.query(spark, documents(spark, d)),

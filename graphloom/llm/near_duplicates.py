@@ -7,8 +7,8 @@ bound when the ceil(t n) - 1 longest lists are set aside), so only these are put
 - Short lists are merged: each pair in one is a candidate once its lengths allow it.
 - Longer lists are not merged, as their pairs grow with the square. Each is first probed around one member, the one that
   stands in most lists; once components are known, members outside of a list's largest component are probed against all of it.
-- Candidates lose most strangers to a bound on the symmetric difference: the parity of hash buckets (1,024 bits) cannot
-  differ in more places than the sets do.
+- Candidates lose most strangers to a bound on the symmetric difference: the parities of hash buckets (1,024 bits, two bits a
+  shingle in larger sets) cannot differ in more places than the sets do.
 - What is left is counted exactly on whole sets: first, for each class, the partner that shares most lists; then only pairs
   between different components. Pairs inside a component change no result and are not counted.
 
@@ -48,7 +48,7 @@ class Params:
     sieve_bits: int = 1 << 23
 
 
-WORDS = 16  # longs of the parity sketch
+LEAST_BITS = 1024  # of the parity sketch
 STEPS = (7919, 104729)  # of the two bits of a document in the sieve
 ENTRY = np.dtype([("shingle", "<u8"), ("class", "<i8"), ("n", "<u4")])
 
@@ -59,7 +59,9 @@ def class_of(s: np.ndarray) -> int:
 
 
 def _parity(s: np.ndarray) -> np.ndarray:
-    bits = np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=1024) & 1
+    """Whether each bucket of shingles by their low bits holds an odd number of them."""
+    size = max(LEAST_BITS, 1 << (2 * len(s) - 1).bit_length()) if len(s) else LEAST_BITS
+    bits = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
 
 
@@ -95,7 +97,7 @@ def classes(spark: SparkSession, docs: DataFrame, p: Params) -> DataFrame:
                     seen.add(cls[-1])
                     held.append(s)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(len(n)), pa.int32()), b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(par) if par else np.zeros(0, np.int64)), WORDS).cast(pa.list_(pa.int64()))],
+                [pa.array(np.zeros(len(n)), pa.int32()), b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, par)]), pa.int32()), pa.array(np.concatenate(par) if par else np.zeros(0, np.int64)))],
                 names=["kind", "doc_id", "n", "class", "parity"],
             )
             if sum(map(len, held)) > 1 << 21:
@@ -215,9 +217,15 @@ def _merged(e: np.ndarray, p: Params) -> Iterator[pa.RecordBatch]:
 
 
 def _close(p: Params, x: str, y: str, n: Column, m: Column) -> Column:
-    """Whether two parity sketches allow the threshold: no more odd buckets than the sets may differ in."""
-    odd = F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, v: s + v)
-    return odd <= n + m - 2 * least_overlap(p, n + m)
+    """Whether two parity sketches allow the threshold: no more odd buckets than the sets may differ in. A sketch of twice the
+    size is folded: its halves are those of half as many buckets."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    k = F.least(F.size(x), F.size(y))
+    xor = lambda u, v: u.bitwiseXOR(v)
+    half = lambda c: F.when(F.size(c) == k, c).otherwise(F.zip_with(F.slice(c, 1, k), F.slice(c, k + 1, k), xor))
+    odd = F.aggregate(F.zip_with(half(x), half(y), lambda u, v: F.bit_count(xor(u, v))), F.lit(0), lambda s, v: s + v)
+    # sets whose sketches differ by more than one size are too unlike in length anyway
+    return (F.greatest(F.size(x), F.size(y)) <= 2 * k) & (odd <= n + m - 2 * least_overlap(p, n + m))
 
 
 def _sets(spark: SparkSession, docs: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
@@ -248,8 +256,8 @@ def _sets(spark: SparkSession, docs: DataFrame, wanted: DataFrame, p: Params) ->
     return written(spark, docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, "class long, data binary"), "shingle-sets", "none")
 
 
-def _verified(spark: SparkSession, pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
-    """Written links: pairs (a, b) of classes that reach the threshold, counted on whole sets."""
+def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, by_class: DataFrame, p: Params) -> DataFrame:
+    """Written links: pairs (a, b) of classes that reach the threshold, counted on whole sets. Only sets of these pairs move."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -263,8 +271,8 @@ def _verified(spark: SparkSession, pairs: DataFrame, sets: DataFrame, p: Params)
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     pairs = written(spark, pairs.select("a", "b"), "shingle-to-count")
-    needed = written(spark, pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), "shingle-needed")
-    sets = sets.join(needed, "class", "left_semi")
+    needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(by_class.select("class", "least"), "class")
+    sets = _sets(spark, docs, needed, p)
     left = sets.select(F.col("class").alias("a"), F.col("data").alias("x"))
     right = sets.select(F.col("class").alias("b"), F.col("data").alias("y"))
     return written(spark, pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(each, "a long, b long"), "shingle-links")
@@ -297,9 +305,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: Params = Params())
     way = pairs.union(pairs.select("b", "a", "shared")).union(star)
     best = way.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("x")).select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b"))
     first = written(spark, best.distinct(), "shingle-first")
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(member.select("class")).distinct().join(by_class.select("class", "least"), "class")
-    sets = _sets(spark, docs, wanted, p)
-    links = _verified(spark, first, sets, p)
+    links = _verified(spark, docs, first, by_class, p)
     found = components(spark, links)
 
     # what is left lies between components
@@ -317,7 +323,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: Params = Params())
     probe = u.join(v, (F.col("u.shingle") == F.col("v.shingle")) & (F.col("u.c") != F.col("v.c")) & (100 * F.least(un, vn) >= p.percent * F.greatest(un, vn)) & _close(p, F.col("u.parity"), F.col("v.parity"), un, vn))
     probe = probe.select(F.least("u.class", "v.class").alias("a"), F.greatest("u.class", "v.class").alias("b"))
     rest = rest.union(probe).distinct().join(first, ["a", "b"], "left_anti")
-    more = _verified(spark, rest, sets, p)
+    more = _verified(spark, docs, rest, by_class, p)
     found = components(spark, links.union(more))
 
     placed = by_class.join(found, F.col("class") == F.col("node"), "left").select("class", "least", F.coalesce("component", "class").alias("c"))
@@ -332,12 +338,16 @@ def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One document of each group stays, the one with the smallest doc_id; of rows with that same id, the first by text."""
-    found = near_duplicates(spark, docs).select(F.col("doc_id").alias("_d"), "component_id").where(F.col("_d").eqNullSafe(F.col("component_id")))
-    kept = found.select("_d").distinct()
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
-    return joined.withColumn("_k", F.row_number().over(once)).where("_k = 1 or doc_id is null").select(*docs.columns)
+    """One document of each group stays, the one with the smallest doc_id. Rows with a null id go by a hash of their text, behind
+    all ids; of rows that share an id the first by a hash of the text stays. Documents without words stay."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62)))
+    keyed = docs.withColumn("_key", key)
+    found = near_duplicates(spark, keyed.select(F.col("_key").alias("doc_id"), "text"))
+    found = written(spark, found.select(F.col("doc_id").alias("_gone"), (F.col("doc_id") == F.col("component_id")).alias("stays")), "near-kept")
+    gone = written(spark, found.groupBy("_gone").agg(F.max("stays").alias("stays")).where("not stays").select("_gone"), "near-gone")
+    kept = keyed.join(gone, F.col("_key") == F.col("_gone"), "left_anti")
+    first = Window.partitionBy("_key").orderBy(F.xxhash64("text"))
+    return kept.withColumn("_first", F.row_number().over(first)).where("_first = 1").select(*docs.columns)
 
 
 def oracle() -> str:

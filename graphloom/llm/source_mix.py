@@ -108,5 +108,16 @@ def mix(spark: SparkSession, docs: DataFrame, p: Params = Params()) -> DataFrame
     return row.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
+def stage(spark: SparkSession, docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """The documents of the mix, with their own columns: as often as they are taken whole, and once more if what is left of
+    their share is over half of them. A document without words is not taken. Rows of one id are told apart by their size."""
+    taken = mix(spark, docs, p).groupBy("doc_id", "source", "size").agg(F.max("taken").alias("taken"))
+    taken = taken.where("taken > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_copies")).where("_copies > 0")
+    taken = written(spark, taken, "mix-taken")
+    sized = docs.withColumn("_size", n_words(F.col("text")))
+    joined = sized.join(taken, sized["doc_id"].eqNullSafe(F.col("_d")) & sized["source"].eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n")))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return mix(spark, docs)

@@ -2,10 +2,462 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from graphloom.functions import paths, text
+from graphloom.functions.ids import node_id
+from graphloom.operators import build, display, embed, rollup, search, traverse
+from graphloom.plans.derived import Derived, sql, table
+from graphloom.schemas import UNRESOLVED
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+#: Entries of traversals.
+PART, REGION, CUSTOMER = 1, 0, 1
+ROOT_SEED = f"(SELECT id FROM keyed WHERE part = 'region' AND key = {REGION})"
+PART_SEED = f"(SELECT id FROM keyed WHERE part = 'part' AND key = {PART})"
+CUSTOMER_SEED = f"(SELECT id FROM keyed WHERE part = 'customer' AND key = {CUSTOMER})"
+#: Root folder of a path in SQL.
+ROOT_SQL = "split_part({0}, '/', 1)"
+
+
+def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
+
+
+# traversal
+
+
+def _reverse_sql(cyclic: bool, depth: int = 5) -> str:
+    return f"""WITH RECURSIVE {sql(cyclic)}, seed AS (SELECT id FROM keyed WHERE part = 'part' AND key = {PART}),
+r(id, d) AS (SELECT id, 0 FROM seed UNION SELECT e.source_id, d + 1 FROM r JOIN edges e ON e.target_id = r.id WHERE d < {depth}),
+dist AS (SELECT id, min(d) AS depth FROM r WHERE id NOT IN (SELECT id FROM seed) GROUP BY id),
+via AS (SELECT x.id, x.depth, min(struct_pack(p := e.target_id, t := e.edge_type)) AS v FROM dist x JOIN edges e ON e.source_id = x.id
+ JOIN (SELECT id, depth FROM dist UNION ALL SELECT id, 0 FROM seed) y ON y.id = e.target_id AND y.depth = x.depth - 1 GROUP BY ALL)"""
+
+
+BLAST_SQL = " SELECT n.id, n.node_type, n.name, n.title, n.file_path, CAST(v.depth AS INTEGER) AS depth, v.v.p AS via_id, v.v.t AS edge_type FROM via v JOIN nodes n ON n.id = v.id"
+
+
+@query("blast_radius", _reverse_sql(False) + BLAST_SQL)
+def blast_radius(spark, d):
+    g = Derived(spark, d)
+    return traverse.blast_radius(g.nodes, g.edges, g.key("part", PART))
+
+
+@query("blast_radius_cyclic", _reverse_sql(True) + BLAST_SQL)
+def blast_radius_cyclic(spark, d):
+    g = Derived(spark, d, cyclic=True)
+    return traverse.blast_radius(g.nodes, g.edges, g.key("part", PART))
+
+
+@query("blast_score", _reverse_sql(False) + f""",
+a AS (SELECT n.id, n.title, n.file_path, v.depth, {ROOT_SQL.format('n.file_path')} <> 'parts' AS crossing FROM via v JOIN nodes n ON n.id = v.id),
+c AS (SELECT count(*) AS n, count(*) FILTER (depth >= 3) AS far, count(*) FILTER (crossing) AS cross_n, (SELECT string_agg(title, ', ') FROM (SELECT title FROM a WHERE crossing ORDER BY depth, title LIMIT 3)) AS first, (SELECT file_path FROM nodes WHERE id = {PART_SEED}) AS path FROM a)
+SELECT n AS affected_count, round(greatest(0.0, 1.0 - CASE WHEN n > 5 THEN 0.2 ELSE 0 END - CASE WHEN cross_n > 0 THEN 0.1 ELSE 0 END - CASE WHEN far > 0 THEN 0.05 ELSE 0 END - CASE WHEN contains(lower(path), 'test') THEN 0 ELSE 0.15 END)::DOUBLE, 3) AS confidence,
+array_to_string(list_filter([CASE WHEN n > 5 THEN 'High fan-in: ' || n || ' callers/dependents will be affected.' END, CASE WHEN cross_n > 0 THEN 'Cross-module impact: ' || first || CASE WHEN cross_n > 3 THEN ' (+' || (cross_n - 3) || ' more)' ELSE '' END || '.' END,
+ CASE WHEN far > 0 THEN far || ' node(s) are indirect dependencies (3+ hops).' END, CASE WHEN NOT contains(lower(path), 'test') THEN 'No test file found for ''' || path || ''' — change is unverified.' END], lambda x: x IS NOT NULL), ' | ') AS risk_reasons FROM c""")
+def blast_score(spark, d):
+    g = Derived(spark, d)
+    return traverse.blast_score(g.nodes, g.edges, g.key("part", PART)).withColumn("risk_reasons", F.array_join("risk_reasons", " | "))
+
+
+def _forward_sql(seed: str, scope: str | None, depth: int) -> str:
+    inside = "TRUE" if scope is None else f"starts_with(n.file_path, '{scope.rstrip('/')}/')"
+    return f"""WITH RECURSIVE {sql()}, seed AS (SELECT {seed} AS id),
+r(id, d) AS (SELECT id, 0 FROM seed UNION SELECT e.target_id, d + 1 FROM r JOIN edges e ON e.source_id = r.id JOIN nodes n ON n.id = e.target_id WHERE d < {depth} AND {inside}),
+visited AS (SELECT id, min(d) AS depth FROM r GROUP BY id),
+ext AS (SELECT DISTINCT n.* FROM visited v JOIN edges e ON e.source_id = v.id JOIN nodes n ON n.id = e.target_id WHERE NOT {inside})"""
+
+
+SCOPE = "AFRICA"
+
+
+def _customer_path(g: Derived) -> str:
+    return g.parts["customer"].where(F.col("key") == CUSTOMER).select("file_path").head()[0]
+
+
+@query("context", _forward_sql(ROOT_SEED, None, 3) + " SELECT n.id, n.node_type, n.name, CAST(v.depth AS INTEGER) AS depth FROM visited v JOIN nodes n USING (id) WHERE depth > 0")
+def context(spark, d):
+    g = Derived(spark, d)
+    return traverse.Context(g.nodes, g.edges, g.key("region", REGION), 3).nodes.select("id", "node_type", "name", "depth")
+
+
+@query("context_scoped", _forward_sql(ROOT_SEED, SCOPE, 4) + " SELECT n.id, n.node_type, n.name, CAST(v.depth AS INTEGER) AS depth FROM visited v JOIN nodes n USING (id) WHERE depth > 0")
+def context_scoped(spark, d):
+    g = Derived(spark, d)
+    return traverse.Context(g.nodes, g.edges, g.key("region", REGION), 4, SCOPE + "/").nodes.select("id", "node_type", "name", "depth")
+
+
+@query("context_external", _forward_sql(ROOT_SEED, SCOPE, 3) + " SELECT id, node_type, name, file_path FROM ext")
+def context_external(spark, d):
+    g = Derived(spark, d)
+    return traverse.Context(g.nodes, g.edges, g.key("region", REGION), 3, SCOPE).external.select("id", "node_type", "name", "file_path")
+
+
+@query("context_edges", _forward_sql(CUSTOMER_SEED, None, 1) + " SELECT e.* FROM visited JOIN edges e ON e.source_id = visited.id")
+def context_edges(spark, d):
+    g = Derived(spark, d)
+    return traverse.Context(g.nodes, g.edges, g.key("customer", CUSTOMER), 1).edges
+
+
+@query("context_depth", _forward_sql(CUSTOMER_SEED, None, 3) + " SELECT CAST(max(depth) AS INTEGER) AS depth_reached FROM visited")
+def context_depth(spark, d):
+    g = Derived(spark, d)
+    return traverse.Context(g.nodes, g.edges, g.key("customer", CUSTOMER), 3).depth_reached
+
+
+@query("context_depth_first", _forward_sql(CUSTOMER_SEED, None, 3) + " SELECT id FROM visited WHERE depth > 0")
+def context_depth_first(spark, d):
+    g = Derived(spark, d)
+    out = traverse.context_depth_first(g.nodes, g.edges, g.key("customer", CUSTOMER), 3)
+    return spark.createDataFrame([(x,) for x in out["nodes"]], "id string")
+
+
+@query("successors", f"WITH {sql()} SELECT * FROM edges WHERE source_id = {CUSTOMER_SEED}")
+def successors(spark, d):
+    g = Derived(spark, d)
+    return traverse.successors(g.edges, g.key("customer", CUSTOMER))
+
+
+@query("predecessors", f"WITH {sql()} SELECT * FROM edges WHERE target_id = {PART_SEED}")
+def predecessors(spark, d):
+    g = Derived(spark, d)
+    return traverse.predecessors(g.edges, g.key("part", PART))
+
+
+@query("all_successors", f"WITH {sql()} SELECT source_id, count(*) AS degree, string_agg(target_id, ',' ORDER BY target_id, edge_type) AS targets FROM edges GROUP BY source_id")
+def all_successors(spark, d):
+    return traverse.all_successors(Derived(spark, d).edges).select("source_id", F.size("out").cast("long").alias("degree"), F.array_join(F.transform("out", lambda x: x["target_id"]), ",").alias("targets"))
+
+
+@query("edge_listing", f"""WITH {sql()}, s AS (SELECT * FROM edges WHERE edge_type NOT IN ('imports', 'defines', 'contains')),
+x AS (SELECT 'out' AS direction, edge_type, target_id AS id FROM s WHERE source_id = {CUSTOMER_SEED} UNION ALL SELECT 'in', edge_type, source_id FROM s WHERE target_id = {CUSTOMER_SEED})
+SELECT id, direction, edge_type, node_type, name, title, file_path FROM x JOIN nodes USING (id)""")
+def edge_listing(spark, d):
+    g = Derived(spark, d)
+    return traverse.edge_listing(g.nodes, g.edges, g.key("customer", CUSTOMER))
+
+
+@query("get_node", f"WITH {sql()} SELECT * FROM nodes WHERE id = {PART_SEED}")
+def get_node(spark, d):
+    g = Derived(spark, d)
+    return traverse.get_node(g.nodes, g.key("part", PART))
+
+
+# aggregates
+
+
+@query("feature_map", f"""WITH {sql()}, x AS (SELECT DISTINCT {ROOT_SQL.format('file_path')} AS folder, node_type, name FROM nodes WHERE node_type IN ('class', 'function', 'method')),
+g AS (SELECT folder, list(name ORDER BY name) FILTER (node_type = 'class') AS c, list(name ORDER BY name) FILTER (node_type = 'function') AS f, list(name ORDER BY name) FILTER (node_type = 'method') AS m FROM x GROUP BY folder)
+SELECT folder, {', '.join(f"array_to_string(list_concat(coalesce({c}, [])[1:20], CASE WHEN len({c}) > 20 THEN ['… +' || (len({c}) - 20) || ' more'] ELSE [] END), ',') AS {n}, CAST(coalesce(len({c}), 0) AS BIGINT) AS {n}_count" for c, n in (('c', 'classes'), ('f', 'functions'), ('m', 'methods')))} FROM g""")
+def feature_map(spark, d):
+    return rollup.feature_map(Derived(spark, d).nodes).withColumns({c: F.array_join(c, ",") for c in ("classes", "functions", "methods")})
+
+
+@query("graph_counts", f"WITH {sql()} SELECT (SELECT count(*) FROM nodes) AS node_count, (SELECT count(*) FROM edges) AS edge_count")
+def graph_counts(spark, d):
+    g = Derived(spark, d)
+    return rollup.counts(g.nodes, g.edges)
+
+
+@query("snapshot_hash", f"WITH {sql()} SELECT sha256(string_agg(id, '|' ORDER BY id)) AS snapshot_hash, count(*) AS node_count FROM nodes")
+def snapshot_hash(spark, d):
+    return rollup.snapshot_hash(Derived(spark, d).nodes)
+
+
+@query("node_ids", "SELECT o_orderkey, sha256('function:orders/' || o_orderstatus || ':order' || o_orderkey || ':' || o_orderkey) AS id FROM orders")
+def node_ids(spark, d):
+    o = table(spark, d, "orders")
+    key = F.col("o_orderkey").cast("string")
+    return o.select("o_orderkey", node_id(F.lit("function"), F.concat(F.lit("orders/"), "o_orderstatus"), F.concat(F.lit("order"), key), key).alias("id"))
+
+
+@query("node_rows", f"WITH {sql()} SELECT id, node_type AS type, name, title, file_path AS file, line_start || '-' || line_end AS lines, signature FROM nodes")
+def node_rows(spark, d):
+    return display.node_rows(Derived(spark, d).nodes)
+
+
+@query("edge_rows", f"WITH {sql()} SELECT left(source_id, 12) AS source, left(target_id, 12) AS target, edge_type FROM edges")
+def edge_rows(spark, d):
+    return display.edge_rows(Derived(spark, d).edges)
+
+
+# documents as nodes
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return docs.select(
+        F.col("doc_id").cast("string").alias("id"), F.lit("function").alias("node_type"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), F.col("text").alias("title"),
+        F.concat_ws("/", "lang", "source", F.col("doc_id").cast("string")).alias("file_path"), F.lit(1).alias("line_start"), F.lit(1).alias("line_end"), F.lit("").alias("signature"), F.col("lang").alias("keywords"),
+    )
+
+
+DOCS = "n AS (SELECT CAST(doc_id AS VARCHAR) AS id, 'doc' || doc_id AS name, text AS title, lang || '/' || source || '/' || doc_id AS file_path, lang AS keywords FROM documents)"
+FOLD = f"translate(lower({{0}}), '{text.ACCENTED}', '{text.PLAIN}')"
+TOK = "list_filter(regexp_split_to_array(" + FOLD + ", '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+IDF = "(CASE WHEN ln(({n} - {k} + 0.5) / ({k} + 0.5)) > 0 THEN ln(({n} - {k} + 0.5) / ({k} + 0.5)) ELSE 1e-6 END)"
+
+
+def _bm25(f: str, k: str) -> str:
+    return f"{IDF.format(n='s.n', k='s.' + k)} * {f} * 2.2 / ({f} + 1.2 * (0.25 + 0.75 * dl / s.avg))"
+
+
+def _words_sql(words: list[str]) -> str:
+    """CTEs t (counts f0.. and dl of each document) and s (statistics) for single words over title and keywords."""
+    fs = ", ".join(f"CAST(len(list_filter(tt, lambda x: x = '{w}')) + len(list_filter(tk, lambda x: x = '{w}')) AS DOUBLE) AS f{i}" for i, w in enumerate(words))
+    ks = ", ".join(f"count(*) FILTER (f{i} > 0) AS k{i}" for i in range(len(words)))
+    return f"""{DOCS}, w AS (SELECT n.*, {TOK.format('title')} AS tt, {TOK.format('keywords')} AS tk FROM n), t AS (SELECT id, name, file_path, CAST(len(tt) + len(tk) AS DOUBLE) AS dl, tt, tk, {fs} FROM w), s AS (SELECT count(*) AS n, avg(dl) AS avg, {ks} FROM t)"""
+
+
+def _ranked(df: DataFrame) -> DataFrame:
+    return df.select("id", F.round("rank_score", 6).alias("rank_score"))
+
+
+@query("search_bm25", f"WITH {_words_sql(['license', 'the'])} SELECT id, round({_bm25('f0', 'k0')} + {_bm25('f1', 'k1')}, 6) AS rank_score FROM t, s WHERE f0 > 0 AND f1 > 0")
+def search_bm25(spark, d):
+    return _ranked(search.full_text(_documents(spark, d), "license the"))
+
+
+@query("search_or_not", f"WITH {_words_sql(['token', 'license', 'token', 'public'])} SELECT id, round({' + '.join(_bm25(f'f{i}', f'k{i}') for i in (0, 1, 3))}, 6) AS rank_score FROM t, s WHERE (f0 > 0 OR f1 > 0) AND NOT f3 > 0")
+def search_or_not(spark, d):
+    return _ranked(search.full_text(_documents(spark, d), "(token OR license) NOT public"))
+
+
+PHRASE_F = "len(list_filter(range(1, len({0})), lambda i: {0}[i] = 'public' AND {0}[i + 1] = 'license'))"
+
+
+@query("search_phrase", f"""WITH {_words_sql(['public'])}, q AS (SELECT id, dl, CAST({PHRASE_F.format('tt')} + {PHRASE_F.format('tk')} AS DOUBLE) AS f FROM t), z AS (SELECT count(*) FILTER (f > 0) AS kp FROM q),
+p AS (SELECT s.n, s.avg, z.kp FROM s, z) SELECT id, round({_bm25('f', 'kp').replace('s.', 'p.')}, 6) AS rank_score FROM q, p WHERE f > 0""")
+def search_phrase(spark, d):
+    return _ranked(search.full_text(_documents(spark, d), "public_license"))
+
+
+@query("search_prefix", f"WITH {DOCS} SELECT id FROM (SELECT id, {TOK.format('title')} AS tt, {TOK.format('keywords')} AS tk FROM n) WHERE len(list_filter(list_concat(tt, tk), lambda x: starts_with(x, 'licens'))) > 0")
+def search_prefix(spark, d):
+    return search.full_text(_documents(spark, d), "licens*").select("id")
+
+
+@query("search_column", f"WITH {DOCS} SELECT id FROM (SELECT id, {TOK.format('keywords')} AS tk FROM n) WHERE list_contains(tk, 'de')")
+def search_column(spark, d):
+    return search.full_text(_documents(spark, d), "keywords:de").select("id")
+
+
+@query("search_top", f"WITH {_words_sql(['license'])} SELECT id, round({_bm25('f0', 'k0')}, 6) AS rank_score FROM t, s WHERE f0 > 0 AND lower(file_path) LIKE 'en/%' ORDER BY {_bm25('f0', 'k0')} DESC, id LIMIT 20")
+def search_top(spark, d):
+    return _ranked(search.search_nodes(_documents(spark, d), "license", 20, "en/"))
+
+
+@query("search_like", f"WITH {DOCS} SELECT id, file_path FROM n WHERE lower(title) LIKE '%mit license.%' ORDER BY id LIMIT 50")
+def search_like(spark, d):
+    return search.search_nodes(_documents(spark, d), "MIT License.", 50).select("id", "file_path")
+
+
+@query("search_scoped_fallback", f"WITH {_words_sql(['license'])} SELECT id, round({_bm25('f0', 'k0')}, 6) AS rank_score FROM t, s WHERE f0 > 0 ORDER BY {_bm25('f0', 'k0')} DESC, id LIMIT 20")
+def search_scoped_fallback(spark, d):
+    return _ranked(search.search_entry_points(_documents(spark, d), "license", 20, "nowhere"))
+
+
+@query("scope_like", f"WITH {DOCS} SELECT id FROM n WHERE lower(file_path) LIKE 'en/src1_/%'")
+def scope_like(spark, d):
+    return _documents(spark, d).where(paths.scope_like(F.col("file_path"), "EN/src1_/")).select("id")
+
+
+@query("scope_prefix", f"WITH {DOCS} SELECT id FROM n WHERE starts_with(file_path, 'en/src1/')")
+def scope_prefix(spark, d):
+    return _documents(spark, d).where(paths.scope_prefix(F.col("file_path"), "en/src1/")).select("id")
+
+
+@query("snippets", r"SELECT CAST(doc_id AS VARCHAR) AS id, array_to_string(string_split(text, chr(10))[2:13], chr(10)) AS snippet FROM documents")
+def snippets(spark, d):
+    docs = _documents(spark, d)
+    return docs.select("id", display.snippet(F.col("title"), F.lit(2)).alias("snippet"))
+
+
+# vectors
+
+
+def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, d, "embeddings")
+    key = F.col("vec_id").cast("string")
+    nodes = e.select(key.alias("id"), F.lit("function").alias("node_type"), F.concat(F.lit("vec"), key).alias("name"), F.concat(F.lit("pack.vec"), key).alias("title"), F.concat(F.lit("l"), F.col("label").cast("string"), F.lit("/"), key).alias("file_path"), F.lit(1).alias("line_start"), F.lit(1).alias("line_end"), F.lit("").alias("signature"), F.lit("").alias("keywords"))
+    return nodes, e.select(key.alias("node_id"), F.col("embedding").alias("vector"))
+
+
+def _query_vector(spark: SparkSession, d: str) -> list[float]:
+    return [float(x) for x in table(spark, d, "embeddings").where("vec_id = 0").select("embedding").head()[0]]
+
+
+COSINE = """v AS (SELECT CAST(vec_id AS VARCHAR) AS id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), q AS (SELECT x AS y FROM v WHERE id = '0'),
+c AS (SELECT id, label, list_sum(list_transform(range(1, len(x) + 1), lambda i: x[i] * y[i])) / (sqrt(list_sum(list_transform(x, lambda a: a * a))) * (sqrt(list_sum(list_transform(y, lambda a: a * a))) + 1e-9) + 1e-9) AS score FROM v, q)"""
+
+
+@query("search_semantic", f"WITH {COSINE} SELECT id, round(score, 6) AS score FROM c ORDER BY c.score DESC, id DESC LIMIT 10")
+def search_semantic(spark, d):
+    nodes, vectors = _vectors(spark, d)
+    return search.search_semantic(nodes, vectors, _query_vector(spark, d), 10).select("id", F.round("score", 6).alias("score"))
+
+
+@query("search_semantic_scoped", f"WITH {COSINE} SELECT id, round(score, 6) AS score FROM c WHERE label = 1 ORDER BY c.score DESC, id DESC LIMIT 10")
+def search_semantic_scoped(spark, d):
+    nodes, vectors = _vectors(spark, d)
+    return search.search_semantic(nodes, vectors, _query_vector(spark, d), 10, "l1").select("id", F.round("score", 6).alias("score"))
+
+
+@query("search_hybrid", f"""WITH {COSINE}, near AS (SELECT id, score FROM c ORDER BY c.score DESC, id DESC LIMIT 10),
+z AS (SELECT '17' AS id, 1.0 AS s, 0 AS p, 1.0 AS raw UNION ALL SELECT id, least(1.0, score + CASE WHEN id = '17' THEN 0.3 WHEN starts_with('vec' || id, 'vec17') THEN 0.15 ELSE 0 END), 1, score FROM near WHERE id <> '17')
+SELECT id, round(s, 6) AS score FROM z ORDER BY s DESC, p, raw DESC, id LIMIT 10""")
+def search_hybrid(spark, d):
+    nodes, vectors = _vectors(spark, d)
+    return search.search_hybrid(nodes, "vec17", vectors, _query_vector(spark, d), 10).select("id", F.round("score", 6).alias("score"))
+
+
+@query("vector_count", "SELECT count(*) AS embeddings FROM embeddings")
+def vector_count(spark, d):
+    return _vectors(spark, d)[1].agg(F.count(F.lit(1)).alias("embeddings"))
+
+
+# build
+
+
+def _manifests(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("file_path"), F.col("doc_id"), F.sha2("text", 256).alias("h"))
+    stored = docs.where("doc_id % 7 <> 0").select("file_path", F.when(F.col("doc_id") % 5 == 0, F.lit("old")).otherwise(F.col("h")).alias("content_hash"))
+    return docs.where("doc_id % 3 <> 0").select("file_path", F.col("h").alias("content_hash")), stored
+
+
+DIFF = """m AS (SELECT source || '/' || doc_id AS file_path, doc_id, sha256(text) AS h FROM documents), s AS (SELECT file_path, CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE h END AS was FROM m WHERE doc_id % 7 <> 0), c AS (SELECT file_path, h AS now FROM m WHERE doc_id % 3 <> 0),
+d AS (SELECT file_path, CASE WHEN was IS NULL THEN 'new' WHEN now IS NULL THEN 'deleted' WHEN now <> was THEN 'changed' ELSE 'same' END AS status FROM c FULL JOIN s USING (file_path))"""
+
+
+@query("manifest_diff", f"WITH {DIFF} SELECT * FROM d")
+def manifest_diff(spark, d):
+    return build.manifest_diff(*_manifests(spark, d))
+
+
+@query("diff_counts", f"WITH {DIFF} SELECT status, count(*) AS files FROM d GROUP BY status")
+def diff_counts(spark, d):
+    return build.diff_counts(build.manifest_diff(*_manifests(spark, d)))
+
+
+@query("upsert_nodes", f"""WITH {sql()}, o AS (SELECT * FROM nodes WHERE line_start % 3 <> 0), u AS (SELECT * REPLACE ('new ' || title AS title, line_end + 5 AS line_end) FROM nodes WHERE line_start % 2 = 0)
+SELECT coalesce(o.id, u.id) AS id, coalesce(o.node_type, u.node_type) AS node_type, coalesce(o.name, u.name) AS name, coalesce(u.title, o.title) AS title, coalesce(o.file_path, u.file_path) AS file_path, coalesce(o.line_start, u.line_start) AS line_start, coalesce(u.line_end, o.line_end) AS line_end, coalesce(u.signature, o.signature) AS signature, coalesce(u.keywords, o.keywords) AS keywords FROM o FULL JOIN u ON o.id = u.id""")
+def upsert_nodes(spark, d):
+    n = Derived(spark, d).nodes
+    new = n.where("line_start % 2 = 0").withColumns({"title": F.concat(F.lit("new "), "title"), "line_end": F.col("line_end") + 5})
+    return build.upsert_nodes(n.where("line_start % 3 <> 0"), new)
+
+
+@query("upsert_edges", f"WITH {sql()}, b AS (SELECT * FROM edges WHERE edge_type <> 'references') SELECT * FROM b UNION SELECT * FROM (SELECT * FROM edges WHERE edge_type <> 'calls')")
+def upsert_edges(spark, d):
+    e = Derived(spark, d).edges
+    return build.upsert_edges(e.where("edge_type <> 'references'"), e.where("edge_type <> 'calls'"))
+
+
+@query("update_keywords", f"WITH {sql()} SELECT id, CASE WHEN node_type = 'class' THEN 'k ' || name ELSE keywords END AS keywords FROM nodes")
+def update_keywords(spark, d):
+    n = Derived(spark, d).nodes
+    words = n.where("node_type = 'class'").select("id", F.concat(F.lit("k "), "name").alias("keywords")).unionByName(spark.createDataFrame([("nobody", "x")], "id string, keywords string"))
+    return build.update_keywords(n, words).select("id", "keywords")
+
+
+GONE = "gone AS (SELECT id FROM nodes WHERE file_path LIKE 'AFRICA/%/c')"
+
+
+@query("delete_files", f"WITH {sql()}, {GONE} SELECT edge_type, count(*) AS edges, (SELECT count(*) FROM nodes WHERE id NOT IN (SELECT id FROM gone)) AS nodes FROM edges WHERE source_id NOT IN (SELECT id FROM gone) GROUP BY edge_type")
+def delete_files(spark, d):
+    g = Derived(spark, d)
+    nodes, edges, _ = build.delete_files(g.nodes, g.edges, None, g.nodes.where(F.col("file_path").like("AFRICA/%/c")).select("file_path").distinct())
+    return edges.groupBy("edge_type").agg(F.count(F.lit(1)).alias("edges")).join(nodes.agg(F.count(F.lit(1)).alias("nodes")), F.lit(True))
+
+
+@query("dangling_edges", f"WITH {sql()}, {GONE} SELECT e.*, CASE WHEN s.id IS NOT NULL AND t.id IS NOT NULL THEN 'both' WHEN s.id IS NOT NULL THEN 'source' ELSE 'target' END AS missing FROM edges e LEFT JOIN gone s ON s.id = e.source_id LEFT JOIN gone t ON t.id = e.target_id WHERE s.id IS NOT NULL OR t.id IS NOT NULL")
+def dangling_edges(spark, d):
+    g = Derived(spark, d)
+    return build.dangling_edges(g.edges, g.nodes.where(~F.col("file_path").like("AFRICA/%/c")))
+
+
+@query("valid_edges", f"WITH {sql()}, {GONE} SELECT * FROM edges WHERE source_id NOT IN (SELECT id FROM gone) AND target_id NOT IN (SELECT id FROM gone)")
+def valid_edges(spark, d):
+    g = Derived(spark, d)
+    return build.valid_edges(g.edges, g.nodes.where(~F.col("file_path").like("AFRICA/%/c")))
+
+
+def _calls_by_name(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    g = Derived(spark, d)
+    wanted = table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), (F.col("s_suppkey") % 70).alias("k"))
+    names = g.parts["part"].select("name").distinct().withColumn("k", F.dense_rank().over(Window.orderBy("name")).cast("long") - 1)
+    stub = wanted.join(names, "k", "left").withColumn("name", F.coalesce("name", F.concat(F.lit("made up "), F.col("k").cast("string"))))
+    stub = stub.withColumn("id", node_id(F.lit("function"), F.lit(UNRESOLVED), F.col("name"), F.lit(0)))
+    raw = stub.join(g.parts["supplier"].select("key", F.col("id").alias("source_id")), "key").select("source_id", F.col("id").alias("target_id"), F.lit("calls").alias("edge_type"))
+    rows = stub.select("id", F.lit("function").alias("node_type"), "name", F.col("name").alias("title"), F.lit(UNRESOLVED).alias("file_path"), F.lit(0).alias("line_start"), F.lit(0).alias("line_end"), F.lit("").alias("signature"), F.lit("").alias("keywords")).distinct()
+    return raw, g.nodes, rows
+
+
+@query("resolve_names", f"""WITH {sql()}, nm AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS k FROM (SELECT DISTINCT name FROM nodes WHERE node_type = 'variable')),
+st AS (SELECT s_suppkey AS key, coalesce(nm.name, 'made up ' || (s_suppkey % 70)) AS name FROM supplier LEFT JOIN nm ON nm.k = s_suppkey % 70)
+SELECT DISTINCT s.id AS source_id, coalesce(p.id, sha256('function:{UNRESOLVED}:' || st.name || ':0')) AS target_id, 'calls' AS edge_type FROM st JOIN keyed s ON s.part = 'supplier' AND s.key = st.key LEFT JOIN keyed p ON p.name = st.name AND p.node_type IN ('function', 'method', 'class', 'variable')""")
+def resolve_names(spark, d):
+    return build.resolve_names(*_calls_by_name(spark, d))[0]
+
+
+@query("needed_stubs", f"""WITH {sql()}, nm AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS k FROM (SELECT DISTINCT name FROM nodes WHERE node_type = 'variable'))
+SELECT DISTINCT 'made up ' || (s_suppkey % 70) AS name FROM supplier LEFT JOIN nm ON nm.k = s_suppkey % 70 WHERE nm.name IS NULL""")
+def needed_stubs(spark, d):
+    return build.resolve_names(*_calls_by_name(spark, d))[1].select("name")
+
+
+# embedding text
+
+
+@query("url_keywords", "SELECT page_id, url AS keywords FROM pages")
+def url_keywords(spark, d):
+    p = table(spark, d, "pages")
+    return p.select("page_id", embed.url_keywords(F.concat(F.lit("see '"), "url", F.lit("' and \""), "url", F.lit('" again'))).alias("keywords"))
+
+
+@query("embed_text", f"""WITH {sql()}, c AS (SELECT e.source_id, list(DISTINCT n.name) AS names FROM edges e JOIN nodes n ON n.id = e.target_id WHERE e.edge_type IN ('calls', 'depends') AND length(n.name) > 3 GROUP BY 1)
+SELECT n.id, array_to_string(string_split(file_path, '/')[1:-2], ' ') || '  ' || title || coalesce('  ' || array_to_string(list_sort(c.names)[1:8], ' '), '') || '  x = 1 y' AS embed_text FROM nodes n LEFT JOIN c ON c.source_id = n.id WHERE n.node_type = 'method'""")
+def embed_text(spark, d):
+    g = Derived(spark, d)
+    n = g.nodes.where("node_type = 'method'").join(embed.callee_names(g.nodes, g.edges).withColumnRenamed("source_id", "id"), "id", "left")
+    made = embed.embed_text(F.col("node_type"), F.col("name"), F.col("title"), F.col("file_path"), F.lit("()"), F.col("callees"), F.lit("  x = 1\n\n  y # gone\nz"))
+    return n.select("id", made.alias("embed_text"))
+
+
+@query("callee_names", f"""WITH {sql()} SELECT source_id, array_to_string(list_sort(list(DISTINCT n.name))[1:8], ',') AS callees FROM edges e JOIN nodes n ON n.id = e.target_id WHERE e.edge_type IN ('calls', 'depends') AND length(n.name) > 3 GROUP BY 1""")
+def callee_names(spark, d):
+    g = Derived(spark, d)
+    return embed.callee_names(g.nodes, g.edges).withColumn("callees", F.array_join("callees", ","))
+
+
+@query("missing_embeddings", f"WITH {sql()} SELECT id FROM nodes WHERE line_start % 2 = 1")
+def missing_embeddings(spark, d):
+    n = Derived(spark, d).nodes
+    return embed.missing_embeddings(n, n.where("line_start % 2 = 0").select(F.col("id").alias("node_id"))).select("id")
+
+
+@query("hashed_vectors")
+def hashed_vectors(spark, d):
+    return embed.hashed_vectors(table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("node_id"), "text"))
+

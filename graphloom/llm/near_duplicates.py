@@ -12,8 +12,8 @@ bound when the ceil(t n) - 1 longest lists are set aside), so only these are put
 - What is left is counted exactly on whole sets: first, for each class, the partner that shares most lists; then only pairs
   between different components. Pairs inside a component change no result and are not counted.
 
-Which lists are long comes from counts over all documents: each task counts its classes' shingles exactly and reports those
-above a small share of its classes; at most `most_long` of the largest sums are known to all tasks (a bounded table). The order
+Which lists are long comes from counts over all documents: each task counts its classes' shingles in a fixed number of cells
+and reports those above a small share of its classes; at most `most_long` of the largest sums are known to all tasks (a bounded table). The order
 changes the work, never the result.
 
 Null and empty texts, and those without words, have no shingle and are linked with nothing. Fewer than five words are one
@@ -49,6 +49,7 @@ class Params:
 
 
 LEAST_BITS = 1024  # of the parity sketch
+CELLS = 1 << 22  # of a task's counts
 STEPS = (7919, 104729)  # of the two bits of a document in the sieve
 ENTRY = np.dtype([("shingle", "<u8"), ("class", "<i8"), ("n", "<u4")])
 
@@ -77,15 +78,8 @@ def classes(spark: SparkSession, docs: DataFrame, p: Params) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        cells, total = np.zeros(CELLS, np.uint16), 0
         held: list[np.ndarray] = []
-        values, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-        def merge(values: np.ndarray, counts: np.ndarray, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-            v, c = np.unique(np.concatenate(held), return_counts=True)
-            v, c = np.concatenate([values, v]), np.concatenate([counts, c])
-            u, of = np.unique(v, return_inverse=True)
-            c = np.bincount(of, weights=c, minlength=len(u)).astype(np.int64)
-            return u, c
 
         for b in batches:
             n, cls, par = [], [], []
@@ -95,18 +89,22 @@ def classes(spark: SparkSession, docs: DataFrame, p: Params) -> DataFrame:
                 par.append(_parity(s))
                 if len(s) and cls[-1] not in seen:
                     seen.add(cls[-1])
-                    held.append(s)
+                    at = (s >> np.uint64(30)).astype(np.int64) & (CELLS - 1)
+                    often = cells[at] >= p.local_least - 1
+                    cells[at] += cells[at] < 65535
+                    total += len(s)
+                    if often.any():
+                        held.append(s[often])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.zeros(len(n)), pa.int32()), b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, par)]), pa.int32()), pa.array(np.concatenate(par) if par else np.zeros(0, np.int64)))],
                 names=["kind", "doc_id", "n", "class", "parity"],
             )
-            if sum(map(len, held)) > 1 << 21:
-                values, counts = merge(values, counts, held)
-                held = []
-        if held:
-            values, counts = merge(values, counts, held)
-        often = counts >= max(p.local_least, p.local_share * len(seen))
-        v, c = values[often].view(np.int64), counts[often]
+            if sum(map(len, held)) > 1 << 18:
+                held = [np.unique(np.concatenate(held))]
+        v = np.unique(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+        c = cells[(v >> np.uint64(30)).astype(np.int64) & (CELLS - 1)].astype(np.int64)
+        often = c >= max(p.local_least, p.local_share * len(seen), 3 * total / CELLS + p.local_least)
+        v, c = v[often].view(np.int64), c[often]
         for i in range(0, len(v), 10_000):
             m = len(v[i : i + 10_000])
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(m), pa.int32()), pa.nulls(m, b.column(0).type), pa.array(c[i : i + 10_000]), pa.array(v[i : i + 10_000]), pa.nulls(m, pa.list_(pa.int64()))], names=["kind", "doc_id", "n", "class", "parity"])

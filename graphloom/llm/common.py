@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,6 +32,23 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+#: What Python workers keep between tasks, and for whom.
+CACHES: list[dict] = []
+_owner: list[str] = [""]
+
+
+def claim(name: str) -> None:
+    """Called first in each task: a worker that last ran another operator gives that one's memory back."""
+    if _owner[0] != name:
+        _owner[0] = name
+        for c in CACHES:
+            c.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # of glibc only
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; where none is named (tests, one machine) an own one is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import bounded_batches, held_out, utf8
+from graphloom.llm.common import bounded_batches, claim, held_out, utf8
 
 UNKNOWN = "und"
 ORDERS = (2, 3, 4)
@@ -172,6 +172,7 @@ def classify(spark: SparkSession, docs: DataFrame, model: Model, columns: list[s
     schema = ", ".join(f"`{c}` {t}" for c, t in read.dtypes if c in columns) + ", lang_pred string, score double, rejected boolean"
 
     def each(batches):
+        claim("language_id")
         for b in batches:
             lang, score = predict(model, b.column(b.schema.get_field_index("text")))
             away = [x == UNKNOWN or s < model.reject_below for x, s in zip(lang, score, strict=True)]

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.bytewords import shingle_sets
-from graphloom.llm.common import bounded_batches, partitions, written
+from graphloom.llm.common import bounded_batches, claim, partitions, written
 from graphloom.llm.components import components
 
 
@@ -77,6 +77,7 @@ def classes(spark: SparkSession, docs: DataFrame, p: Params) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("near_duplicates")
         seen: set[int] = set()
         cells, total = np.zeros(CELLS, np.uint16), 0
         held: list[np.ndarray] = []
@@ -121,6 +122,7 @@ def lists(spark: SparkSession, docs: DataFrame, long_: tuple[np.ndarray, np.ndar
     t = p.percent
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("near_duplicates")
         seen: set[int] = set()
         for b in batches:
             cold: list[np.ndarray] = []
@@ -162,6 +164,7 @@ def lists(spark: SparkSession, docs: DataFrame, long_: tuple[np.ndarray, np.ndar
     NAMES = ["bucket", "data", "shingle", "class", "n", "central"]
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("near_duplicates")
         held: dict[int, list[bytes]] = {}
         for b in batches:
             own = b.column(2).is_valid()
@@ -238,6 +241,7 @@ def _sets(spark: SparkSession, docs: DataFrame, wanted: DataFrame, p: Params) ->
     sieve = words.tobytes()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("near_duplicates")
         bits, seen = np.unpackbits(np.frombuffer(sieve, np.uint8), bitorder="little"), set()
         for b in batches:
             cls, data = [], []
@@ -258,6 +262,7 @@ def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, by_class:
     """Written links: pairs (a, b) of classes that reach the threshold, counted on whole sets. Only sets of these pairs move."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("near_duplicates")
         for b in batches:
             ok = []
             for x, y in zip(b.column(2), b.column(3), strict=True):

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.bytewords import BYTE_VALUE, PIECE, powers
-from graphloom.llm.common import bounded_batches, mixed, partitions, runs, utf8, written
+from graphloom.llm.common import bounded_batches, claim, mixed, partitions, runs, utf8, written
 
 GRAM = 32
 LAST = (1 << 63) - 1
@@ -164,6 +164,7 @@ def marks(spark: SparkSession, keyed: DataFrame, keys: np.ndarray, p: Params) ->
     n = len(keys)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("suffix_dedup")
         held: list[np.ndarray] = []
         size = 0
 
@@ -203,6 +204,7 @@ def marks(spark: SparkSession, keyed: DataFrame, keys: np.ndarray, p: Params) ->
             yield from flush()
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("suffix_dedup")
         held = []
         for b in batches:
             own = b.column(1).is_null()
@@ -239,6 +241,7 @@ def _with_marks(spark: SparkSession, keyed: DataFrame, found: DataFrame, p: Para
     sieve = words.tobytes()
 
     def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("suffix_dedup")
         bits = np.unpackbits(np.frombuffer(sieve, np.uint8), bitorder="little")
         for b in batches:
             yield b.set_column(b.schema.get_field_index("maybe"), "maybe", pa.array(bits[b.column(b.schema.get_field_index("maybe")).to_numpy()].astype(np.int64)))
@@ -280,6 +283,7 @@ def suffixes(spark: SparkSession, keyed: DataFrame, open_: DataFrame, keys: np.n
     texts, _ = _with_marks(spark, keyed, open_, p)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("suffix_dedup")
         for b in batches:
             single: list[np.ndarray] = []
             rows: tuple[list, ...] = ([], [], [], [], [])
@@ -310,6 +314,7 @@ def suffixes(spark: SparkSession, keyed: DataFrame, open_: DataFrame, keys: np.n
                 yield pa.RecordBatch.from_arrays([pa.array(keys[(w["hash"] % np.uint64(n)).astype(np.int64)], pa.int32()), pa.array(w["doc"]), pa.array(w["tag"]), pa.array(w["lo"]), pa.nulls(m, pa.int64()), pa.array(w["hash"].view(np.int64)), pa.nulls(m, pa.binary())], names=OPEN)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("suffix_dedup")
         by_hash, by_trigger = [], []
         for b in batches:
             x = b.filter(b.column(4).is_valid())
@@ -383,6 +388,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, p: Params = Params(), with
     texts = texts.withColumn("again", F.row_number().over(Window.partitionBy("doc", "tag").orderBy("doc")) > 1)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("suffix_dedup")
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             own = b.column(2)

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import bounded_batches, partitions, written
+from graphloom.llm.common import CACHES, bounded_batches, claim, partitions, written
 from graphloom.llm.elias_fano import EliasFano, encode
 
 MAGIC = b"GLTOK1"
@@ -117,6 +117,7 @@ class Encoder:
 
 
 ENCODERS: dict[Params, Encoder] = {}  # of this Python worker
+CACHES.append(ENCODERS)
 
 
 def _encoder(p: Params) -> Encoder:
@@ -162,6 +163,7 @@ def shards(spark: SparkSession, docs: DataFrame, p: Params) -> DataFrame:
     dealt = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("token_output")
         from pyspark import TaskContext
 
         enc, at, k, before = _encoder(p), TaskContext.get().partitionId(), 0, 0
@@ -198,6 +200,7 @@ def documents_of(spark: SparkSession, table: DataFrame) -> DataFrame:
         base[k], total = total, total + sums[k]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("token_output")
         for b in batches:
             for k, s, before, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
                 own = Shard(data.as_buffer())

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.bytewords import LETTERS, PIECE, span_hashes, spans
-from graphloom.llm.common import bounded_batches, held_out, mixed, runs, utf8
+from graphloom.llm.common import bounded_batches, claim, held_out, mixed, runs, utf8
 
 
 @dataclass(frozen=True)
@@ -276,6 +276,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model | None) -> DataFram
     bounded_batches(spark)
 
     def each(batches):
+        claim("toxicity")
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(model, b.column(1)), pa.float64())], names=["doc_id", "score"])
 

@@ -66,6 +66,11 @@ class Derived:
             edges = e if edges is None else edges.unionByName(e)
         self.edges = edges
 
+    def kept(self) -> Derived:
+        """The same with nodes and edges kept in memory or on disk, as a stored graph's tables are for many hops and queries."""
+        self.nodes, self.edges = self.nodes.persist(), self.edges.persist()
+        return self
+
     def key(self, part: str, key: int) -> str:
         """Id of one node."""
         return self.parts[part].where(F.col("key") == key).select("id").head()[0]

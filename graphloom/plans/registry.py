@@ -60,13 +60,13 @@ BLAST_SQL = " SELECT n.id, n.node_type, n.name, n.title, n.file_path, CAST(v.dep
 
 @query("blast_radius", _reverse_sql(False) + BLAST_SQL)
 def blast_radius(spark, d):
-    g = Derived(spark, d)
+    g = Derived(spark, d).kept()
     return traverse.blast_radius(g.nodes, g.edges, g.key("part", PART))
 
 
 @query("blast_radius_cyclic", _reverse_sql(True) + BLAST_SQL)
 def blast_radius_cyclic(spark, d):
-    g = Derived(spark, d, cyclic=True)
+    g = Derived(spark, d, cyclic=True).kept()
     return traverse.blast_radius(g.nodes, g.edges, g.key("part", PART))
 
 
@@ -77,7 +77,7 @@ SELECT n AS affected_count, round(greatest(0.0, 1.0 - CASE WHEN n > 5 THEN 0.2 E
 array_to_string(list_filter([CASE WHEN n > 5 THEN 'High fan-in: ' || n || ' callers/dependents will be affected.' END, CASE WHEN cross_n > 0 THEN 'Cross-module impact: ' || first || CASE WHEN cross_n > 3 THEN ' (+' || (cross_n - 3) || ' more)' ELSE '' END || '.' END,
  CASE WHEN far > 0 THEN far || ' node(s) are indirect dependencies (3+ hops).' END, CASE WHEN NOT contains(lower(path), 'test') THEN 'No test file found for ''' || path || ''' — change is unverified.' END], lambda x: x IS NOT NULL), ' | ') AS risk_reasons FROM c""")
 def blast_score(spark, d):
-    g = Derived(spark, d)
+    g = Derived(spark, d).kept()
     return traverse.blast_score(g.nodes, g.edges, g.key("part", PART)).withColumn("risk_reasons", F.array_join("risk_reasons", " | "))
 
 
@@ -98,50 +98,50 @@ def _customer_path(g: Derived) -> str:
 
 @query("context", _forward_sql(ROOT_SEED, None, 3) + " SELECT n.id, n.node_type, n.name, CAST(v.depth AS INTEGER) AS depth FROM visited v JOIN nodes n USING (id) WHERE depth > 0")
 def context(spark, d):
-    g = Derived(spark, d)
+    g = Derived(spark, d).kept()
     return traverse.Context(g.nodes, g.edges, g.key("region", REGION), 3).nodes.select("id", "node_type", "name", "depth")
 
 
 @query("context_scoped", _forward_sql(ROOT_SEED, SCOPE, 4) + " SELECT n.id, n.node_type, n.name, CAST(v.depth AS INTEGER) AS depth FROM visited v JOIN nodes n USING (id) WHERE depth > 0")
 def context_scoped(spark, d):
-    g = Derived(spark, d)
+    g = Derived(spark, d).kept()
     return traverse.Context(g.nodes, g.edges, g.key("region", REGION), 4, SCOPE + "/").nodes.select("id", "node_type", "name", "depth")
 
 
 @query("context_external", _forward_sql(ROOT_SEED, SCOPE, 3) + " SELECT id, node_type, name, file_path FROM ext")
 def context_external(spark, d):
-    g = Derived(spark, d)
+    g = Derived(spark, d).kept()
     return traverse.Context(g.nodes, g.edges, g.key("region", REGION), 3, SCOPE).external.select("id", "node_type", "name", "file_path")
 
 
 @query("context_edges", _forward_sql(CUSTOMER_SEED, None, 1) + " SELECT e.* FROM visited JOIN edges e ON e.source_id = visited.id")
 def context_edges(spark, d):
-    g = Derived(spark, d)
+    g = Derived(spark, d).kept()
     return traverse.Context(g.nodes, g.edges, g.key("customer", CUSTOMER), 1).edges
 
 
 @query("context_depth", _forward_sql(CUSTOMER_SEED, None, 3) + " SELECT CAST(max(depth) AS INTEGER) AS depth_reached FROM visited")
 def context_depth(spark, d):
-    g = Derived(spark, d)
+    g = Derived(spark, d).kept()
     return traverse.Context(g.nodes, g.edges, g.key("customer", CUSTOMER), 3).depth_reached
 
 
 @query("context_depth_first", _forward_sql(CUSTOMER_SEED, None, 3) + " SELECT id FROM visited WHERE depth > 0")
 def context_depth_first(spark, d):
-    g = Derived(spark, d)
+    g = Derived(spark, d).kept()
     out = traverse.context_depth_first(g.nodes, g.edges, g.key("customer", CUSTOMER), 3)
     return spark.createDataFrame([(x,) for x in out["nodes"]], "id string")
 
 
 @query("successors", f"WITH {sql()} SELECT * FROM edges WHERE source_id = {CUSTOMER_SEED}")
 def successors(spark, d):
-    g = Derived(spark, d)
+    g = Derived(spark, d).kept()
     return traverse.successors(g.edges, g.key("customer", CUSTOMER))
 
 
 @query("predecessors", f"WITH {sql()} SELECT * FROM edges WHERE target_id = {PART_SEED}")
 def predecessors(spark, d):
-    g = Derived(spark, d)
+    g = Derived(spark, d).kept()
     return traverse.predecessors(g.edges, g.key("part", PART))
 
 
@@ -154,13 +154,13 @@ def all_successors(spark, d):
 x AS (SELECT 'out' AS direction, edge_type, target_id AS id FROM s WHERE source_id = {CUSTOMER_SEED} UNION ALL SELECT 'in', edge_type, source_id FROM s WHERE target_id = {CUSTOMER_SEED})
 SELECT id, direction, edge_type, node_type, name, title, file_path FROM x JOIN nodes USING (id)""")
 def edge_listing(spark, d):
-    g = Derived(spark, d)
+    g = Derived(spark, d).kept()
     return traverse.edge_listing(g.nodes, g.edges, g.key("customer", CUSTOMER))
 
 
 @query("get_node", f"WITH {sql()} SELECT * FROM nodes WHERE id = {PART_SEED}")
 def get_node(spark, d):
-    g = Derived(spark, d)
+    g = Derived(spark, d).kept()
     return traverse.get_node(g.nodes, g.key("part", PART))
 
 

@@ -38,9 +38,17 @@ class Engine:
         if full and store.current() is not None:
             store.clear()
         found = source_files.discover(spark, root).persist()
+        try:
+            return self._build(found, root, rules, vectors, plugins)
+        finally:
+            # Spark would take a kept table for the next reading of the same folder
+            found.unpersist()
+
+    def _build(self, found: DataFrame, root: str, rules, vectors, plugins: bool):
+        store = self.store
         manifest = store.read("manifest")
         mine = manifest.where(F.col("root") == root)
-        diff = build.manifest_diff(found, mine).persist()
+        diff = build.manifest_diff(found, mine)
         work = diff.where("status <> 'same'")
         if store.current() is not None and work.isEmpty() and store.snapshot() is not None:
             return store.snapshot()
@@ -65,8 +73,7 @@ class Engine:
         if vectors is not None:
             self.embed(source_files.decoded(found), vectors)
         self._save_snapshot(root)
-        for df in (found, diff, parsed):
-            df.unpersist()
+        parsed.unpersist()
         return store.snapshot()
 
     def _dependencies(self, root: str) -> set[str]:

@@ -52,14 +52,17 @@ def edge_listing(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
 
 
 def _hops(entry: DataFrame, edges: DataFrame, nodes: DataFrame, max_depth: int, reverse: bool, follow: Column | None = None) -> list[DataFrame]:
-    """Rows (id, depth, parent, edge_type, present) of each hop from the entry on; only present nodes that `follow` allows go on."""
+    """Rows (id, depth, parent, edge_type, present) of each hop from the entry on; only present nodes that `follow` allows go on.
+
+    Whether an edge's far end is present and goes on is joined to the edges once, not in each hop.
+    """
     near, far = ("target_id", "source_id") if reverse else ("source_id", "target_id")
     known = nodes.select(F.col("id").alias("known"), (F.lit(True) if follow is None else follow).alias("goes_on"))
+    linked = edges.join(known, F.col(far) == F.col("known"), "left").select(F.col(near).alias("near"), F.col(far).alias("next"), "edge_type", F.col("known").isNotNull().alias("present"), F.coalesce("goes_on", F.lit(False)).alias("goes_on"))
     frontier, out = entry.select("id"), []
     for d in range(1, max_depth + 1):
-        step = frontier.join(edges, F.col("id") == F.col(near)).groupBy(F.col(far).alias("next")).agg(F.min(F.struct(F.col("id").alias("parent"), "edge_type")).alias("by"))
-        step = step.join(known, F.col("next") == F.col("known"), "left")
-        hop = step.select(F.col("next").alias("id"), F.lit(d).alias("depth"), "by.parent", "by.edge_type", F.col("known").isNotNull().alias("present"), F.coalesce("goes_on", F.lit(False)).alias("goes_on"))
+        step = frontier.join(linked, F.col("id") == F.col("near")).groupBy("next").agg(F.min(F.struct(F.col("id").alias("parent"), "edge_type", "present", "goes_on")).alias("by"))
+        hop = step.select(F.col("next").alias("id"), F.lit(d).alias("depth"), "by.*")
         out.append(hop)
         frontier = hop.where("goes_on").select("id")
     return out

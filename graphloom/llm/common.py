@@ -7,7 +7,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,16 +37,31 @@ CACHES: list[dict] = []
 _owner: list[str] = [""]
 
 
-def claim(name: str) -> None:
-    """Called first in each task: a worker that last ran another operator gives that one's memory back."""
-    if _owner[0] != name:
-        _owner[0] = name
-        for c in CACHES:
-            c.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # of glibc only
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+def trim() -> None:
+    """Gives freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # of glibc only
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def task(name: str) -> Callable:
+    """For functions on the batches of a task: a worker that last ran another operator drops that one's caches first, and each task
+    gives its memory back at its end, as workers stay."""
+
+    def wrap(f: Callable) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if _owner[0] != name:
+                _owner[0] = name
+                for c in CACHES:
+                    c.clear()
+                trim()
+            yield from f(batches)
+            trim()
+
+        return run
+
+    return wrap
 
 
 def shared_dir(spark: SparkSession) -> str:

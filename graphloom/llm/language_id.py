@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import bounded_batches, claim, held_out, utf8
+from graphloom.llm.common import bounded_batches, held_out, task, trim, utf8
 
 UNKNOWN = "und"
 ORDERS = (2, 3, 4)
@@ -29,7 +29,7 @@ LETTER = r"\p{L}"
 
 @dataclass(frozen=True)
 class Params:
-    sample_per_language: int = 600  # labelled rows for the descent, at most; the bound of what is collected
+    sample_per_language: int = 400  # labelled rows for the descent, at most; the bound of what is collected
     most_languages: int = 200
     buckets: int = 1 << 14
     dims: int = 16
@@ -161,7 +161,10 @@ def fit(docs: DataFrame, p: Params = Params()) -> Model:
         return train([], [], p)
     upto = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(int(min(1.0, p.sample_per_language / r["count"]) * (1 << 20))))])
     rows = sorted((r["at"], r["lang"], r["text"]) for r in known.where(F.col("at") < upto[F.col("lang")]).collect())
-    return train([r[2] for r in rows], [r[1] for r in rows], p)
+    model = train([r[2] for r in rows], [r[1] for r in rows], p)
+    del rows
+    trim()
+    return model
 
 
 def classify(spark: SparkSession, docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
@@ -171,8 +174,8 @@ def classify(spark: SparkSession, docs: DataFrame, model: Model, columns: list[s
     read = docs.select(*columns, *([] if "text" in columns else ["text"]))
     schema = ", ".join(f"`{c}` {t}" for c, t in read.dtypes if c in columns) + ", lang_pred string, score double, rejected boolean"
 
+    @task("language_id")
     def each(batches):
-        claim("language_id")
         for b in batches:
             lang, score = predict(model, b.column(b.schema.get_field_index("text")))
             away = [x == UNKNOWN or s < model.reject_below for x, s in zip(lang, score, strict=True)]

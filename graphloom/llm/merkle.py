@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.bytewords import NOT_SPACE, pieces, powers, span_hashes, spans
-from graphloom.llm.common import bounded_batches, claim, mixed, partitions
+from graphloom.llm.common import bounded_batches, mixed, partitions, task
 
 CUT = np.uint64(3)
 
@@ -206,9 +206,9 @@ def fingerprints(spark: SparkSession, docs: DataFrame, n_buckets: int | None = N
     after = dict(zip(used, [*used[1:], used[0]], strict=True))
     kind = pa.int64()
 
+    @task("merkle")
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All but the last document of each bucket."""
-        claim("merkle")
         bucket, ids, texts = None, [], []
         for b in batches:
             for k, i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
@@ -222,8 +222,8 @@ def fingerprints(spark: SparkSession, docs: DataFrame, n_buckets: int | None = N
                 yield _rows(ids[:-1], texts[:-1], texts[1:], kind)
                 ids, texts = ids[-1:], texts[-1:]
 
+    @task("merkle")
     def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("merkle")
         for b in batches:
             yield _rows(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), kind)
 

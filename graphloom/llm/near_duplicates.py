@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.bytewords import shingle_sets
-from graphloom.llm.common import bounded_batches, claim, partitions, written
+from graphloom.llm.common import bounded_batches, partitions, task, written
 from graphloom.llm.components import components
 
 
@@ -76,8 +76,8 @@ def classes(spark: SparkSession, docs: DataFrame, p: Params) -> DataFrame:
     bounded_batches(spark)
     kind = dict(docs.dtypes)["doc_id"]
 
+    @task("near_duplicates")
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("near_duplicates")
         seen: set[int] = set()
         cells, total = np.zeros(CELLS, np.uint16), 0
         held: list[np.ndarray] = []
@@ -121,8 +121,8 @@ def lists(spark: SparkSession, docs: DataFrame, long_: tuple[np.ndarray, np.ndar
     hot, often = long_
     t = p.percent
 
+    @task("near_duplicates")
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("near_duplicates")
         seen: set[int] = set()
         for b in batches:
             cold: list[np.ndarray] = []
@@ -163,8 +163,8 @@ def lists(spark: SparkSession, docs: DataFrame, long_: tuple[np.ndarray, np.ndar
 
     NAMES = ["bucket", "data", "shingle", "class", "n", "central"]
 
+    @task("near_duplicates")
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("near_duplicates")
         held: dict[int, list[bytes]] = {}
         for b in batches:
             own = b.column(2).is_valid()
@@ -240,8 +240,8 @@ def _sets(spark: SparkSession, docs: DataFrame, wanted: DataFrame, p: Params) ->
         words[r["w"]] = r["x"]
     sieve = words.tobytes()
 
+    @task("near_duplicates")
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("near_duplicates")
         bits, seen = np.unpackbits(np.frombuffer(sieve, np.uint8), bitorder="little"), set()
         for b in batches:
             cls, data = [], []
@@ -261,8 +261,8 @@ def _sets(spark: SparkSession, docs: DataFrame, wanted: DataFrame, p: Params) ->
 def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, by_class: DataFrame, p: Params) -> DataFrame:
     """Written links: pairs (a, b) of classes that reach the threshold, counted on whole sets. Only sets of these pairs move."""
 
+    @task("near_duplicates")
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("near_duplicates")
         for b in batches:
             ok = []
             for x, y in zip(b.column(2), b.column(3), strict=True):

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.bytewords import BYTE_VALUE, PIECE, powers
-from graphloom.llm.common import bounded_batches, claim, mixed, partitions, runs, utf8, written
+from graphloom.llm.common import bounded_batches, mixed, partitions, runs, task, utf8, written
 
 GRAM = 32
 LAST = (1 << 63) - 1
@@ -138,6 +138,8 @@ def _marks(e: np.ndarray, kind: int, buckets: np.ndarray | None = None) -> pa.Re
 
 def _settle(e: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, int]], np.ndarray, np.ndarray]:
     """Sorted entries, the repeats among them, a mask of first phrases, and how many different phrases each entry's gram has."""
+    if not len(e):
+        return e, [], np.zeros(0, bool), np.zeros(0, np.int64)
     e = e[np.lexsort((e["lo"], e["tag"], e["doc"], e["whole"], e["gram"]))]
     gram = np.append(True, e["gram"][1:] != e["gram"][:-1])
     whole = gram | np.append(True, e["whole"][1:] != e["whole"][:-1])
@@ -163,8 +165,8 @@ def marks(spark: SparkSession, keyed: DataFrame, keys: np.ndarray, p: Params) ->
     """Written marks after triggers and whole phrases are sorted."""
     n = len(keys)
 
+    @task("suffix_dedup")
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("suffix_dedup")
         held: list[np.ndarray] = []
         size = 0
 
@@ -203,8 +205,8 @@ def marks(spark: SparkSession, keyed: DataFrame, keys: np.ndarray, p: Params) ->
         if held:
             yield from flush()
 
+    @task("suffix_dedup")
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("suffix_dedup")
         held = []
         for b in batches:
             own = b.column(1).is_null()
@@ -218,8 +220,8 @@ def marks(spark: SparkSession, keyed: DataFrame, keys: np.ndarray, p: Params) ->
                 x = x[~x["hot"]]
                 if len(x):
                     yield _marks(x, kind)
-            of = np.cumsum(np.append(True, e["gram"][1:] != e["gram"][:-1])) - 1
-            hot = (np.bincount(of, weights=e["hot"])[of] > 0) | (many > p.phrases)
+            of = np.cumsum(np.append(True, e["gram"][1:] != e["gram"][:-1])[: len(e)]) - 1
+            hot = (np.bincount(of, weights=e["hot"])[of] > 0) | (many > p.phrases) if len(e) else np.zeros(0, bool)
             first &= ~e["hot"]
             for x, kind in ((e[first & hot], BY_STRING), (e[first & ~hot & (many > 1)], BY_TRIGGER)):
                 if len(x):
@@ -240,8 +242,8 @@ def _with_marks(spark: SparkSession, keyed: DataFrame, found: DataFrame, p: Para
         words[r["w"]] = r["x"]
     sieve = words.tobytes()
 
+    @task("suffix_dedup")
     def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("suffix_dedup")
         bits = np.unpackbits(np.frombuffer(sieve, np.uint8), bitorder="little")
         for b in batches:
             yield b.set_column(b.schema.get_field_index("maybe"), "maybe", pa.array(bits[b.column(b.schema.get_field_index("maybe")).to_numpy()].astype(np.int64)))
@@ -282,8 +284,8 @@ def suffixes(spark: SparkSession, keyed: DataFrame, open_: DataFrame, keys: np.n
     n = len(keys)
     texts, _ = _with_marks(spark, keyed, open_, p)
 
+    @task("suffix_dedup")
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("suffix_dedup")
         for b in batches:
             single: list[np.ndarray] = []
             rows: tuple[list, ...] = ([], [], [], [], [])
@@ -313,8 +315,8 @@ def suffixes(spark: SparkSession, keyed: DataFrame, open_: DataFrame, keys: np.n
                 m = len(w)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[(w["hash"] % np.uint64(n)).astype(np.int64)], pa.int32()), pa.array(w["doc"]), pa.array(w["tag"]), pa.array(w["lo"]), pa.nulls(m, pa.int64()), pa.array(w["hash"].view(np.int64)), pa.nulls(m, pa.binary())], names=OPEN)
 
+    @task("suffix_dedup")
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("suffix_dedup")
         by_hash, by_trigger = [], []
         for b in batches:
             x = b.filter(b.column(4).is_valid())
@@ -387,8 +389,8 @@ def deduplicate(spark: SparkSession, docs: DataFrame, p: Params = Params(), with
     kind = dict(docs.dtypes)["doc_id"]
     texts = texts.withColumn("again", F.row_number().over(Window.partitionBy("doc", "tag").orderBy("doc")) > 1)
 
+    @task("suffix_dedup")
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("suffix_dedup")
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             own = b.column(2)

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import CACHES, bounded_batches, claim, partitions, written
+from graphloom.llm.common import CACHES, bounded_batches, partitions, task, written
 from graphloom.llm.elias_fano import EliasFano, encode
 
 MAGIC = b"GLTOK1"
@@ -40,9 +40,9 @@ class Params:
     tokenizer: str  # path of a vocabulary file of the tokenizers library
     end_id: int = 0
     shard_ids: int = 1 << 20  # a shard ends with the batch that reaches it
-    cached_words: int = 1_500_000  # of a Python worker
-    cached_pieces: int = 700_000
-    batch_docs: int = 1500
+    cached_words: int = 800_000  # of a Python worker
+    cached_pieces: int = 300_000
+    batch_docs: int = 1000
 
 
 class Encoder:
@@ -162,8 +162,8 @@ def shards(spark: SparkSession, docs: DataFrame, p: Params) -> DataFrame:
     order = [F.col("doc_id").asc_nulls_last(), F.col("h").asc()]
     dealt = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
 
+    @task("token_output")
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("token_output")
         from pyspark import TaskContext
 
         enc, at, k, before = _encoder(p), TaskContext.get().partitionId(), 0, 0
@@ -199,8 +199,8 @@ def documents_of(spark: SparkSession, table: DataFrame) -> DataFrame:
     for k in sorted(sums):
         base[k], total = total, total + sums[k]
 
+    @task("token_output")
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("token_output")
         for b in batches:
             for k, s, before, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
                 own = Shard(data.as_buffer())

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.bytewords import LETTERS, PIECE, span_hashes, spans
-from graphloom.llm.common import bounded_batches, claim, held_out, mixed, runs, utf8
+from graphloom.llm.common import bounded_batches, held_out, mixed, runs, task, trim, utf8
 
 
 @dataclass(frozen=True)
@@ -268,15 +268,18 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model | Non
     picked = known.where(F.col("at") < cut)  # bounded by most_toxic and most_clean, so it is sent to all
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), "doc_id").collect()
     rows = sorted((r["at"], r["doc_id"], r["text"], r["toxic"]) for r in rows)
-    return train([r[2] for r in rows], [r[3] for r in rows], [1 / share[r[3]] for r in rows], p)
+    model = train([r[2] for r in rows], [r[3] for r in rows], [1 / share[r[3]] for r in rows], p)
+    del rows
+    trim()
+    return model
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id and score of each row of docs."""
     bounded_batches(spark)
 
+    @task("toxicity")
     def each(batches):
-        claim("toxicity")
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(model, b.column(1)), pa.float64())], names=["doc_id", "score"])
 

@@ -1,0 +1,273 @@
+"""Registered queries on the smallest tables: against SQL where there is some, else against brute force."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from oracle import assert_same, connect
+
+from graphloom.llm import decontamination, merkle, queries, source_mix, suffix_dedup, toxicity
+from graphloom.llm.elias_fano import EliasFano, encode
+
+
+@pytest.fixture(scope="module")
+def con(small):
+    return connect(small)
+
+
+@pytest.fixture(scope="module")
+def docs(con):
+    return con.execute("SELECT doc_id, text, lang, source FROM documents ORDER BY doc_id").fetchall()
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_equals_sql(spark, con, small, name):
+    assert_same(spark, con, small, queries.queries()[name], queries.oracle_sql()[name])
+
+
+def run(spark, small, name) -> dict:
+    return {r["doc_id"]: r for r in queries.queries()[name](spark, small).collect()}
+
+
+def test_language_id_held_out_accuracy(spark, small, docs):
+    got = run(spark, small, "op3_language_id")
+    lang = {d[0]: d[2] for d in docs}
+    held = [k for k, r in got.items() if r["held_out"]]
+    assert len(got) == len(docs) and held
+    assert np.mean([got[k]["lang_pred"] == lang[k] for k in held]) >= 0.9
+    assert all(r["held_out"] == (zlib.crc32(str(k).encode()) % 5 == 0) and 0 <= r["score"] <= 1 for k, r in got.items())
+
+
+def test_tokens_round_trip(spark, small, docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    own, at = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0
+    got = run(spark, small, "op4_token_output")
+    for k, text, _, _ in docs:
+        ids = [*own.encode(text or "", add_special_tokens=False).ids, 0]
+        r = got[k]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
+@pytest.mark.parametrize(("n", "top"), [(0, 1), (1, 0), (1, 10**12), (7, 3), (1000, 10), (900, 10**9)])
+def test_elias_fano(n, top):
+    v = np.sort(np.random.default_rng(n).integers(0, top + 1, n)).astype(np.uint64)
+    e = EliasFano(encode(v))
+    assert (e.all() == v).all() and [e.select(i) for i in range(n)] == v.tolist()
+    with pytest.raises(IndexError):
+        e.select(n)
+
+
+def test_encoder_equals_tokenizer_on_odd_texts():
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    from graphloom.llm.token_output import Encoder, default_params
+
+    enc = Encoder(default_params())
+    piece = st.sampled_from(["a", "bc", "É", " ", "  ", "\n", "\t", "'s", "...", "12", "_", "²", "\xa0", "\0", "<|endoftext|>", "日本", "!", "\x1c", "$"])
+
+    @given(st.lists(st.lists(piece, max_size=12).map("".join), max_size=20))
+    @settings(max_examples=60, deadline=None)
+    def check(texts):
+        ids, counts = enc.encode(pa.array(texts, pa.string()))
+        cut = np.split(ids, np.cumsum(counts)[:-1]) if len(texts) else []
+        assert [x.tolist() for x in cut] == [[*enc.own.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+
+    check()
+
+
+def test_source_mix_targets_and_limits(spark, small, docs):
+    got = run(spark, small, "op5_source_mix")
+    size = {k: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for k, t, _, _ in docs}
+    of = defaultdict(int)
+    for k, _, _, s in docs:
+        of[s] += size[k]
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(of))}
+    left, free, target = 1.5 * sum(of.values()), set(of), {}
+    while free:
+        total = sum(weight[s] for s in free)
+        over = {s for s in free if left * weight[s] / total > 2 * of[s]}
+        for s in over or free:
+            target[s] = 2 * of[s] if over else left * weight[s] / total
+        if not over:
+            break
+        left -= sum(target[s] for s in over)
+        free -= over
+    taken = defaultdict(int)
+    for k, r in got.items():
+        assert r["size"] == size[k] and r["source_size"] == of[r["source"]] and 0 <= r["taken"] <= 2 * r["size"]
+        assert r["target"] == pytest.approx(target[r["source"]])
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - target[s]) <= source_mix.Params().block_words for s in of)
+    assert {k: r["taken"] for k, r in run(spark, small, "op5_source_mix").items()} == {k: r["taken"] for k, r in got.items()}
+
+
+def test_sainte_lague(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    for seats in (0, 1, 5, 40, 333):
+        votes = [rng.choice([0, 1, 7, 100, 5000, 77]) for _ in range(15)]
+        df = spark.createDataFrame([("g", i, v) for i, v in enumerate(votes)], "g string, i long, v long")
+        got = {r["i"]: r["seats"] for r in source_mix.sainte_lague(df, "v", F.lit(seats), ["g"], ["i"], "seats").collect()}
+        want = [0] * len(votes)
+        for _ in range(seats):
+            best = max(range(len(votes)), key=lambda i: (votes[i] / (2 * want[i] + 1), -i))
+            want[best] += 1
+        assert [got[i] for i in range(len(votes))] == want
+
+
+def test_merkle_pairs(spark, small, docs):
+    got = run(spark, small, "op6_merkle")
+    for i, (k, text, _, _) in enumerate(docs):
+        text, after = text or "", docs[(i + 1) % len(docs)][1] or ""
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        r = got[k]
+        own, other, next_ = (next(iter(merkle.trees(pa.array([t], pa.large_string())))) for t in (text, edited, after))
+        assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (own[0], other[0])
+        assert r["near_edited"] == merkle.likeness(own[1], other[1], text == edited)
+        assert r["near_next"] == merkle.likeness(own[1], next_[1], text == after)
+
+
+def test_merkle_locates_edits():
+    a = "\n".join(f"line {i} of the text with some words in it" for i in range(40))
+    b = a.replace("line 17 of", "line seventeen of")
+    (fa, la), (fb, lb) = merkle.trees(pa.array([a, b], pa.large_string()))
+    assert fa != fb and 1 <= len(merkle.differing(la, lb)) <= 3 and merkle.differing(la, la) == []
+    root, levels = merkle.parse(fa)
+    assert all((x == y).all() for x, y in zip(levels, la, strict=True)) and len(root) == 32
+    assert merkle.likeness(la, lb) == pytest.approx(1 - (len(merkle.differing(la, lb)) + len(merkle.differing(lb, la))) / (len(la[4]) + len(lb[4])))
+
+
+def test_leaks_are_found_and_clean_documents_left(spark, small, docs, con):
+    words = lambda t: " ".join(re.findall(r"[^\W_]+", (t or "").lower()))
+    items = {i: words(t) for i, t in con.execute("SELECT item_id, text FROM benchmark").fetchall()}
+    want = {(k, i) for k, t, _, _ in docs for i, x in items.items() if x and f" {x} " in f" {words(t)} "}
+    got = {(r["doc_id"], r["item_id"]) for r in queries.queries()["op7_decontamination"](spark, small).collect()}
+    assert len(want & got) >= 0.9 * len(want) and len(got - want) <= 0.05 * max(20, len(want))
+
+
+def test_paraphrase_needs_its_answer():
+    p = decontamination.Params()
+    item, answer = list(range(20)), list(range(15, 20))
+    kept = [x for x in item if x not in (1, 4, 7, 9, 11, 13)]
+    assert decontamination.check(item, answer, item, p)[2] and decontamination.check(item, answer, kept, p)[2]
+    assert not decontamination.check(item, answer, [x for x in item if x < 14], p)[2]
+    a = [1, 2, 3, 4, 2, 5]
+    assert decontamination.common_subsequence(a, [2, 9, 4, 2, 5, 1]) == 4
+
+
+def test_toxicity_field():
+    rng = np.random.default_rng(0)
+    plain = [f"w{i}" for i in range(300)]
+    texts, y = [], []
+    for i in range(300):
+        t = rng.choice(plain, 30).tolist()
+        if i % 4 == 0:
+            for at in rng.integers(0, 30, 2):
+                t[at] = rng.choice(["slurry", "slurrish", "grimbo"])
+        texts.append(" ".join(t))
+        y.append(int(i % 4 == 0))
+    model = toxicity.train(texts[:200], y[:200], [1.0] * 200)
+    s = toxicity.scores(model, pa.array([*texts[200:], "", None, "SLURRY and grimbo"]))
+    assert ((s[:100] >= 0.5) == (np.array(y[200:]) == 1)).all() and s[100] == s[101] < 0.5 < s[102]
+    assert [x[:2] for x in toxicity.toxic_spans(model, "é w1 Grimbo w2")] == [(5, 11)]
+
+
+def test_toxicity_marginals_by_brute_force():
+    import itertools
+
+    rng = np.random.default_rng(5)
+    e, trans = rng.normal(size=5), rng.normal(size=(2, 2))
+    weights = {s: np.exp(sum(e[i] * s[i] for i in range(5)) + sum(trans[a, b] for a, b in itertools.pairwise(s))) for s in itertools.product((0, 1), repeat=5)}
+    z = sum(weights.values())
+    m, pairs, log_z = toxicity.forward_backward(e, np.array([0]), np.array([5]), trans)
+    assert m == pytest.approx([sum(w for s, w in weights.items() if s[i]) / z for i in range(5)]) and log_z == pytest.approx(np.log(z))
+    assert pairs[1, 0] == pytest.approx(sum(w * sum(a == 1 and b == 0 for a, b in itertools.pairwise(s)) for s, w in weights.items()) / z)
+
+
+def brute_repeats(rows, size=100):
+    seen, out = set(), []
+    for k, text in rows:
+        data = (text or "").encode()
+        gone = bytearray(len(data))
+        for p in range(len(data) - size + 1):
+            w = data[p : p + size]
+            if w in seen:
+                gone[p : p + size] = b"\1" * size
+            seen.add(w)
+        left = bytes(x for x, g in zip(data, gone, strict=True) if not g)
+        spans = sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1]))
+        out.append((k, len(data), sum(gone), spans, hashlib.sha256(left).hexdigest()))
+    return sorted(out)
+
+
+def test_repeats_of_the_tables(spark, small, docs):
+    got = sorted(tuple(r) for r in queries.queries()["op9_suffix_dedup"](spark, small).collect())
+    assert got == brute_repeats([(k, t) for k, t, _, _ in docs])
+
+
+@pytest.mark.parametrize("p", [suffix_dedup.Params(), suffix_dedup.Params(flush_bytes=2000, local_phrases=3, phrases=6)])
+def test_repeats_of_odd_texts(spark, p):
+    import random
+
+    rng = random.Random(2)
+    base = ["".join(rng.choice("abcdé \n") for _ in range(rng.choice([30, 100, 150, 400]))) for _ in range(12)]
+    rows = [(k, "".join(rng.choice(base) if rng.random() < 0.6 else "".join(rng.choice("abcxyz ") for _ in range(rng.choice([1, 5, 60, 200]))) for _ in range(rng.choice([0, 1, 2, 3, 6])))) for k in range(120)]
+    rows += [(500, "a" * 3000), (501, "a" * 300), (502, None), (503, "b" * 99), (504, "b" * 100), (505, "b" * 100), (600, base[0] * 3), (600, base[0] * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(tuple(r) for r in suffix_dedup.deduplicate(spark, df, p).collect()) == brute_repeats(rows)
+
+
+def test_secret_candidates(spark, small, docs):
+    pattern = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,200}[0-9])[A-Za-z0-9+/_=-]{16,}")
+    want = {(k, m.start(), len(m[0])): text[max(0, m.start() - 9) : m.start()] == 'token = "' for k, text, _, _ in docs for m in pattern.finditer(text or "")}
+    got = {(r["doc_id"], r["start"], r["length"]): r["is_secret"] for r in queries.queries()["op2_secret_scan"](spark, small).collect()}
+    assert got == want
+
+
+def test_near_duplicates_of_planted_groups(spark):
+    import random
+
+    from graphloom.llm import near_duplicates
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(6))
+    rows = []
+    for g in range(6):
+        base = [word() for _ in range(rng.choice([30, 200, 1500]))]
+        for _ in range(rng.choice([2, 9, 30])):
+            t = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 4])):
+                t[rng.randrange(len(t))] = word()
+            rows.append((len(rows), (" \n" if g % 2 else " ").join(t)))
+    rows += [(len(rows) + i, t) for i, t in enumerate(["one two", "One  TWO", "one", "", None, "a b c d e", "a b c d e f"])]
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    comp = list(range(len(rows)))
+    changed = True
+    while changed:
+        changed = False
+        for i in range(len(rows)):
+            for j in range(i):
+                o = len(sets[i] & sets[j])
+                if sets[i] and sets[j] and 100 * o >= 80 * (len(sets[i]) + len(sets[j]) - o) and comp[i] != comp[j]:
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+                    changed = True
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates.query(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {k: (len(sets[k]), comp[k]) for k, _ in rows}

@@ -28,6 +28,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_license_scan": license_scan.oracle(),
-        "op9_suffix_dedup": lambda spark, d: suffix_dedup.query(spark, documents(spark, d)),
+        "op5_source_mix": source_mix.oracle(),
         "op10_near_duplicates": near_duplicates.oracle(),
     }

@@ -121,3 +121,34 @@ def stage(spark: SparkSession, docs: DataFrame, p: Params = Params()) -> DataFra
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return mix(spark, docs)
+
+
+def oracle(p: Params = Params()) -> str:
+    """The same rows with every quotient ranked."""
+    weights = ", ".join(str(float(w)) for w in p.weights)
+    before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+
+    def seats(name: str, rows: str, votes: str, total: str, by: str, order: str) -> str:
+        return f"""{name}_n AS (SELECT *, sum({votes}) OVER (PARTITION BY {by}) AS all_votes, count(*) OVER (PARTITION BY {by}) AS n FROM {rows}),
+{name}_k AS (SELECT *, unnest(range(1, CASE WHEN all_votes > 0 THEN CAST(floor({votes} * ({total} + n / 2.0) / all_votes + 0.5) AS BIGINT) + 3 ELSE 1 END)) AS k FROM {name}_n),
+{name}_r AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {votes} / (2 * k - 1) DESC, {order} NULLS FIRST) AS r FROM {name}_k)"""
+
+    return f"""
+WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(concat_ws('|', '{p.seed}', coalesce(CAST(doc_id AS VARCHAR), ''), source)) AS h FROM documents),
+ps AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS docs FROM s GROUP BY source),
+pw AS (SELECT *, [{weights}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(p.weights)} + 1] AS weight, row_number() OVER (ORDER BY source NULLS LAST) AS rank, {p.most_passes} * source_size AS cap FROM ps),
+pl AS (SELECT *, least({p.share} * sum(source_size) OVER (), sum(cap) OVER ()) AS wanted, sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap / weight, rank {before}), 0) AS left_weight, coalesce(sum(cap) OVER (ORDER BY cap / weight, rank {before}), 0) AS taken_before FROM pw),
+lv AS (SELECT (wanted - taken_before) / left_weight AS level FROM pl WHERE (wanted - taken_before) / left_weight * weight <= cap ORDER BY cap / weight, rank LIMIT 1),
+t AS (SELECT source, source_size, docs, CAST(coalesce(least(cap, (SELECT level FROM lv) * weight), cap) AS DOUBLE) AS target, 1 AS one FROM pl),
+tb AS (SELECT *, CAST(round(sum(target) OVER () / {p.block_words}) AS BIGINT) AS blocks_all FROM t),
+{seats('a', 'tb', 'target', 'blocks_all', 'one', 'source')},
+g AS (SELECT t.*, least(CAST(ceil(docs / {float(p.shard_docs)}) AS BIGINT), {p.most_shards}) AS shards, coalesce((SELECT count(*) FROM a_r WHERE a_r.source IS NOT DISTINCT FROM t.source AND r <= blocks_all), 0) AS blocks FROM t),
+d AS (SELECT s.*, source_size, target, blocks, CAST('0x' || substr(h, 1, 8) AS BIGINT) % shards AS shard FROM s JOIN g ON s.source IS NOT DISTINCT FROM g.source),
+sh AS (SELECT coalesce(source, '') AS name, source IS NULL AS none, shard, blocks, sum(size) AS shard_size FROM d GROUP BY ALL),
+{seats('b', 'sh', 'shard_size', 'blocks', 'name, none', 'shard')},
+q AS (SELECT name, none, shard, count(*) FILTER (r <= blocks) * {p.block_words} AS quota FROM b_r GROUP BY ALL),
+c AS (SELECT d.*, sh.shard_size, coalesce(q.quota, 0) AS quota, sum(size) OVER (PARTITION BY d.source, d.shard ORDER BY h, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS first
+ FROM d JOIN sh ON sh.name = coalesce(d.source, '') AND sh.none = (d.source IS NULL) AND sh.shard = d.shard LEFT JOIN q ON q.name = sh.name AND q.none = sh.none AND q.shard = sh.shard),
+e AS (SELECT *, least(quota, {p.most_passes} * shard_size) AS passes FROM c),
+f AS (SELECT *, CASE WHEN shard_size > 0 THEN passes // shard_size ELSE 0 END AS whole FROM e)
+SELECT doc_id, source, size, source_size, target, CAST(whole * size + least(size, greatest(passes - whole * shard_size - first, 0)) AS BIGINT) AS taken FROM f"""

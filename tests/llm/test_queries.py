@@ -172,7 +172,7 @@ def test_paraphrase_needs_its_answer():
 
 def test_toxicity_field():
     rng = np.random.default_rng(0)
-    plain = [f"w{i}" for i in range(300)]
+    plain = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(300)]
     texts, y = [], []
     for i in range(300):
         t = rng.choice(plain, 30).tolist()
@@ -184,7 +184,7 @@ def test_toxicity_field():
     model = toxicity.train(texts[:200], y[:200], [1.0] * 200)
     s = toxicity.scores(model, pa.array([*texts[200:], "", None, "SLURRY and grimbo"]))
     assert ((s[:100] >= 0.5) == (np.array(y[200:]) == 1)).all() and s[100] == s[101] < 0.5 < s[102]
-    assert [x[:2] for x in toxicity.toxic_spans(model, "é w1 Grimbo w2")] == [(5, 11)]
+    assert [x[:2] for x in toxicity.toxic_spans(model, "é abcab Grimbo head")] == [(8, 14)]
 
 
 def test_toxicity_marginals_by_brute_force():

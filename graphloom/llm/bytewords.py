@@ -12,7 +12,7 @@ import pyarrow as pa
 
 from graphloom.llm.common import LOWER, mixed, runs, utf8
 
-PIECE = 1 << 20
+PIECE = 1 << 19
 BYTE_VALUE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from graphloom.shipping import ship
 
 #: Rows and bytes of an Arrow batch, so that a batch of long texts stays small.
-BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 200, 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,12 @@ CACHES: list[dict] = []
 _owner: list[str] = [""]
 
 
+def in_pieces(batch: pa.RecordBatch, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """A large batch in parts, so that Spark never holds it as a whole."""
+    for i in range(0, len(batch), rows):
+        yield batch.slice(i, rows)
+
+
 def trim() -> None:
     """Gives freed memory back to the system."""
     gc.collect()

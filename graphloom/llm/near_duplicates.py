@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.bytewords import shingle_sets
-from graphloom.llm.common import bounded_batches, partitions, task, written
+from graphloom.llm.common import bounded_batches, in_pieces, partitions, task, written
 from graphloom.llm.components import components
 
 
@@ -176,7 +176,8 @@ def lists(spark: SparkSession, docs: DataFrame, long_: tuple[np.ndarray, np.ndar
                 if data is not None:
                     held.setdefault(k, []).append(data)
         if held:
-            yield from _merged(np.frombuffer(b"".join(x for k in list(held) for x in held.pop(k)), ENTRY), p)
+            for x in _merged(np.frombuffer(b"".join(x for k in list(held) for x in held.pop(k)), ENTRY), p):
+                yield from in_pieces(x)
 
     OUT = ["kind", "shingle", "a", "b", "n", "m", "central"]
     dealt = docs.select("text").mapInArrow(emit, "bucket int, data binary, shingle long, class long, n long, central double").repartition(partitions(spark), "bucket")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.bytewords import BYTE_VALUE, PIECE, powers
-from graphloom.llm.common import bounded_batches, mixed, partitions, runs, task, utf8, written
+from graphloom.llm.common import bounded_batches, in_pieces, mixed, partitions, runs, task, utf8, written
 
 GRAM = 32
 LAST = (1 << 63) - 1
@@ -174,7 +174,7 @@ def marks(spark: SparkSession, keyed: DataFrame, keys: np.ndarray, p: Params) ->
             e, found, first, many = _settle(np.concatenate(held))
             for x, kind in found:
                 if len(x):
-                    yield _marks(x, kind, keys[np.arange(len(x)) % n])
+                    yield from in_pieces(_marks(x, kind, keys[np.arange(len(x)) % n]))
             e, many = e[first], many[first]
             hot = many > p.local_phrases
             if hot.any():
@@ -219,13 +219,13 @@ def marks(spark: SparkSession, keyed: DataFrame, keys: np.ndarray, p: Params) ->
             for x, kind in found:
                 x = x[~x["hot"]]
                 if len(x):
-                    yield _marks(x, kind)
+                    yield from in_pieces(_marks(x, kind))
             of = np.cumsum(np.append(True, e["gram"][1:] != e["gram"][:-1])[: len(e)]) - 1
             hot = (np.bincount(of, weights=e["hot"])[of] > 0) | (many > p.phrases) if len(e) else np.zeros(0, bool)
             first &= ~e["hot"]
             for x, kind in ((e[first & hot], BY_STRING), (e[first & ~hot & (many > 1)], BY_TRIGGER)):
                 if len(x):
-                    yield _marks(x, kind)
+                    yield from in_pieces(_marks(x, kind))
 
     dealt = keyed.select("doc", "tag", "text").mapInArrow(parse, MARK_SCHEMA).repartition(n, "bucket")
     return written(spark, dealt.mapInArrow(sort, MARK_SCHEMA).select("doc", "tag", "lo", "hi", "at", "kind"), "phrase-marks")
@@ -343,7 +343,7 @@ def suffixes(spark: SparkSession, keyed: DataFrame, open_: DataFrame, keys: np.n
                 again = _repeats(np.concatenate(held))[1]
                 held.clear()
                 if len(again):
-                    yield _runs(again)
+                    yield from in_pieces(_runs(again))
 
     pieces = texts.where("marks is not null").select("doc", "tag", "text", "marks").mapInArrow(cut, OPEN_SCHEMA)
     return written(spark, pieces.repartition(n, "bucket").mapInArrow(sort, OPEN_SCHEMA).select("doc", "tag", "lo", "hi"), "phrase-repeats")

@@ -39,10 +39,10 @@ SHARDS = "range int, shard int, before long, n_ids long, n_docs long, data binar
 class Params:
     tokenizer: str  # path of a vocabulary file of the tokenizers library
     end_id: int = 0
-    shard_ids: int = 1 << 20  # a shard ends with the batch that reaches it
+    shard_ids: int = 1 << 19  # a shard ends with the batch that reaches it
     cached_words: int = 800_000  # of a Python worker
     cached_pieces: int = 300_000
-    batch_docs: int = 1000
+    batch_docs: int = 600
 
 
 class Encoder:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from graphloom.shipping import ship
 
 #: Folders that are never looked into, beside those whose name starts with a dot.
-SKIPPED = ("__pycache__", "node_modules", ".venv", "venv", "dist", "build", ".jcode", ".graphloom")
+SKIPPED = ("__pycache__", "node_modules", "venv", "dist", "build")
 SUFFIXES = (".py", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".go", ".rs")
 
 

@@ -7,7 +7,7 @@ of the same file at line 0. Variables are assigned in the module's or a class's
 reference and a call's last name is a call, both to stand-ins at `<unresolved>`; calls outside of functions are none.
 A file that does not parse has its module node alone. Rules of plugins are asked first, by the called name.
 
-Other languages come as other functions from (path, text) to rows; none is included, as they need grammars that are not here.
+Other languages come as other functions from (path, text) to rows: brace_languages has some, by scans, as no grammars are here.
 """
 
 from __future__ import annotations
@@ -133,7 +133,9 @@ FRONT_ENDS: dict[str, Callable[..., tuple[Rows, Rows]]] = {".py": parse_python}
 
 def parse_files(files: DataFrame, rules: Iterable = ()) -> DataFrame:
     """files: file_path, text -> rows of kind node and edge (see PARSED). Files of languages without a front end give no rows."""
-    rules = list(rules)
+    from graphloom.operators import brace_languages  # noqa: F401  registers its front ends, also in the workers
+
+    rules, front_ends = list(rules), FRONT_ENDS
     ship(files.sparkSession)
 
     def each(batches):
@@ -141,7 +143,7 @@ def parse_files(files: DataFrame, rules: Iterable = ()) -> DataFrame:
             nodes: Rows = []
             edges: Rows = []
             for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                front = FRONT_ENDS.get("." + path.rsplit(".", 1)[-1])
+                front = front_ends.get("." + path.rsplit(".", 1)[-1])
                 if front and text is not None:
                     n, e = front(path, text, rules)
                     nodes += n

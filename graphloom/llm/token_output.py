@@ -61,7 +61,8 @@ class Encoder:
 
         self.own, self.p = Tokenizer.from_file(p.tokenizer), p
         self.width = 2 if self.own.get_vocab_size() <= 1 << 16 and p.end_id < 1 << 16 else 4
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
@@ -70,8 +71,9 @@ class Encoder:
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         words, marks = self.words, self.MARKS
-        if len(words) > self.p.cached_words:
-            words.clear()
+        if len(words) > self.p.cached_words // 2:
+            self.old, self.words = words, {"": b""}  # words in use come back from the older half
+            words = self.words
         found = list(map(self.pieces.get, pieces))
         missed = [i for i, c in enumerate(found) if c is None]
         parts = []
@@ -79,8 +81,9 @@ class Encoder:
             w = x.rstrip(marks)
             parts.append((w, x[len(w) :]) if w and (w[1:] if w[0] == " " else w).isalpha() else (x, ""))
         new = list(dict.fromkeys(y for part in parts for y in part if y and y not in words))
+        words.update((y, self.old[y]) for y in new if y in self.old)
+        new = [y for y in new if y not in words]
         words.update(zip(new, self._encoded(new), strict=True))
-        words[""] = b""
         for i, (w, m) in zip(missed, parts, strict=True):
             found[i] = words[w] + words[m] if m else words[w]
         if len(self.pieces) < self.p.cached_pieces:

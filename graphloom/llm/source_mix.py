@@ -34,6 +34,7 @@ class Params:
     shard_docs: int = 256  # documents of a shard, about
     most_shards: int = 4096  # of a source; beyond, shards grow
     seed: str = "mix-1"
+    most_sent: int = 1 << 19  # rows of the taken documents that the stage sends to all executors
 
 
 def n_words(text: Column) -> Column:
@@ -114,6 +115,8 @@ def stage(spark: SparkSession, docs: DataFrame, p: Params = Params()) -> DataFra
     taken = mix(spark, docs, p).groupBy("doc_id", "source", "size").agg(F.max("taken").alias("taken"))
     taken = taken.where("taken > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_copies")).where("_copies > 0")
     taken = written(spark, taken, "mix-taken")
+    if taken.count() <= p.most_sent:  # some 40 bytes a row; beyond, texts are shuffled to them
+        taken = F.broadcast(taken)
     sized = docs.withColumn("_size", n_words(F.col("text")))
     joined = sized.join(taken, sized["doc_id"].eqNullSafe(F.col("_d")) & sized["source"].eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n")))
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

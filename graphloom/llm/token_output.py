@@ -42,7 +42,7 @@ class Params:
     shard_ids: int = 1 << 19  # a shard ends with the batch that reaches it
     cached_words: int = 800_000  # of a Python worker
     cached_pieces: int = 300_000
-    batch_docs: int = 600
+    batch_docs: int = 1200
 
 
 class Encoder:

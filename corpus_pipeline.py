@@ -19,7 +19,7 @@ STAGES = [
     ("near_duplicates", lambda spark, docs, sf_dir: near_duplicates.stage(spark, docs)),
     ("decontamination", _decontaminate),
     ("source_mix", lambda spark, docs, sf_dir: source_mix.stage(spark, docs)),
-    ("token_output", lambda spark, docs, sf_dir: token_output.query(spark, docs)),
+    ("token_output", lambda spark, docs, sf_dir: token_output.stage(spark, docs)),
 ]
 
 #: The trained stages have no SQL form; tests hold the stages against brute force.

@@ -1,9 +1,12 @@
 """Language ID: averaged hashed subword embeddings under a linear softmax, trained by stochastic gradient descent in numpy.
 
-A text is the mean of the embeddings of its hashed byte n-grams (lower case). As mean and softmax layer are both linear, a
+A text is the mean of the embeddings of its hashed byte n-grams (lower case, words with one space between them). As mean and softmax layer are both linear, a
 trained model folds to one row of logits per bucket, so scoring reads each byte once, in numpy, over whole texts.
-Probabilities are calibrated by a temperature fitted on rows kept out of the descent. `reject_below` is taken from the same
-rows and lies under nearly all of their scores: what scores less is unlike every learned language.
+Probabilities are calibrated by a temperature fitted on rows kept out of the descent. They sum to 1 over the learned languages
+whatever the text is, so rejection goes by fit instead: the mean over a text's n-grams of the log-likelihood ratio that the
+language which knows the n-gram best gives it. `reject_below` holds a bound for each class of lengths, taken from the median and
+a low quantile of kept-out texts and of pieces of them, so that no single odd row moves it: what fits less is unlike every
+learned language. With less than `least_kept` kept-out texts in all classes nothing but letterless texts is rejected.
 
 Null, empty and letterless texts: `und` with score 0. Repeated rows get equal results. An empty table, or one without
 labelled rows, gives `und` throughout. Extra columns are not read.
@@ -25,6 +28,9 @@ UNKNOWN = "und"
 ORDERS = (2, 3, 4)
 #: Any letter; marks, digits and symbols are none.
 LETTER = r"\p{L}"
+#: Bytes of words: ASCII letters in lower case, and all beyond ASCII.
+WORDS = np.zeros(256, bool)
+WORDS[97:123] = WORDS[128:] = True
 
 
 @dataclass(frozen=True)
@@ -36,20 +42,34 @@ class Params:
     epochs: int = 8
     rate: float = 2.0
     seed: int = 7
+    least_kept: int = 20  # kept-out texts of a class of lengths that a bound is taken from, at least
+    low: float = 0.05  # quantile
+    spread: float = 5.0  # so many times as far below the median as that quantile lies the bound
+
+
+#: Upper ends of the classes of lengths, in n-grams.
+CLASSES = np.array([48, 96, 192, 384, 1536, 6144])
 
 
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # orders x buckets, languages: logits that one n-gram adds
+    table: np.ndarray  # orders x buckets, languages: logits that one n-gram adds; the last column holds its fit
     bias: np.ndarray
     temperature: float
-    reject_below: float
+    reject_below: np.ndarray  # by class of lengths
     buckets: int
 
 
-def _lowered(column: pa.Array) -> pa.Array:
-    return pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), ""))
+def _lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-case bytes and offsets of the texts, every run of ASCII other than letters as one space: numbers and marks are in no language."""
+    data, offsets = utf8(pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), "")))
+    letter = WORDS[data]
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]
+    at = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(keep, out=at[1:])
+    return np.where(letter, data, np.uint8(32))[keep], at[offsets]
 
 
 def _bucket(data: np.ndarray, order: int, buckets: int) -> np.ndarray:
@@ -89,11 +109,34 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def _fit_of(examples: list[tuple[np.ndarray, np.ndarray, int]], languages: int, buckets: int) -> np.ndarray:
+    """Log-likelihood ratio of each n-gram, in the language that knows it best, to all buckets being alike; half a count is added to each."""
+    known = np.full((len(ORDERS) * buckets, languages), 0.5)
+    for ids, n, lang in examples:
+        known[ids, lang] += n
+    per_order = known.reshape(len(ORDERS), buckets, languages)
+    return np.log(per_order / per_order.sum(axis=1, keepdims=True) * buckets).max(axis=2).reshape(-1)
+
+
+def _bounds(count: np.ndarray, fit: np.ndarray, p: Params) -> np.ndarray:
+    """The least fit of each class of lengths; a class with few texts takes the next shorter one's, as short texts vary more."""
+    of, out = np.searchsorted(CLASSES, count), np.full(len(CLASSES) + 1, np.nan)
+    for k in range(len(out)):
+        own = fit[of == k]
+        if len(own) >= p.least_kept:
+            middle, low = np.quantile(own, [0.5, p.low])
+            out[k] = middle - p.spread * (middle - low)
+        elif k:
+            out[k] = out[k - 1]
+    some = out[~np.isnan(out)]
+    return np.where(np.isnan(out), some[0] if len(some) else -np.inf, out)
+
+
 def train(texts: list[str], langs: list[str], p: Params = Params()) -> Model:
     """Gradient descent over whole texts and over short pieces of them, so that short texts score well too."""
     languages = sorted(set(langs))
     if not languages:
-        return Model([], np.zeros((p.buckets * len(ORDERS), 0), np.float32), np.zeros(0), 1.0, 0.0, p.buckets)
+        return Model([], np.zeros((p.buckets * len(ORDERS), 1), np.float32), np.zeros(0), 1.0, np.full(len(CLASSES) + 1, -np.inf), p.buckets)
     rng = np.random.default_rng(p.seed)
     which = {x: i for i, x in enumerate(languages)}
     examples: list[tuple[str, int, int]] = []
@@ -104,13 +147,14 @@ def train(texts: list[str], langs: list[str], p: Params = Params()) -> Model:
             width = int(rng.integers(8, 160))
             at = int(rng.integers(0, max(1, len(t) - width + 1)))
             examples.append((t[at : at + width], which[lang], kept * 2))
-    features = []
-    data, offsets = utf8(_lowered(pa.array([x[0] for x in examples], pa.large_string())))
+    features, sizes = [], []
+    data, offsets = _lowered(pa.array([x[0] for x in examples], pa.large_string()))
     for i in range(len(examples)):
         own = data[offsets[i] : offsets[i + 1]]
         ids = np.concatenate([_bucket(own, o, p.buckets).astype(np.int64) + k * p.buckets for k, o in enumerate(ORDERS)])
         ids, n = np.unique(ids, return_counts=True)
         features.append((ids, n / max(1, n.sum())))
+        sizes.append(int(n.sum()))
     emb = rng.normal(0, 0.1, (p.buckets * len(ORDERS), p.dims))
     out, bias = rng.normal(0, 0.1, (p.dims, len(languages))), np.zeros(len(languages))
     learn = [i for i, x in enumerate(examples) if not x[2] and len(features[i][0])]
@@ -129,28 +173,36 @@ def train(texts: list[str], langs: list[str], p: Params = Params()) -> Model:
             done += 1
     table = (emb @ out).astype(np.float32)
     rest = [i for i, x in enumerate(examples) if x[2] and len(features[i][0])]
-    temperature, below = 1.0, 0.0
+    temperature, below = 1.0, np.full(len(CLASSES) + 1, -np.inf)
     if rest:
         z = np.array([features[i][1] @ table[features[i][0]] + bias for i in rest])
         y = np.array([examples[i][1] for i in rest])
         temperature = float(min(np.geomspace(0.2, 10, 60), key=lambda t: -np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean()))
-        whole = np.array([examples[i][2] == 1 for i in rest])
-        if whole.any():
-            # half of what the least certain whole text scores: clean documents stay, whatever their length
-            below = 0.5 * float(_softmax(z[whole] / temperature).max(axis=1).min())
+    whole = [i for i in learn if i % 3 == 0]
+    fit = _fit_of([(features[i][0], features[i][1] * sizes[i], examples[i][1]) for i in whole], len(languages), p.buckets).astype(np.float32)
+    table = np.hstack([table, fit[:, None]])
+    kept = [examples[i][0] for i in rest if examples[i][2] == 1]
+    kept += [t[at : at + width] for t in kept for width in (16, 32, 64, 128, 512, 2048) if len(t) > width for at in (int(rng.integers(0, len(t) - width + 1)),)]
+    if kept:
+        data, offsets = _lowered(pa.array(kept, pa.large_string()))
+        total, count = _sums(data, offsets, fit[:, None], p.buckets)
+        some = (count > 0) & pc.match_substring_regex(pa.array(kept, pa.large_string()), LETTER).to_numpy(zero_copy_only=False)
+        below = _bounds(count[some], total[some, 0] / count[some], p)
     return Model(languages, table, bias, temperature, below, p.buckets)
 
 
-def predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
-    """Language and calibrated probability of each text."""
+def predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language and calibrated probability of each text, and whether it is unlike every language."""
     letters = pc.fill_null(pc.match_substring_regex(column, LETTER), False).to_numpy(zero_copy_only=False)
     if not model.languages:
-        return [UNKNOWN] * len(column), np.zeros(len(column))
-    data, offsets = utf8(_lowered(column))
+        return [UNKNOWN] * len(column), np.zeros(len(column)), np.ones(len(column), bool)
+    data, offsets = _lowered(column)
     total, count = _sums(data, offsets, model.table, model.buckets)
-    prob = _softmax((total / np.maximum(count, 1)[:, None] + model.bias) / model.temperature)
+    mean = total / np.maximum(count, 1)[:, None]
+    prob = _softmax((mean[:, :-1] + model.bias) / model.temperature)
     best = prob.argmax(axis=1)
-    return [model.languages[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)], np.where(letters, prob[np.arange(len(best)), best], 0.0)
+    away = ~letters | ((count > 0) & (mean[:, -1] < model.reject_below[np.searchsorted(CLASSES, count)]))
+    return [model.languages[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)], np.where(letters, prob[np.arange(len(best)), best], 0.0), away
 
 
 def fit(docs: DataFrame, p: Params = Params()) -> Model:
@@ -177,8 +229,7 @@ def classify(spark: SparkSession, docs: DataFrame, model: Model, columns: list[s
     @task("language_id")
     def each(batches):
         for b in batches:
-            lang, score = predict(model, b.column(b.schema.get_field_index("text")))
-            away = [x == UNKNOWN or s < model.reject_below for x, s in zip(lang, score, strict=True)]
+            lang, score, away = predict(model, b.column(b.schema.get_field_index("text")))
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in columns), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(away, pa.bool_())], names=[*columns, "lang_pred", "score", "rejected"])
 
     return read.mapInArrow(each, schema)

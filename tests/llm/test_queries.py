@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from oracle import assert_same, connect
 
-from graphloom.llm import decontamination, merkle, queries, source_mix, suffix_dedup, toxicity
+from graphloom.llm import decontamination, language_id, merkle, queries, source_mix, suffix_dedup, toxicity
 from graphloom.llm.elias_fano import EliasFano, encode
 
 
@@ -44,6 +44,20 @@ def test_language_id_held_out_accuracy(spark, small, docs):
     assert all(r["held_out"] == (zlib.crc32(str(k).encode()) % 5 == 0) and 0 <= r["score"] <= 1 for k, r in got.items())
 
 
+@pytest.mark.parametrize("away", ["de", "fr", "es"])
+def test_unlearned_language_is_rejected(docs, away):
+    learn = [d for i, d in enumerate(docs) if d[2] != away and i % 4]
+    # one odd row of each learned language moves no bound
+    learn += [(0, "qzx", x, "") for x in {d[2] for d in learn}]
+    model = language_id.train([d[1] for d in learn], [d[2] for d in learn])
+    _, _, rejected = language_id.predict(model, pa.array([d[1] for d in docs], pa.large_string()))
+    foreign = np.array([d[2] == away for d in docs])
+    kept_out = np.array([i % 4 == 0 for i in range(len(docs))]) & ~foreign
+    assert rejected[foreign].mean() >= 0.9 and rejected[kept_out].mean() <= 0.05
+    odd = ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.", "Все люди рождаются свободными"]
+    assert language_id.predict(model, pa.array(odd, pa.large_string()))[2].all()
+
+
 def test_tokens_round_trip(spark, small, docs):
     import public_tokenizers
     from tokenizers import Tokenizer

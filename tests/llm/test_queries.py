@@ -174,6 +174,36 @@ def test_leaks_are_found_and_clean_documents_left(spark, small, docs, con):
     assert len(want & got) >= 0.9 * len(want) and len(got - want) <= 0.05 * max(20, len(want))
 
 
+def test_short_items_equal_brute_force(spark):
+    import random
+
+    rng, p = random.Random(3), decontamination.Params()
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    common = [word() for _ in range(12)]
+    items = {k: [word() if rng.random() < 0.7 else rng.choice(common) for _ in range(k % 11 + 1)] for k in range(66)}
+    texts = []
+    for words in items.values():
+        for change in ("none", "swap", "drop", "add", "two"):
+            t = list(words)
+            for _ in range(2 if change == "two" else change != "none"):
+                i = rng.randrange(len(t))
+                t[i : i + 1] = {"drop": [], "add": [t[i], word()]}.get(change, [word()])
+                t = t or [word()]
+            texts.append([rng.choice(common) if rng.random() < 0.5 else word() for _ in range(20)] + t + [word() for _ in range(20)])
+    from math import ceil
+
+    want = set()
+    for k, x in items.items():
+        tail = max(3, int(len(x) * p.answer_tail))
+        size, answer = ceil(1.5 * len(x)), x[-tail:] if 2 * tail <= len(x) else []
+        want |= {(d, k) for d, t in enumerate(texts) if any(decontamination.check(x, answer, t[i : i + size], p)[2] for i in range(len(t)))}
+    one_changed = {(d, d // 5) for d in range(len(texts)) if d % 5 in (1, 2, 3) and len(items[d // 5]) >= 8}
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.query(spark, docs, bench).collect()}
+    assert got == want and one_changed <= got
+
+
 def test_paraphrase_needs_its_answer():
     p = decontamination.Params()
     item, answer = list(range(20)), list(range(15, 20))

@@ -1,10 +1,12 @@
 """License scan: exact set-similarity join of text blocks with license templates, in DataFrame operations only.
 
-A block is a line of a text; it meets a template when it holds at least `containment` of the template's distinct words.
+A block is a line of a text, or as many words in a row as the template's words over `containment`, however they are wrapped;
+it meets a template when it holds at least `containment` of the template's distinct words.
 Words are ordered by how many documents of the whole corpus hold them, rarest first. A block that meets a template of n
 words holds one of its first n - ceil(containment * n) + 1 words (prefix filter), holds ceil(containment * n) template
 words at all (length filter), and has enough words left behind the first common one on both sides (positional filter).
-What passes is counted exactly. Templates are a constant list, so the joined side is small whatever the corpus is; blocks
+What passes is counted exactly. Rows of words are looked at around each word of a prefix, in texts that hold enough of some
+template. Templates are a constant list, so the joined side is small whatever the corpus is; blocks
 are never moved: only one row a document is shuffled.
 
 Beside the join stand fixed phrases whose places are counted in the words of the whole text.
@@ -84,16 +86,19 @@ def scan(spark: SparkSession, docs: DataFrame, p: Params = Params()) -> DataFram
     df = document_frequency(docs, vocabulary)
     ordered = sorted(vocabulary, key=lambda w: (df.get(w, 0), w))
     place = {w: i for i, w in enumerate(ordered)}
-    prefixes, least = [], None
+    prefixes, least, reach = [], None, 0
     for k, (label, text) in enumerate(p.templates):
         own = sorted(set(text.split()), key=place.__getitem__)
         need = ceil(p.containment * len(own))
         least = need if least is None else min(least, need)
-        prefixes += [(w, k, label, own, len(own), i, need) for i, w in enumerate(own[: len(own) - need + 1])]
-    index = spark.createDataFrame(prefixes, "token string, template int, label string, own array<string>, n int, i int, need int")
+        span = ceil(len(text.split()) / p.containment)
+        reach = max(reach, span - 1)
+        prefixes += [(w, k, label, own, len(own), i, need, span) for i, w in enumerate(own[: len(own) - need + 1])]
+    index = spark.createDataFrame(prefixes, "token string, template int, label string, own array<string>, n int, i int, need int, span int")
     rare = _literal(sorted({x[0] for x in prefixes}))
 
-    read = docs.select("doc_id", F.coalesce(ascii_lower(F.col("text")), F.lit("")).alias("t")).withColumn("w", words(F.col("t")))
+    # before the explosion: a number given beside it would differ between the blocks of one row
+    read = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce(ascii_lower(F.col("text")), F.lit("")).alias("t")).withColumn("w", words(F.col("t")))
     w, size = F.col("w"), F.size("w")
     lead = (F.get(w, F.lit(0)) == "").cast("int")
     trail = ((size > 1) & (F.get(w, size - 1) == "")).cast("int")
@@ -110,19 +115,26 @@ def scan(spark: SparkSession, docs: DataFrame, p: Params = Params()) -> DataFram
         at_all = has if at_all is None else at_all | has
     places = F.when(at_all, F.filter(F.sequence(F.lit(0), size - 1), lambda i: F.coalesce(_any([s(i) for s in starts]), F.lit(False)))).otherwise(F.array().cast("array<int>"))
     label_of = F.create_map(*[F.lit(x) for k, v in PHRASES.items() for x in (k.split()[0], v)])
+    some = F.arrays_overlap(w, rare)
     blocks = F.when(
-        F.arrays_overlap(w, rare),
+        some,
         F.filter(F.transform(F.split("t", "\n"), lambda x: F.array_intersect(_literal(ordered), words(x))), lambda o: (F.size(o) >= least) & F.arrays_overlap(o, rare)),
     )
+    lines = F.transform(F.coalesce(blocks, F.array().cast("array<array<string>>")), lambda o: F.struct(o.alias("o"), F.lit(None).cast("array<string>").alias("near"), F.lit(None).cast("string").alias("token"), F.lit(0).alias("before")))
+    # words around each word of a prefix; only where words of a template go on over a line's end
+    wrapped = some & F.col("t").contains("\n") & _any([F.size(F.array_intersect(w, _literal(own))) >= need for own, need in sorted({(tuple(x[3]), x[6]) for x in prefixes})])
+    at = F.filter(F.sequence(F.lit(0), size - 1), lambda i: F.array_contains(rare, F.get(w, i)))
+    around = F.when(wrapped, F.transform(at, lambda i: F.struct(F.lit(None).cast("array<string>").alias("o"), F.slice(w, F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach)) + reach + 1).alias("near"), F.get(w, i).alias("token"), F.least(i, F.lit(reach)).alias("before"))))
+    around = F.coalesce(around, F.slice(lines, 1, 0))
     one = read.select(
-        F.monotonically_increasing_id().alias("row"),
+        "row",
         "doc_id",
         (size - lead - trail).cast("long").alias("n_words"),
         lead.alias("lead"),
         places.alias("places"),
         F.transform(places, lambda i: label_of[F.get(w, i)]).alias("base"),
-        F.explode_outer(blocks).alias("o"),
-    )
+        F.explode_outer(F.concat(lines, around)).alias("b"),
+    ).select("*", "b.o", "b.near", "b.token", "b.before").drop("b")
     base = F.array_sort(F.array_distinct("base"))
     one = one.select(
         "row", "doc_id", "n_words",
@@ -130,12 +142,18 @@ def scan(spark: SparkSession, docs: DataFrame, p: Params = Params()) -> DataFram
         (F.array_min("places") - F.col("lead")).cast("long").alias("first_word"),
         (F.array_max("places") - F.col("lead")).cast("long").alias("last_word"),
         F.array_join(base, ",").alias("base_labels"),
-        "o",
-        F.posexplode_outer("o").alias("j", "token"),
+        "o", "near", "before",
+        F.posexplode_outer(F.when(F.col("near").isNull(), F.col("o")).otherwise(F.array("token"))).alias("j", "token"),
     )
     met = one.join(F.broadcast(index), "token", "left")
     left = F.least(F.col("n") - F.col("i"), F.size("o") - F.col("j"))
     overlap = F.when((F.size("o") >= F.col("need")) & (left >= F.col("need")), F.size(F.array_intersect("own", "o")))
+    span, before = F.col("span"), F.col("before")
+    near = F.slice("near", F.greatest(before - span + 1, F.lit(0)) + 1, F.least(before, span - 1) + span)
+    # all rows of `span` words that hold the prefix word, which is the near part's word of place least(before, span - 1)
+    held = lambda x: F.size(F.array_intersect("own", x))
+    inside = F.when(held(near) >= F.col("need"), F.array_max(F.transform(F.sequence(F.lit(0), F.least(before, span - 1)), lambda s: held(F.slice(near, s + 1, span)))))
+    overlap = F.when(F.col("near").isNull(), overlap).otherwise(inside)
     met = met.withColumn("found", F.when(overlap >= F.col("need"), overlap / F.col("n")))
     keys = ["row", "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"]
     done = met.groupBy(*keys).agg(

@@ -35,6 +35,35 @@ def run(spark, small, name) -> dict:
     return {r["doc_id"]: r for r in queries.queries()[name](spark, small).collect()}
 
 
+def test_wrapped_licenses(spark):
+    from graphloom.llm import license_scan
+
+    def wrap(text, width, mark):
+        out = [[]]
+        for x in text.split():
+            if out[-1] and len(" ".join([*out[-1], x])) > width:
+                out.append([])
+            out[-1].append(x)
+        return "\n".join(mark + " ".join(x) for x in out)
+
+    notices = {
+        "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that",
+        "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided",
+        "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy",
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated",
+    }
+    texts = [(x, f"{before}{wrap(n, width, mark)}{after}") for x, n in notices.items() for width in (24, 40, 60, 75) for mark in ("", "// ", " * ") for before, after in (("", ""), ("some words first\n" * 30, "\nand more"))]
+    texts += [("", wrap("redistribution of some words and use " + "of other words " * 12 + "in source and binary forms " + "or not so " * 12 + "with or without modification", 40, ""))]
+    texts += [("unlicense", "All rights reserved.\nThis is free and unencumbered software released into the public domain.")]
+    rows = [(i, t) for i, (_, t) in enumerate(texts)]
+    found = license_scan.query(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {r["doc_id"]: r for r in found}
+    assert len(found) == len(rows)
+    for i, (label, text) in enumerate(texts):
+        assert label in got[i]["labels"].split(","), text
+        assert got[i]["score"] >= 0.8 if label else got[i]["labels"] == ""
+
+
 def test_language_id_held_out_accuracy(spark, small, docs):
     got = run(spark, small, "op3_language_id")
     lang = {d[0]: d[2] for d in docs}

@@ -1,6 +1,8 @@
 """Secret scan: candidate strings judged by a random forest that removes false positives, in DataFrame operations only.
 
-A candidate is a maximal run of 16 or more of [A-Za-z0-9+/_=-] with a digit in it. Features: its length, shares of character
+A candidate is a maximal run of 16 or more of [A-Za-z0-9+/_=-] other than a plain word (letters only, capitals at most in the first
+place), or a value of any length and characters that is assigned or quoted after a word such as password, token or api_key, or that
+stands between the colon and the @ of an URL's user. Features: its length, shares of character
 kinds and of distinct characters, transitions between kinds, how much of it dictionary words cover, the path of its document,
 and words before it. The forest is trained from labelled findings (before, candidate, after, path, label). The tables here hold
 no labelled findings, so the query trains on `generated_findings`, made by rule from seeded hashes; a user passes their own.
@@ -20,7 +22,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KIND = r"[A-Za-z0-9+/_=-]"
-CANDIDATE = rf"(?<!{KIND})(?=[A-Za-z+/_=-]{{0,200}}[0-9]){KIND}{{16,}}"
+RUN = rf"(?<!{KIND})(?![A-Za-z][a-z]*+(?!{KIND})){KIND}{{16,}}+"
+#: Cheap looks at what stands right before come first, as each look behind a long way is tried at each length.
+#: After a word that names a secret: the value between quotes, else what stands up to a space or an end mark after : or =; an URL's password.
+NAMED = r"(?i:secret|token|passw(?:or)?d|passphrase|pwd|api.?key|access.?key|private.?key|auth|bearer|credential)[A-Za-z0-9_-]{0,24}+"
+ASSIGNED = rf"(?<={NAMED}[\"']?[ \t]{{0,4}}(?:[:=]|:=|=>)[ \t]{{0,4}}(?:(?i:bearer|basic)[ \t]{{1,4}})?"
+QUOTED = rf"(?<=\"){ASSIGNED}\")[^\"\n]{{1,512}}(?=\")|(?<='){ASSIGNED}')[^'\n]{{1,512}}(?=')"
+BARE = rf"(?<=[:=> \t])(?<=[:=>][ \t]{{0,4}}|(?i:bearer|basic)[ \t]{{1,4}}){ASSIGNED})(?!(?i:bearer|basic)[ \t])[^\s\"'`,;(){{}}\[\]<>:=][^\s\"'`,;(){{}}\[\]<>]{{0,511}}"
+USER = r"(?<=:)(?<=://[^\s/:@\"']{1,64}:)[^\s/@\"']{1,256}(?=@)"
+CANDIDATE = f"{QUOTED}|{USER}|{BARE}|{RUN}"
 
 #: Words that names and prose are made of.
 DICTIONARY = (
@@ -123,7 +133,7 @@ def candidates(docs: DataFrame, p: Params = Params(), path: str = "source") -> D
     cut = read.select(F.monotonically_increasing_id().alias("row"), "doc_id", "path", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("c"), F.split("text", CANDIDATE, -1).alias("p"))
     one = cut.select(
         "row", "doc_id", "path",
-        F.posexplode(F.zip_with("c", F.slice("p", 1, F.size("c")), lambda c, x: F.struct(c.alias("candidate"), F.length(x).alias("gap"), F.right(x, F.lit(p.context)).alias("before")))).alias("k", "r"),
+        F.posexplode(F.zip_with(F.arrays_zip("c", F.slice(F.concat(F.array(F.lit("")), "c"), 1, F.size("c")).alias("last")), F.slice("p", 1, F.size("c")), lambda z, x: F.struct(z["c"].alias("candidate"), F.length(x).alias("gap"), F.right(F.concat(z["last"], x), F.lit(p.context)).alias("before")))).alias("k", "r"),
         F.transform(F.slice("p", 2, F.size("p")), lambda x: F.left(x, F.lit(8))).alias("tails"),
     ).select("row", "doc_id", "path", "k", "r.*", F.get("tails", F.col("k")).alias("after"))
     so_far = Window.partitionBy("row").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -445,6 +445,17 @@ def embed_text(spark, d):
     return n.select("id", made.alias("embed_text"))
 
 
+@query("embed_text_nodes", f"""WITH {sql()}, c AS (SELECT e.source_id, list(DISTINCT n.name) AS names FROM edges e JOIN nodes n ON n.id = e.target_id WHERE e.edge_type IN ('calls', 'depends') AND length(n.name) > 3 GROUP BY 1),
+p AS (SELECT n.id, [array_to_string(list_filter(string_split(file_path, '/')[1:-2], lambda x: x NOT IN ('', '.', 'src')), ' '), CASE WHEN title <> '' AND title <> name THEN title ELSE node_type || ' ' || name END, coalesce(array_to_string(list_sort(c.names)[1:8], ' '), ''), 'x = 1 y'] AS parts FROM nodes n LEFT JOIN c ON c.source_id = n.id WHERE n.node_type <> 'import')
+SELECT id, array_to_string(list_filter(parts, lambda x: x <> ''), '  ') AS embed_text FROM p""")
+def embed_text_nodes(spark, d):
+    """Every node but imports, which the reference does not embed either."""
+    g = Derived(spark, d)
+    n = g.nodes.where("node_type <> 'import'").join(embed.callee_names(g.nodes, g.edges).withColumnRenamed("source_id", "id"), "id", "left")
+    made = embed.embed_text(F.col("node_type"), F.col("name"), F.col("title"), F.col("file_path"), F.lit("()"), F.col("callees"), F.lit("  x = 1\n\n  y # gone\nz"))
+    return n.select("id", made.alias("embed_text"))
+
+
 @query("callee_names", f"""WITH {sql()} SELECT source_id, array_to_string(list_sort(list(DISTINCT n.name))[1:8], ',') AS callees FROM edges e JOIN nodes n ON n.id = e.target_id WHERE e.edge_type IN ('calls', 'depends') AND length(n.name) > 3 GROUP BY 1""")
 def callee_names(spark, d):
     g = Derived(spark, d)

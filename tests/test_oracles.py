@@ -23,6 +23,14 @@ def test_query_without_sql_runs(spark, small, name):
     assert registry.queries()[name](spark, small).count() > 0
 
 
+def test_embed_text_of_every_kind(spark, small):
+    from graphloom.plans.derived import Derived
+
+    nodes = Derived(spark, small).nodes.where("node_type <> 'import'")
+    assert nodes.select("node_type").distinct().count() > 1
+    assert registry.queries()["embed_text_nodes"](spark, small).count() == nodes.count()
+
+
 def test_entry(spark, small):
     import __spark_entry__
 

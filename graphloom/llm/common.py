@@ -5,9 +5,11 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +76,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; where none is named (tests, one machine) an own one is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -86,6 +90,18 @@ def written(spark: SparkSession, df: DataFrame, name: str, compression: str = "z
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, n: int) -> list[str]:
+    """n column names that df doesn't have, whatever its own are called."""
+    taken = {c.lower() for c in df.columns}
+    return list(islice((x for k in count() if (x := f"_own_{k}") not in taken), n))
+
+
+def numbers(df: DataFrame) -> dict[str, np.ndarray]:
+    """The columns of a table of bounded size at the driver, by Arrow: a few bytes a number and no object a row."""
+    table = df.toArrow()
+    return {c: table[c].to_numpy() for c in table.column_names}
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,9 +5,11 @@ together they cover the text. A paragraph's hash is that of its leaves' hashes,
 one whose hash has two zero bits, and the root is SHA-256 of the sections' hashes and the text's length. Cuts depend on
 the text near them only, so an edit changes the leaves it touches and the branch above them; everything else stays equal.
 
-A fingerprint is a string: the root in hex, a colon, base64 of the levels (ends and 32-bit hashes). Equal roots mean equal
-texts; likeness() and differing() compare level by level and look only into branches that differ. Leaf hashes are 64-bit
-inside the tree; they are not meant to withstand an adversary.
+A leaf's hash is BLAKE2b-128 of its bytes; a paragraph's and a section's are BLAKE2b-128 of their children's hashes in order, each
+level under a name of its own. So equal roots mean equal texts as far as BLAKE2b and SHA-256 hold.
+
+A fingerprint is a string: the root in hex, a colon, base64 of the levels (ends and 32-bit heads of the hashes). likeness() and
+differing() compare level by level and look only into branches that differ.
 
 The query pairs each document with the next one by doc_id. Documents are cut into buckets by doc_id quantiles taken over all
 rows, each bucket is read in order in one task, and the last document of a bucket meets the first of the next bucket in a
@@ -26,21 +28,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.bytewords import NOT_SPACE, pieces, powers, span_hashes, spans
-from graphloom.llm.common import bounded_batches, mixed, partitions, task
+from graphloom.llm.bytewords import NOT_SPACE, pieces, span_hashes, spans
+from graphloom.llm.common import bounded_batches, partitions, task
+
+CUT = np.uint64(3)  # a word or paragraph ends its group if these bits are zero
+
 
-CUT = np.uint64(3)
+WIDTH = 16  # bytes of a node's hash
 
 
-def _sequence_hashes(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """A hash of each h[first:last], in order."""
-    up, down = powers(len(h) + 1)
-    run = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * up[:-1], out=run[1:])
-    return mixed((run[last] - run[first]) * down[first] + (last - first).astype(np.uint64) * np.uint64(0x94D049BB133111EB))
+def _nodes(data: bytes, first: np.ndarray, last: np.ndarray, level: bytes) -> tuple[bytes, np.ndarray]:
+    """Hashes of all data[first:last], end to end, and as rows of four 32-bit numbers."""
+    view = memoryview(data)
+    out = b"".join([hashlib.blake2b(view[i:j], digest_size=WIDTH, person=level).digest() for i, j in zip(first.tolist(), last.tolist(), strict=True)])
+    return out, np.frombuffer(out, "<u4").reshape(-1, WIDTH // 4)
 
 
 def trees(column: pa.Array) -> Iterator[tuple[str, list[np.ndarray]]]:
@@ -73,29 +77,29 @@ def trees(column: pa.Array) -> Iterator[tuple[str, list[np.ndarray]]]:
         has = np.flatnonzero(np.diff(of_leaf) > 0)
         leaf_at = leaf_at.copy()
         leaf_at[of_leaf[has]] = offsets[has]
-        leaf_end = np.append(leaf_at[1:], offsets[-1])
+        leaf_end = np.append(leaf_at[1:], offsets[-1]) if len(leaf_at) else leaf_at
         leaf_end[of_leaf[has + 1] - 1] = offsets[has + 1]
-        leaves = span_hashes(data, leaf_at, leaf_end)
+        leaf, leaves = _nodes(data.tobytes(), leaf_at, leaf_end, b"leaf")
         par_first = np.zeros(len(leaves), bool)
         par_first[of_leaf[has]] = True
         real = leaf_word >= 0
         par_first[real] |= new_line[leaf_word[real]]
         pars = np.flatnonzero(par_first)
-        par_end = np.append(pars[1:], len(leaves))
-        par_hash = _sequence_hashes(leaves, pars, par_end) if len(pars) else leaves[:0]
+        par_end = np.append(pars[1:], len(leaves)) if len(pars) else pars
+        par, paragraphs = _nodes(leaf, pars * WIDTH, par_end * WIDTH, b"paragraph")
         of_par = np.searchsorted(pars, of_leaf)
         sec_first = np.zeros(len(pars), bool)
-        sec_first[1:] = (par_hash[:-1] & CUT) == 0
+        sec_first[1:] = (paragraphs[:-1, 1] & 3) == 0
         sec_first[of_par[has]] = True
         secs = np.flatnonzero(sec_first)
-        sec_end = np.append(secs[1:], len(pars))
-        sec_hash = _sequence_hashes(par_hash, secs, sec_end) if len(secs) else leaves[:0]
+        sec_end = np.append(secs[1:], len(pars)) if len(secs) else secs
+        sec, sections = _nodes(par, secs * WIDTH, sec_end * WIDTH, b"section")
         of_sec = np.searchsorted(secs, of_par)
         size = np.diff(offsets)
         for i in range(len(offsets) - 1):
             s, t, p, q, a, b = of_sec[i], of_sec[i + 1], of_par[i], of_par[i + 1], of_leaf[i], of_leaf[i + 1]
-            levels = [(sec_end[s:t] - p).astype("<u4"), (par_end[p:q] - a).astype("<u4"), sec_hash[s:t].astype("<u4"), par_hash[p:q].astype("<u4"), leaves[a:b].astype("<u4")]
-            root = hashlib.sha256(sec_hash[s:t].astype("<u8").tobytes() + int(size[i]).to_bytes(8, "little")).hexdigest()[:32]
+            levels = [(sec_end[s:t] - p).astype("<u4"), (par_end[p:q] - a).astype("<u4"), sections[s:t, 0].copy(), paragraphs[p:q, 0].copy(), leaves[a:b, 0].copy()]
+            root = hashlib.sha256(sec[s * WIDTH : t * WIDTH] + int(size[i]).to_bytes(8, "little")).hexdigest()[:32]
             body = np.array([t - s, q - p], "<u4").tobytes() + b"".join(x.tobytes() for x in levels)
             yield f"{root}:{base64.b64encode(body).decode()}", levels
 
@@ -186,6 +190,15 @@ def _rows(ids: list, texts: list[str], following: list[str], doc_id: pa.DataType
     )
 
 
+def _below(cuts: list[int], x: Column) -> Column:
+    """How many of the ascending cuts are less than x, by bisection."""
+    if not cuts:
+        return F.lit(0)
+    table = F.lit(cuts).cast("array<bigint>")
+    steps = F.lit([1 << k for k in reversed(range(len(cuts).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) < x, at + step).otherwise(at))
+
+
 def fingerprints(spark: SparkSession, docs: DataFrame, n_buckets: int | None = None) -> DataFrame:
     """A row for each document: itself, its edited text, and how alike they and the next document are."""
     bounded_batches(spark)
@@ -194,7 +207,7 @@ def fingerprints(spark: SparkSession, docs: DataFrame, n_buckets: int | None = N
     cuts = rows.where(F.col("doc_id").isNotNull()).agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000)).head()[0] or []
     cuts = sorted(set(cuts))
     h = F.shiftrightunsigned(F.xxhash64("text"), 2)
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1) + F.floor(h / (2.0**62 / n)).cast("int")).otherwise(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>"), lambda c: c < F.col("doc_id"))))
+    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1) + F.floor(h / (2.0**62 / n)).cast("int")).otherwise(_below(cuts, F.col("doc_id")))
     rows = rows.select(bucket.cast("int").alias("bucket"), "doc_id", h.alias("h"), "text")
     order = ["bucket", F.col("doc_id").asc_nulls_last(), "h"]
     # ids at both ends of each bucket: no more rows than buckets

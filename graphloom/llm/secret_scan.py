@@ -1,11 +1,11 @@
 """Secret scan: candidate strings judged by a random forest that removes false positives, in DataFrame operations only.
 
-A candidate is a maximal run of 16 or more of [A-Za-z0-9+/_=-] other than a plain word (letters only, capitals at most in the first
+A candidate is a private key in armour, or a maximal run (of name=value: the value) of 16 or more of [A-Za-z0-9+/_=-] other than a plain word (letters only, capitals at most in the first
 place), or a value of any length and characters that is assigned or quoted after a word such as password, token or api_key, or that
 stands between the colon and the @ of an URL's user. Features: its length, shares of character
 kinds and of distinct characters, transitions between kinds, how much of it dictionary words cover, the path of its document,
 and words before it. The forest is trained from labelled findings (before, candidate, after, path, label). The tables here hold
-no labelled findings, so the query trains on `generated_findings`, made by rule from seeded hashes; a user passes their own.
+no labelled findings, so the query trains on `generated_findings`, a small table made by rule from a seeded generator; a user passes their own.
 
 Null and empty texts have no candidate and give no row. Repeated rows give their candidates each. A null path counts as empty.
 An empty table gives no rows; labelled findings of one kind only give that label to all. Extra columns are not read.
@@ -13,6 +13,7 @@ An empty table gives no rows; labelled findings of one kind only give that label
 
 from __future__ import annotations
 
+import random
 from dataclasses import dataclass
 
 from pyspark.ml.classification import RandomForestClassifier
@@ -22,7 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KIND = r"[A-Za-z0-9+/_=-]"
-RUN = rf"(?<!{KIND})(?![A-Za-z][a-z]*+(?!{KIND})){KIND}{{16,}}+"
+#: Of name=value the run is the value.
+RUN = rf"(?:(?<!{KIND})|(?<=[A-Za-z0-9_]=))(?![A-Za-z_][A-Za-z0-9_]*+=[A-Za-z0-9+/_-])(?![A-Za-z][a-z]*+(?!{KIND})){KIND}{{16,}}+"
 #: Cheap looks at what stands right before come first, as each look behind a long way is tried at each length.
 #: After a word that names a secret: the value between quotes, else what stands up to a space or an end mark after : or =; an URL's password.
 NAMED = r"(?i:secret|token|passw(?:or)?d|passphrase|pwd|api.?key|access.?key|private.?key|auth|bearer|credential)[A-Za-z0-9_-]{0,24}+"
@@ -30,7 +32,9 @@ ASSIGNED = rf"(?<={NAMED}[\"']?[ \t]{{0,4}}(?:[:=]|:=|=>)[ \t]{{0,4}}(?:(?i:bear
 QUOTED = rf"(?<=\"){ASSIGNED}\")[^\"\n]{{1,512}}(?=\")|(?<='){ASSIGNED}')[^'\n]{{1,512}}(?=')"
 BARE = rf"(?<=[:=> \t])(?<=[:=>][ \t]{{0,4}}|(?i:bearer|basic)[ \t]{{1,4}}){ASSIGNED})(?!(?i:bearer|basic)[ \t])[^\s\"'`,;(){{}}\[\]<>:=][^\s\"'`,;(){{}}\[\]<>]{{0,511}}"
 USER = r"(?<=:)(?<=://[^\s/:@\"']{1,64}:)[^\s/@\"']{1,256}(?=@)"
-CANDIDATE = f"{QUOTED}|{USER}|{BARE}|{RUN}"
+#: A private key in armour, as one candidate from its first line to its last.
+ARMOUR = r"-----BEGIN [A-Z0-9 ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\s:,-]*?-----END [A-Z0-9 ]{0,24}PRIVATE KEY-----"
+CANDIDATE = f"{ARMOUR}|{QUOTED}|{USER}|{BARE}|{RUN}"
 
 #: Words that names and prose are made of.
 DICTIONARY = (
@@ -47,6 +51,8 @@ DICTIONARY = (
 #: What stands before secrets, what stands before other long strings, and where strings are seldom secret.
 BEFORE_SECRET = r"(?i)(secret|token|passw|pwd|api.?key|access.?key|private.?key|auth|bearer|credential)[^\n]{0,24}$"
 BEFORE_OTHER = r"(?i)(sha\d*|md5|commit|checksum|digest|integrity|uuid|guid|rev(ision)?|etag|hash|order|invoice|card|isbn|version)[^\n]{0,16}$"
+#: What stands for a value that is given elsewhere.
+PLACE_HOLDER = r"(?i)^[<$%{].*[>}%]$|^(x+|\*+|\.+|none|null|true|false|required|string|changeme|change.?me|example|placeholder|your.*|my.*|todo)$|^[a-z_]+(\.[a-zA-Z_]+)+(\(.*)?$"
 SAFE_PATH = r"(?i)(test|fixture|example|sample|mock|lock|vendor|node_modules|changelog)"
 
 
@@ -85,6 +91,10 @@ def features(c: Column, before: Column, after: Column, path: Column) -> dict[str
         "f_before_secret": flag(before.rlike(BEFORE_SECRET)),
         "f_before_other": flag(before.rlike(BEFORE_OTHER)),
         "f_assigned": flag(before.rlike("[:=]\\s*[\"']?$")),
+        "f_armour": flag(c.startswith("-----BEGIN ")),
+        "f_url": flag(before.rlike("://[^\\s/:@]*:$") & after.startswith("@")),
+        "f_letters_only": flag(c.rlike("^[A-Za-z]+$")),
+        "f_place_holder": flag(c.rlike(PLACE_HOLDER)),
         "f_quoted": flag(before.rlike("[\"']$") & after.rlike("^[\"']")),
     }
 
@@ -96,34 +106,56 @@ def with_features(df: DataFrame) -> DataFrame:
 
 NAMES = [
     "f_length", "f_digits", "f_upper", "f_lower", "f_marks", "f_distinct", "f_letter_digit", "f_digit_letter", "f_case", "f_runs", "f_vowels", "f_hex",
-    "f_digits_only", "f_groups", "f_words", "f_safe_path", "f_before_secret", "f_before_other", "f_assigned", "f_quoted",
+    "f_digits_only", "f_groups", "f_words", "f_safe_path", "f_before_secret", "f_before_other", "f_assigned", "f_armour", "f_url", "f_letters_only",
+    "f_place_holder", "f_quoted",
 ]
 
 
-def generated_findings(spark: SparkSession, n: int = 3000) -> DataFrame:
-    """Labelled findings by rule from hashes of 0 to n - 1: before, candidate, after, path, label."""
-    i = F.col("id")
-    h = lambda salt: F.sha2(F.concat(F.lit(f"{salt}-"), i.cast("string")), 256)
-    pick = lambda salt, items: F.element_at(F.array(*[F.lit(x) for x in items]), (F.pmod(F.xxhash64(F.lit(salt), i), F.lit(len(items))) + 1).cast("int"))
-    number = lambda salt, k: F.rpad(F.regexp_replace(h(salt), "[a-f]", ""), k, "7")
-    mixed = F.regexp_replace(F.substring(F.base64(F.unhex(h("b"))), 1, 40), "=", "A")
-    secret = F.element_at(F.array(F.substring(h("s"), 1, 40), F.substring(h("s"), 1, 32), h("s"), mixed, F.concat(F.lit("sk_live_"), F.substring(F.regexp_replace(mixed, "[+/]", "x"), 1, 24)), F.concat(F.lit("AKIA"), F.upper(F.substring(h("k"), 1, 16))), F.concat(F.lit("ghp_"), F.substring(F.regexp_replace(mixed, "[+/]", "z"), 1, 36))), (F.pmod(i, F.lit(7)) + 1).cast("int"))
-    before_secret = pick("bs", ['token = "', "password: '", "api_key=", 'secret = "', 'Authorization: Bearer ', "aws_secret_access_key = ", '"auth_token": "', "the TOKEN = \"", "private-key: "])
-    yes = F.struct(F.concat(pick("w1", ["and the ", "of onre. ", "", "config\n", "set "]), before_secret).alias("before"), secret.alias("candidate"), pick("as", ['" and', "' then", "\n", '"']).alias("after"), pick("ps", ["src/app/config.py", "deploy/.env", "src0", "src7", "settings.yaml", ""]).alias("path"), F.lit(1.0).alias("label"))
-    words = lambda: F.concat(pick("d1", DICTIONARY), F.initcap(pick("d2", DICTIONARY)), F.initcap(pick("d3", DICTIONARY)), F.pmod(i, F.lit(97)).cast("string"), pick("d4", DICTIONARY))
-    other = F.element_at(
-        F.array(
-            F.substring(h("o"), 1, 40), F.concat(F.substring(h("u"), 1, 8), F.lit("-"), F.substring(h("u"), 9, 4), F.lit("-"), F.substring(h("u"), 13, 4), F.lit("-"), F.substring(h("u"), 17, 4), F.lit("-"), F.substring(h("u"), 21, 12)),
-            number("n", 16), words(), F.concat(F.lit("2024-"), F.substring(number("t", 12), 1, 2), F.lit("-"), F.substring(number("t", 12), 3, 10)), h("x"), F.regexp_replace(words(), "([A-Z])", "_$1"),
-        ),
-        (F.pmod(i, F.lit(7)) + 1).cast("int"),
-    )
-    before_other = F.element_at(F.array(pick("c", ["commit ", "revision ", "sha1: "]), pick("u", ["uuid ", "request id ", "guid: "]), pick("n", ["and the ", "card ", "raie, ", "order no "]), pick("v", ["call ", "import ", "the ", "= "]), pick("t", ["on ", "at "]), pick("x", ["sha256:", "digest ", "integrity: "]), pick("y", ["see ", "in ", '"'])), (F.pmod(i, F.lit(7)) + 1).cast("int"))
-    no = F.struct(before_other.alias("before"), other.alias("candidate"), pick("an", [" and", ", on", "\n", ")"]).alias("after"), pick("pn", ["package-lock.json", "src/app/main.py", "src0", "src7", "tests/fixtures/a.txt", "docs/changelog.md", ""]).alias("path"), F.lit(0.0).alias("label"))
-    # secrets of test fixtures are no findings
-    fixture = F.struct(F.concat(before_secret).alias("before"), secret.alias("candidate"), F.lit('"').alias("after"), pick("pf", ["tests/fixtures/a.txt", "examples/mock.py"]).alias("path"), F.lit(0.0).alias("label"))
-    kind = F.pmod(F.xxhash64(F.lit("kind"), i), F.lit(10))
-    return spark.range(0, n, 1, 1).select(F.when(kind < 4, yes).when(kind < 9, no).otherwise(fixture).alias("r")).select("r.*")
+def generated_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
+    """n labelled findings by rule from a seeded generator: before, candidate, after, path, label.
+
+    Keys and passwords of many forms behind words that name them, behind plain assignments, in URLs and in armour; against them digests,
+    ids, numbers, names and identifiers, place holders behind the very same words, and keys of test files.
+    """
+    rng = random.Random(29)
+    hexes, small, large = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    of = lambda kinds, k: "".join(rng.choice(kinds) for _ in range(k))
+    mixed = lambda k: of(small + large + "0123456789", k)
+    word = lambda: rng.choice(DICTIONARY)
+    words = lambda k, mark: mark.join(word() for _ in range(k))
+    keys = [
+        lambda: of(hexes, 40), lambda: of(hexes, 32), lambda: of(hexes, 64), lambda: of(small + large + "0123456789+/", 40), lambda: "sk_live_" + mixed(24), lambda: "AKIA" + of(large + "234567", 16), lambda: "AKIA" + of(large, 16),
+        lambda: "ghp_" + mixed(36), lambda: f"xoxb-{of('0123456789', 12)}-{mixed(24)}", lambda: mixed(rng.randrange(18, 48)), lambda: of(small + large, rng.randrange(18, 40)), lambda: f"{mixed(20)}.{mixed(36)}", lambda: f"{of(small, 3)}-{mixed(20)}_{mixed(8)}",
+    ]
+    marks = "!#$%&*?@^"
+    passwords = [
+        lambda: mixed(rng.randrange(4, 9)) + rng.choice(marks) + mixed(rng.randrange(2, 5)), lambda: word() + of("0123456789", 3) + rng.choice(["", "!", "?", "#"]), lambda: word().title() + rng.choice("$&-_!") + word().title() + str(rng.randrange(100)),
+        lambda: mixed(rng.randrange(8, 15)), lambda: of(small, 9), lambda: words(4, " "), lambda: " ".join(of(small, rng.randrange(3, 9)) for _ in range(rng.randrange(3, 6))), lambda: words(3, "-") + str(rng.randrange(100)),
+    ]
+    others = [
+        lambda: of(hexes, 40), lambda: of(hexes, 64), lambda: "-".join(of(hexes, k) for k in (8, 4, 4, 4, 12)), lambda: of("0123456789", 16), lambda: f"2024-{of('0123456789', 2)}-{of('0123456789', 10)}",
+        lambda: word() + "".join(word().title() for _ in range(3)) + str(rng.randrange(97)), lambda: word() + "".join(word().title() for _ in range(3)), lambda: words(4, "_"), lambda: words(4, "/"), lambda: words(3, "-") + "-" + str(rng.randrange(9)), lambda: "".join(word().title() for _ in range(4)),
+    ]
+    named = ['token = "', "password: '", "api_key=", 'secret = "', "Authorization: Bearer ", "aws_secret_access_key = ", '"auth_token": "', 'the TOKEN = "', "private-key: ", "passwd=", "client_secret: ", "credential: '", "pwd="]
+    assigned = ['key = "', "value: '", 'x = "', 'Client("', "hook: ", "signature=", "id="]
+    other_lead = ["commit ", "revision ", "sha1: ", "sha256:", "digest ", "integrity: ", "uuid ", "guid: ", "request id ", "order no ", "card ", "call ", "import ", "see ", "in ", '"', "on ", "the ", "= "]
+    holders = ["changeme", "your_api_key_here", "xxxxxxxxxxxxxxxx", "example", "required", "string", "None", "true", "null", "${SECRET}", "<token>", "process.env.TOKEN", "os.environ", "config.password", "********", "{{ password }}", "YOUR_TOKEN", "placeholder", "todo"]
+    lead = lambda: rng.choice(["", "set ", "\n", "and the ", "  ", "config\n", "export "])
+    folder, mild, fixed = ["src/app/config.py", "deploy/.env", "settings.yaml", "src/app/main.py", "", "web", "docs/setup.md"], ["package-lock.json", "src/app/main.py", "tests/fixtures/a.txt", "docs/changelog.md", "", "web", "deploy/.env"], ["tests/fixtures/a.txt", "examples/mock.py"]
+    end = ['" and', "' then", "\n", '"', " "]
+    scheme = ["postgres", "mongodb", "redis", "https", "amqp"]
+    armour = lambda: f"-----BEGIN {rng.choice(['RSA ', 'EC ', 'OPENSSH ', ''])}PRIVATE KEY-----\n" + "\n".join(of(small + large + "0123456789+/", 64) for _ in range(rng.randrange(1, 5))) + "\n-----END PRIVATE KEY-----"
+    # share, what stands before, candidates, what stands behind, paths, label
+    kinds = [
+        (22, lambda: lead() + rng.choice(named), keys, end, folder, 1.0), (14, lambda: lead() + rng.choice(named), passwords, end, folder, 1.0), (8, lambda: lead() + rng.choice(assigned), keys[3:], end, folder, 1.0),
+        (6, lambda: f"{lead()}{rng.choice(scheme)}://{word()}:", [*passwords[:5], *keys[9:11]], ["@db.host", "@10.0.0.1/x"], folder, 1.0), (3, lead, [armour], ["\n"], folder, 1.0),
+        (26, lambda: lead() + rng.choice(other_lead), others, [" and", ", on", "\n", ")", '"'], mild, 0.0), (8, lambda: lead() + rng.choice(assigned), others[5:], end, mild, 0.0),
+        (9, lambda: lead() + rng.choice(named), [lambda: rng.choice(holders)], end, folder, 0.0), (2, lambda: f"{lead()}https://user:", [lambda: rng.choice(["password", "<password>", "${PASS}", "xxxx"])], ["@host"], folder, 0.0), (4, lambda: lead() + rng.choice(named), keys, end, fixed, 0.0),
+    ]
+    rows = []
+    for share, before, made, after, paths, label in kinds:
+        rows += [(before(), rng.choice(made)(), rng.choice(after), rng.choice(paths), label) for _ in range(share * n // sum(k[0] for k in kinds))]
+    return spark.createDataFrame(rows, "before string, candidate string, after string, path string, label double")
 
 
 def candidates(docs: DataFrame, p: Params = Params(), path: str = "source") -> DataFrame:

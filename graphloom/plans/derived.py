@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.ids import node_id
 from graphloom.schemas import NODE_COLUMNS
+from graphloom.shared import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,8 +24,13 @@ def _node(df: DataFrame, kind: str, name: str, path, key: str) -> DataFrame:
     return out.withColumns({"title": F.concat_ws(".", F.replace("file_path", F.lit("/"), F.lit(".")), F.col("name")), "line_end": F.col("line_start") + 10, "signature": F.lit(""), "keywords": F.lit("")})
 
 
+#: Written tables (nodes, edges, edges by target) by application, folder and kind.
+KEPT: dict[tuple[str, str, bool], tuple[DataFrame, DataFrame, DataFrame]] = {}
+
+
 class Derived:
     def __init__(self, spark: SparkSession, sf_dir: str, cyclic: bool = False):
+        self.spark, self.sf_dir, self.cyclic = spark, sf_dir, cyclic
         t = lambda n: table(spark, sf_dir, n)
         region = t("region")
         nation = t("nation").join(region, F.col("n_regionkey") == F.col("r_regionkey"))
@@ -66,9 +72,14 @@ class Derived:
             edges = e if edges is None else edges.unionByName(e)
         self.edges = edges
 
-    def kept(self) -> Derived:
-        """The same with nodes and edges kept in memory or on disk, as a stored graph's tables are for many hops and queries."""
-        self.nodes, self.edges = self.nodes.persist(), self.edges.persist()
+    def kept(self, anew: bool = False) -> Derived:
+        """The same over written tables, laid out as a stored graph's are; an application writes them once for all its queries."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, self.cyclic)
+        if anew or key not in KEPT:
+            lay = lambda df, by, name: written(self.spark, df.repartitionByRange(by).sortWithinPartitions(by), name)
+            edges = lay(self.edges, "source_id", "derived-edges")
+            KEPT[key] = lay(self.nodes, "id", "derived-nodes"), edges, lay(edges, "target_id", "derived-edges-in")
+        self.nodes, self.edges, self.edges_in = KEPT[key]
         return self
 
     def key(self, part: str, key: int) -> str:

@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented letters and what they fold to.
-ACCENTED, PLAIN = "äçèéêíñóöü", "aceeeinoou"
+
+def _folding() -> tuple[str, str]:
+    """Letters with marks and the letters without them, by canonical decomposition; then the marks themselves, which fold to nothing."""
+    letters = {c: unicodedata.normalize("NFD", c)[0] for c in map(chr, (*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000))) if c == c.lower()}
+    letters = {c: plain for c, plain in letters.items() if plain != c and plain.isalpha()}
+    return "".join(letters) + "".join(map(chr, range(0x300, 0x370))), "".join(letters.values())
+
+
+#: Lower-case letters with marks and what they fold to; what has no counterpart (the marks) goes.
+ACCENTED, PLAIN = _folding()
+FOLD = str.maketrans(dict(zip(ACCENTED, [*PLAIN, *[None] * (len(ACCENTED) - len(PLAIN))], strict=True)))
 NOT_TOKEN = r"[^\p{L}\p{N}]+"
 
 
@@ -19,16 +30,22 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(folded(F.coalesce(c, F.lit(""))), NOT_TOKEN), lambda x: x != "")
 
 
-def joined_tokens(c: Column) -> Column:
-    """tokens() as one string with a space around each, for phrase_count()."""
-    return F.concat(F.lit(" "), F.array_join(tokens(c), " "), F.lit(" "))
+def phrase_count(hits: Column, phrase: list[str], prefix: bool = False, column: int | None = None) -> Column:
+    """How often the words of a phrase stand side by side among hits (c: column, w: token, i: place); with prefix the last word may go on."""
+
+    def fits(x: Column, k: int) -> Column:
+        return x["w"].startswith(phrase[k]) if prefix and k == len(phrase) - 1 else x["w"] == phrase[k]
+
+    def here(x: Column) -> Column:
+        def behind(k: int) -> Column:
+            return F.exists(hits, lambda y: (y["c"] == x["c"]) & (y["i"] == x["i"] + k) & fits(y, k))
 
+        out = fits(x, 0) if column is None else fits(x, 0) & (x["c"] == column)
+        for k in range(1, len(phrase)):
+            out = out & behind(k)
+        return out
 
-def phrase_count(joined: Column, phrase: list[str], prefix: bool = False) -> Column:
-    """How often the words of a phrase stand side by side (places may overlap); with prefix the last word may go on."""
-    end = "" if prefix else " "
-    ahead = "".join(f" {w}" for w in phrase[1:]) + end
-    return F.regexp_count(joined, F.lit(f"(?<= ){phrase[0]}(?={ahead})" if ahead else f"(?<= ){phrase[0]}"))
+    return F.size(F.filter(hits, here))
 
 
 def like_contains(c: Column, query: str) -> Column:

@@ -26,8 +26,10 @@ def diff_counts(diff: DataFrame) -> DataFrame:
 
 
 def upsert_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """New rows are added; rows with a known id replace title, line_end, signature and keywords. One row an id on both sides."""
-    o, n = (df.select("id", F.struct(*NODE_COLUMNS).alias(k)) for df, k in ((old, "o"), (new, "n")))
+    """New rows are added; rows with a known id replace title, line_end, signature and keywords. Of rows that repeat an id the greatest
+    counts, as a table has no last one."""
+    one = lambda df, k: df.select("id", F.struct(*NODE_COLUMNS).alias("r")).groupBy("id").agg(F.max("r").alias(k))
+    o, n = one(old, "o"), one(new, "n")
     both = o.join(n, "id", "full")
     pick = lambda c: F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")) if c in MUTABLE else F.coalesce(F.col(f"o.{c}"), F.col(f"n.{c}"))
     return both.select(*[pick(c).alias(c) for c in NODE_COLUMNS])
@@ -39,12 +41,13 @@ def upsert_edges(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def upsert_by(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows of new take the place of rows of old with their key (manifest, embeddings)."""
+    new = new.dropDuplicates([key])
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
 def update_keywords(nodes: DataFrame, keywords: DataFrame) -> DataFrame:
-    """keywords: id, keywords. Ids without a node change nothing."""
-    k = keywords.select("id", F.col("keywords").alias("_k"))
+    """keywords: id, keywords. Ids without a node change nothing; of repeated ids the greatest keywords count."""
+    k = keywords.groupBy("id").agg(F.max("keywords").alias("_k"))
     return nodes.join(k, "id", "left").withColumn("keywords", F.coalesce("_k", "keywords")).select(*NODE_COLUMNS)
 
 

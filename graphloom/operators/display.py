@@ -36,5 +36,15 @@ def edge_rows(edges: DataFrame) -> DataFrame:
     return edges.select(short_id(F.col("source_id")).alias("source"), short_id(F.col("target_id")).alias("target"), "edge_type")
 
 
+def affected_rows(nodes: DataFrame) -> DataFrame:
+    """Affected nodes as people read them: by type, then title."""
+    return nodes.select(F.col("node_type").alias("type"), "title", F.col("file_path").alias("file"), short_id(F.col("id")).alias("id"), *[c for c in ("depth",) if c in nodes.columns]).orderBy("type", "title", "id")
+
+
+def listing(found: DataFrame) -> DataFrame:
+    """Search results as a command prints them: type, title, place, score of two digits, short id."""
+    return found.select(F.col("node_type").alias("type"), "title", F.concat_ws(":", "file_path", "line_start").alias("place"), F.format_number("score", 2).alias("score"), short_id(F.col("id")).alias("id"))
+
+
 def score_rows(found: DataFrame, places: int = 3) -> DataFrame:
     return node_rows(found.withColumn("score", F.round("score", places)), "score")

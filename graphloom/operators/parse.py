@@ -5,7 +5,8 @@ module on. A function right inside a class is a method (contains), any other is
 are defined by the module. An import's name is its text. A class inherits from each base that is a plain name, as a stand-in class
 of the same file at line 0. Variables are assigned in the module's or a class's own body. In functions, an attribute's name is a
 reference and a call's last name is a call, both to stand-ins at `<unresolved>`; calls outside of functions are none.
-A file that does not parse has its module node alone. Rules of plugins are asked first, by the called name.
+Of a file that does not parse, the statements at its left margin that do parse are read; the others are passed over. Rules of plugins
+are asked first, by the called name; rules that are `generic` see every other call inside a function, in place of its edge.
 
 Other languages come as other functions from (path, text) to rows: brace_languages has some, by scans, as no grammars are here.
 """
@@ -13,6 +14,7 @@ Other languages come as other functions from (path, text) to rows: brace_languag
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
@@ -71,6 +73,29 @@ def _signature(text: list[str], node: ast.AST, source: str) -> str:
     return "()"
 
 
+def _recovered(source: str) -> ast.Module | None:
+    """The tree of what parses: statements that start at the left margin, with their decorators and else branches, each on its own."""
+    lines = source.split("\n")
+    starts: list[int] = []
+    open_decorator = False
+    for i, x in enumerate(lines):
+        if x and not x[0].isspace() and x[0] not in ")]}#" and not re.match(r"(else|elif|except|finally)\b", x):
+            if not open_decorator:
+                starts.append(i)
+            open_decorator = x[0] == "@"
+    kept = [""] * len(lines)
+    for i, j in zip(starts, [*starts[1:], len(lines)], strict=True):
+        try:
+            ast.parse("\n".join(lines[i:j]))
+        except (SyntaxError, ValueError, RecursionError):
+            continue
+        kept[i:j] = lines[i:j]
+    try:
+        return ast.parse("\n".join(kept))
+    except (SyntaxError, ValueError, RecursionError):
+        return None
+
+
 def parse_python(path: str, source: str, rules: Iterable = ()) -> tuple[Rows, Rows]:
     """Nodes and raw edges of one file. Rules: objects with handled_names and handle_call(name, call, caller, collector)."""
     out = Collector(path)
@@ -80,8 +105,12 @@ def parse_python(path: str, source: str, rules: Iterable = ()) -> tuple[Rows, Ro
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError):
-        return list(out.nodes.values()), []
+        tree = _recovered(source)
+        if tree is None:
+            return list(out.nodes.values()), []
+    rules = list(rules)
     by_name = {n: r for r in rules for n in r.handled_names}
+    generic = [r for r in rules if getattr(r, "generic", False)]
 
     def variables(body: list[ast.stmt], parent: str, scope: list[str]) -> None:
         for s in body:
@@ -117,6 +146,9 @@ def parse_python(path: str, source: str, rules: Iterable = ()) -> tuple[Rows, Ro
                     rule = by_name.get(called)
                     if rule is not None:
                         rule.handle_call(called, child, caller or module, out)
+                    elif called and caller and generic:
+                        for r in generic:
+                            r.handle_any_call(called, child, caller, out)
                     elif called and caller:
                         out.edge(caller, out.stub("function", called), "calls")
                 if isinstance(child, ast.Attribute) and caller and len(child.attr) >= LEAST_REFERENCE:

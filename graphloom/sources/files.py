@@ -34,6 +34,23 @@ def discover(spark: SparkSession, root: str, suffixes: tuple[str, ...] = SUFFIXE
     return rows.where(~hidden & wanted).select("file_path", F.sha2("content", 256).alias("content_hash"), "content")
 
 
+def texts_of(spark: SparkSession, root: str, paths: DataFrame, most_listed: int = 1000) -> DataFrame:
+    """file_path, content_hash, text of the files under root that `paths` (file_path) names. A few are read by name, else all are looked at."""
+    n = paths.count()
+    if n == 0:
+        return spark.createDataFrame([], "file_path string, content_hash string, text string")
+    if n > most_listed:
+        return decoded(discover(spark, root).join(paths, "file_path", "left_semi"))
+    names = [f"{root.rstrip('/')}/{_escaped(r['file_path'])}" for r in paths.collect()]
+    raw = spark.read.format("binaryFile").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(names)
+    return decoded(raw.select(_relative(F.col("path"), root).alias("file_path"), F.sha2("content", 256).alias("content_hash"), "content"))
+
+
+def _escaped(path: str) -> str:
+    """A path in which Spark's file names take no character for a pattern."""
+    return re.sub(r"([\\*?{}\[\]])", r"\\\1", path)
+
+
 def decoded(files: DataFrame) -> DataFrame:
     """file_path, content_hash, text: UTF-8 with a replacement mark for what is malformed."""
     ship(files.sparkSession)
@@ -64,6 +81,14 @@ def dependencies(name: str, text: str) -> set[str]:
     return set()
 
 
+def installed(spark: SparkSession, root: str) -> set[str]:
+    """Names of the packages in a virtual environment under root."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(path(f"{root.rstrip('/')}/{{.venv,venv}}/{{Lib,lib,lib/python*}}/site-packages/*"))
+    return {x.getPath().getName().lower().split("-")[0] for x in found or []}
+
+
 #: Extensions that front-end plugins register: name of the package they serve -> what makes their rules.
 PLUGINS: dict[str, object] = {}
 

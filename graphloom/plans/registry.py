@@ -12,6 +12,7 @@ from graphloom.functions.ids import node_id
 from graphloom.operators import build, display, embed, rollup, search, traverse
 from graphloom.plans.derived import Derived, sql, table
 from graphloom.schemas import UNRESOLVED
+from graphloom.shared import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,6 +45,17 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
+# the stored graph
+
+
+@query("graph_store", f"WITH {sql()} SELECT edge_type, count(*) AS edges, count(DISTINCT source_id) AS sources, count(DISTINCT target_id) AS targets FROM edges GROUP BY edge_type")
+def graph_store(spark, d):
+    """Writes the graph anew, by source and by target, and counts what was written."""
+    g = Derived(spark, d).kept(anew=True)
+    ends = [g.edges.groupBy("edge_type").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("source_id").alias("sources")), g.edges_in.groupBy("edge_type").agg(F.countDistinct("target_id").alias("targets"))]
+    return ends[0].join(ends[1], "edge_type")
+
+
 # traversal
 
 
@@ -61,13 +73,13 @@ BLAST_SQL = " SELECT n.id, n.node_type, n.name, n.title, n.file_path, CAST(v.dep
 @query("blast_radius", _reverse_sql(False) + BLAST_SQL)
 def blast_radius(spark, d):
     g = Derived(spark, d).kept()
-    return traverse.blast_radius(g.nodes, g.edges, g.key("part", PART))
+    return traverse.blast_radius(g.nodes, g.edges_in, g.key("part", PART))
 
 
 @query("blast_radius_cyclic", _reverse_sql(True) + BLAST_SQL)
 def blast_radius_cyclic(spark, d):
     g = Derived(spark, d, cyclic=True).kept()
-    return traverse.blast_radius(g.nodes, g.edges, g.key("part", PART))
+    return traverse.blast_radius(g.nodes, g.edges_in, g.key("part", PART))
 
 
 @query("blast_score", _reverse_sql(False) + f""",
@@ -78,7 +90,7 @@ array_to_string(list_filter([CASE WHEN n > 5 THEN 'High fan-in: ' || n || ' call
  CASE WHEN far > 0 THEN far || ' node(s) are indirect dependencies (3+ hops).' END, CASE WHEN NOT contains(lower(path), 'test') THEN 'No test file found for ''' || path || ''' — change is unverified.' END], lambda x: x IS NOT NULL), ' | ') AS risk_reasons FROM c""")
 def blast_score(spark, d):
     g = Derived(spark, d).kept()
-    return traverse.blast_score(g.nodes, g.edges, g.key("part", PART)).withColumn("risk_reasons", F.array_join("risk_reasons", " | "))
+    return traverse.blast_score(g.nodes, g.edges_in, g.key("part", PART)).withColumn("risk_reasons", F.array_join("risk_reasons", " | "))
 
 
 def _forward_sql(seed: str, scope: str | None, depth: int) -> str:
@@ -126,11 +138,29 @@ def context_depth(spark, d):
     return traverse.Context(g.nodes, g.edges, g.key("customer", CUSTOMER), 3).depth_reached
 
 
-@query("context_depth_first", _forward_sql(CUSTOMER_SEED, None, 3) + " SELECT id FROM visited WHERE depth > 0")
+@query("context_depth_first", f"""WITH RECURSIVE {sql()}, r(id, path) AS (SELECT {CUSTOMER_SEED}, CAST([] AS VARCHAR[]) UNION ALL SELECT e.target_id, list_append(r.path, e.target_id) FROM r JOIN edges e ON e.source_id = r.id WHERE len(r.path) < 3),
+f AS (SELECT id, min(path) AS path FROM r WHERE len(path) > 0 GROUP BY id) SELECT CAST(row_number() OVER (ORDER BY path) AS BIGINT) AS place, id FROM f""")
 def context_depth_first(spark, d):
+    """In the order of the walk; from a customer on the graph has no cycle, so a node's place is that of its least path."""
     g = Derived(spark, d).kept()
     out = traverse.context_depth_first(g.nodes, g.edges, g.key("customer", CUSTOMER), 3)
-    return spark.createDataFrame([(x,) for x in out["nodes"]], "id string")
+    return spark.createDataFrame(list(enumerate(out["nodes"], 1)), "place long, id string")
+
+
+@query("context_result", _forward_sql(ROOT_SEED, "AFRICA/ALGERIA", 2) + """, k AS (SELECT e.* FROM visited JOIN edges e ON e.source_id = visited.id)
+SELECT (SELECT count(*) FROM visited WHERE depth > 0) AS nodes, (SELECT count(*) FROM k) AS edges, (SELECT coalesce(string_agg(title, ',' ORDER BY title, id), '') FROM ext) AS external_deps, (SELECT CAST(max(depth) AS INTEGER) FROM visited) AS depth_reached,
+ (SELECT CASE WHEN count(*) > 0 THEN count(*) || ' dependencies lie outside the scope and were not followed.' END FROM ext) AS note""")
+def context_result(spark, d):
+    """The shape that tools show, with its lists counted."""
+    g = Derived(spark, d).kept()
+    row = traverse.Context(g.nodes, g.edges, g.key("region", REGION), 2, "AFRICA/ALGERIA").result()
+    return row.select(F.size("nodes").cast("long").alias("nodes"), F.size("edges").cast("long").alias("edges"), F.array_join(F.transform("external_deps", lambda x: x["title"]), ",").alias("external_deps"), "depth_reached", "note")
+
+
+@query("affected_rows", _reverse_sql(False, 2) + " SELECT n.node_type AS type, n.title, n.file_path AS file, left(n.id, 12) AS id, CAST(v.depth AS INTEGER) AS depth FROM via v JOIN nodes n ON n.id = v.id")
+def affected_rows(spark, d):
+    g = Derived(spark, d).kept()
+    return display.affected_rows(traverse.blast_radius(g.nodes, g.edges_in, g.key("part", PART), 2))
 
 
 @query("successors", f"WITH {sql()} SELECT * FROM edges WHERE source_id = {CUSTOMER_SEED}")
@@ -142,7 +172,7 @@ def successors(spark, d):
 @query("predecessors", f"WITH {sql()} SELECT * FROM edges WHERE target_id = {PART_SEED}")
 def predecessors(spark, d):
     g = Derived(spark, d).kept()
-    return traverse.predecessors(g.edges, g.key("part", PART))
+    return traverse.predecessors(g.edges_in, g.key("part", PART))
 
 
 @query("all_successors", f"WITH {sql()} SELECT source_id, count(*) AS degree, string_agg(target_id, ',' ORDER BY target_id, edge_type) AS targets FROM edges GROUP BY source_id")
@@ -155,7 +185,7 @@ x AS (SELECT 'out' AS direction, edge_type, target_id AS id FROM s WHERE source_
 SELECT id, direction, edge_type, node_type, name, title, file_path FROM x JOIN nodes USING (id)""")
 def edge_listing(spark, d):
     g = Derived(spark, d).kept()
-    return traverse.edge_listing(g.nodes, g.edges, g.key("customer", CUSTOMER))
+    return traverse.edge_listing(g.nodes, g.edges, g.key("customer", CUSTOMER), g.edges_in)
 
 
 @query("get_node", f"WITH {sql()} SELECT * FROM nodes WHERE id = {PART_SEED}")
@@ -234,9 +264,31 @@ def _ranked(df: DataFrame) -> DataFrame:
     return df.select("id", F.round("rank_score", 6).alias("rank_score"))
 
 
+#: Postings and lengths of the documents, by application and folder.
+INDEXED: dict[tuple[str, str], search.Index] = {}
+
+
+def _indexed(spark: SparkSession, d: str, anew: bool = False) -> search.Index:
+    """Postings over the documents as an index build writes them, once for all queries of an application."""
+    key = (spark.sparkContext.applicationId, d)
+    if anew or key not in INDEXED:
+        nodes = _documents(spark, d)
+        lay = lambda df, by, name: written(spark, df.repartitionByRange(by).sortWithinPartitions(by), name)
+        INDEXED[key] = search.Index(lay(search.postings(nodes), "token", "document-postings"), lay(search.lengths(nodes), "id", "document-lengths"))
+    return INDEXED[key]
+
+
+@query("search_postings", f"""WITH {DOCS}, w AS (SELECT id, {TOK.format('title')} AS tt, {TOK.format('keywords')} AS tk FROM n), x AS (SELECT id, unnest(list_concat(tt, tk)) AS token FROM w)
+SELECT token, count(DISTINCT id) AS nodes, count(*) AS places FROM x GROUP BY token""")
+def search_postings(spark, d):
+    """Writes the postings anew and counts them by token."""
+    rows = _indexed(spark, d, anew=True).postings
+    return rows.groupBy("token").agg(F.count(F.lit(1)).alias("nodes"), F.sum(F.size("title") + F.size("keywords")).alias("places"))
+
+
 @query("search_bm25", f"WITH {_words_sql(['license', 'the'])} SELECT id, round({_bm25('f0', 'k0')} + {_bm25('f1', 'k1')}, 6) AS rank_score FROM t, s WHERE f0 > 0 AND f1 > 0")
 def search_bm25(spark, d):
-    return _ranked(search.full_text(_documents(spark, d), "license the"))
+    return _ranked(search.full_text(_documents(spark, d), "license the", _indexed(spark, d)))
 
 
 @query("search_or_not", f"WITH {_words_sql(['token', 'license', 'token', 'public'])} SELECT id, round({' + '.join(_bm25(f'f{i}', f'k{i}') for i in (0, 1, 3))}, 6) AS rank_score FROM t, s WHERE (f0 > 0 OR f1 > 0) AND NOT f3 > 0")
@@ -250,12 +302,12 @@ PHRASE_F = "len(list_filter(range(1, len({0})), lambda i: {0}[i] = 'public' AND
 @query("search_phrase", f"""WITH {_words_sql(['public'])}, q AS (SELECT id, dl, CAST({PHRASE_F.format('tt')} + {PHRASE_F.format('tk')} AS DOUBLE) AS f FROM t), z AS (SELECT count(*) FILTER (f > 0) AS kp FROM q),
 p AS (SELECT s.n, s.avg, z.kp FROM s, z) SELECT id, round({_bm25('f', 'kp').replace('s.', 'p.')}, 6) AS rank_score FROM q, p WHERE f > 0""")
 def search_phrase(spark, d):
-    return _ranked(search.full_text(_documents(spark, d), "public_license"))
+    return _ranked(search.full_text(_documents(spark, d), "public_license", _indexed(spark, d)))
 
 
 @query("search_prefix", f"WITH {DOCS} SELECT id FROM (SELECT id, {TOK.format('title')} AS tt, {TOK.format('keywords')} AS tk FROM n) WHERE len(list_filter(list_concat(tt, tk), lambda x: starts_with(x, 'licens'))) > 0")
 def search_prefix(spark, d):
-    return search.full_text(_documents(spark, d), "licens*").select("id")
+    return search.full_text(_documents(spark, d), "licens*", _indexed(spark, d)).select("id")
 
 
 @query("search_column", f"WITH {DOCS} SELECT id FROM (SELECT id, {TOK.format('keywords')} AS tk FROM n) WHERE list_contains(tk, 'de')")
@@ -325,7 +377,8 @@ def search_semantic_scoped(spark, d):
 
 
 @query("search_hybrid", f"""WITH {COSINE}, near AS (SELECT id, score FROM c ORDER BY c.score DESC, id DESC LIMIT 10),
-z AS (SELECT '17' AS id, 1.0 AS s, 0 AS p, 1.0 AS raw UNION ALL SELECT id, least(1.0, score + CASE WHEN id = '17' THEN 0.3 WHEN starts_with('vec' || id, 'vec17') THEN 0.15 ELSE 0 END), 1, score FROM near WHERE id <> '17')
+hit AS (SELECT id FROM v WHERE list_contains(string_split('pack.vec' || id, '.'), 'vec17')),
+z AS (SELECT id, 1.0 AS s, 0 AS p, 1.0 AS raw FROM hit UNION ALL SELECT id, least(1.0, score + CASE WHEN 'vec' || id = 'vec17' THEN 0.3 WHEN starts_with('vec' || id, 'vec17') THEN 0.15 WHEN contains('vec' || id, 'vec17') THEN 0.05 ELSE 0 END), 1, score FROM near WHERE id NOT IN (SELECT id FROM hit))
 SELECT id, round(s, 6) AS score FROM z ORDER BY s DESC, p, raw DESC, id LIMIT 10""")
 def search_hybrid(spark, d):
     nodes, vectors = _vectors(spark, d)
@@ -456,6 +509,20 @@ def embed_text_nodes(spark, d):
     return n.select("id", made.alias("embed_text"))
 
 
+@query("signature_clean", r"""WITH s AS (SELECT o_orderkey, '(self, order_' || o_orderkey || ': int, status: str = "' || o_orderstatus || '", *, priority="' || o_orderpriority || '") -> dict[str, int]' AS sig FROM orders)
+SELECT o_orderkey, trim(regexp_replace(regexp_replace(regexp_replace(sig, ':[^,)=]+', '', 'g'), '=\s*[^,)]+', '', 'g'), '[(),]', ' ', 'g')) AS signature FROM s""")
+def signature_clean(spark, d):
+    o = table(spark, d, "orders")
+    sig = F.format_string('(self, order_%d: int, status: str = "%s", *, priority="%s") -> dict[str, int]', "o_orderkey", "o_orderstatus", "o_orderpriority")
+    return o.select("o_orderkey", embed.clean_signature(sig).alias("signature"))
+
+
+@query("snippet_clean", r"""WITH t AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(regexp_replace(x, '^\s+', ''), '\s+$', '')), lambda x: x <> '') AS l FROM documents)
+SELECT doc_id, left(trim(regexp_replace(array_to_string(l, ' '), '#.*', '')), 300) AS snippet FROM t""")
+def snippet_clean(spark, d):
+    return table(spark, d, "documents").select("doc_id", embed.clean_snippet(F.col("text")).alias("snippet"))
+
+
 @query("callee_names", f"""WITH {sql()} SELECT source_id, array_to_string(list_sort(list(DISTINCT n.name))[1:8], ',') AS callees FROM edges e JOIN nodes n ON n.id = e.target_id WHERE e.edge_type IN ('calls', 'depends') AND length(n.name) > 3 GROUP BY 1""")
 def callee_names(spark, d):
     g = Derived(spark, d)

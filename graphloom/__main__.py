@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphloom.engine import Engine
 from graphloom.operators import display, search
 
 
+def _json(df: DataFrame) -> list[str]:
+    return [r[0] for r in df.select(F.to_json(F.struct("*"))).collect()]
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     top = argparse.ArgumentParser(prog="graphloom")
     top.add_argument("--store", required=True, help="folder of the graph")
@@ -40,12 +45,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         found = search.search_hybrid(engine.nodes, a.query, limit=a.limit, scope=a.scope, index=engine.full_text)
         print(*("\t".join(map(str, r)) for r in display.listing(found).collect()), sep="\n")
     elif a.command == "context":
-        print(engine.context(engine.named(a.name), a.depth, a.scope).result().toJSON().head())
+        print(*_json(engine.context(engine.named(a.name), a.depth, a.scope).result()))
     elif a.command == "impact":
         nodes, score = engine.blast_radius(engine.named(a.name), a.depth)
-        print(score.toJSON().head(), *("\t".join(map(str, r)) for r in display.affected_rows(nodes).collect()), sep="\n")
+        print(*_json(score), *("\t".join(map(str, r)) for r in display.affected_rows(nodes).collect()), sep="\n")
     else:
-        print(*engine.feature_map().toJSON().collect(), sep="\n")
+        print(*_json(engine.feature_map()), sep="\n")
 
 
 if __name__ == "__main__":

@@ -172,3 +172,104 @@ def test_watch(spark, tree):
     q = watch(e, root, f"file://{tree}/checkpoint")
     q.awaitTermination(120)
     assert e.status()["file_count"] == 3
+
+
+def test_a_build_that_dies_changes_nothing(spark, tree, monkeypatch):
+    from graphloom.sources import store
+
+    e, root = engine_of(spark, tree)
+    first, edges = e.index(root), {tuple(r) for r in e.edges.collect()}
+    for step in ("edges", "postings", "snapshot"):
+        (tree / "src/auth/more.py").write_text(f"def more_{step}():\n    return sign_token({{}})\n")
+        write = store.Version._write
+
+        def dies(self, table, df, step=step, write=write):
+            if table == step:
+                raise OSError("gone")
+            return write(self, table, df)
+
+        with monkeypatch.context() as m:
+            m.setattr(store.Version, "_write", dies)
+            with pytest.raises(OSError, match="gone"):
+                e.index(root)
+        again = Engine(spark, e.store.path)
+        assert again.status()["snapshot_hash"] == first["snapshot_hash"] and {tuple(r) for r in again.edges.collect()} == edges
+    with monkeypatch.context() as m:
+        m.setattr(store.GraphStore, "point", lambda self, number, tables: (_ for _ in ()).throw(OSError("gone")))
+        with pytest.raises(OSError, match="gone"):
+            e.index(root)
+    assert e.status()["snapshot_hash"] == first["snapshot_hash"]
+    assert e.index(root)["snapshot_hash"] != first["snapshot_hash"]
+    late = e.store.begin()
+    e.store.write(stubs=e.store.read("stubs"))
+    with pytest.raises(store.ConflictingWrite):
+        late.commit()
+    e.store.prune()
+    assert e.search("more_snapshot").count() == 1
+
+
+def test_only_changed_tables_are_written(spark, tree):
+    e, root = engine_of(spark, tree)
+    e.index(root)
+    before = e.store.pointer()[1]
+    e.store.write(embeddings=e.embeddings)
+    after = e.store.pointer()[1]
+    assert {k for k in after if before[k] != after[k]} == {"embeddings"}
+
+
+def test_commands(spark, tree, capsys):
+    from graphloom.__main__ import main
+
+    (tree / "more/lib").mkdir(parents=True)
+    (tree / "more/lib/z.py").write_text("def zeta():\n    return 1\n")
+    run = lambda *a: (main(["--store", f"file://{tree}/cli", *a], spark), capsys.readouterr().out)[1]
+    said = dict(x.split("\t") for x in run("index", f"file://{tree}/src", f"file://{tree}/more").strip().splitlines())
+    assert said["paths_indexed"] == "2" and said["files"] == "4" and len(said["snapshot_hash"]) == 16
+    assert "node_count" in run("status")
+    row = run("search", "zeta").strip().split("\t")
+    assert row[:2] == ["function", "lib.z.zeta"] and row[2] == "lib/z.py:1" and row[3] == "1.00" and len(row[4]) == 12
+    assert '"depth_reached":1' in run("context", "CommentService", "--scope", "comments")
+    lines = run("impact", "get_timestamp").strip().splitlines()
+    assert '"affected_count":8' in lines[0] and [x.split("\t")[0] for x in lines[1:]] == sorted(x.split("\t")[0] for x in lines[1:])
+    assert '"folder":"lib"' in run("map")
+
+
+def test_generic_rules_and_broken_files():
+    class Hook:
+        handled_names, generic = (), True
+
+        def handle_any_call(self, name, call, caller, out) -> None:
+            if name.startswith("use"):
+                out.edge(caller, out.stub("function", name), "hook")
+
+    nodes, edges = parse.parse_python("a.py", "def f():\n    use_state()\n    other()\n\nuse_state()\n", [Hook()])
+    assert [k for _, _, k in edges if k in ("hook", "calls")] == ["hook"]
+    source = "import os\n\n\n@deco\ndef good(a):\n    return os.sep\n\n\ndef bad(:\n    pass\n\n\nclass Fine:\n    def m(self):\n        return 1\n"
+    nodes, _ = parse.parse_python("b.py", source)
+    got = {(n[1], n[2]): n[5:7] for n in nodes if n[4] == "b.py"}
+    assert got["function", "good"] == (4, 6) and got["method", "m"] == (14, 15) and ("function", "bad") not in got and got["import", "import os"] == (1, 1)
+
+
+def test_repeated_ids_do_not_multiply(spark):
+    from graphloom.operators import build
+    from graphloom.schemas import NODES
+
+    row = lambda i, title: (i, "function", i, title, "a.py", 1, 2, "", "")
+    old = spark.createDataFrame([row("a", "x"), row("b", "x")], NODES)
+    new = spark.createDataFrame([row("a", "y"), row("a", "z"), row("c", "x")], NODES)
+    assert sorted((r["id"], r["title"]) for r in build.upsert_nodes(old, new).collect()) == [("a", "z"), ("b", "x"), ("c", "x")]
+    words = spark.createDataFrame([("a", "k1"), ("a", "k2")], "id string, keywords string")
+    assert sorted((r["id"], r["keywords"]) for r in build.update_keywords(old, words).collect()) == [("a", "k2"), ("b", "")]
+
+
+def test_vectors_by_a_model_and_by_hashes(spark):
+    texts = spark.createDataFrame([("a", "one two two"), ("b", ""), ("c", "one two two"), ("d", None)], "node_id string, text string")
+    made = embed.model_vectors(texts.na.fill(""), lambda: lambda batch: [[float(len(x)), 1.0] for x in batch], chunk=2)
+    assert {r["node_id"]: (list(r["vector"]), r["dims"]) for r in made.collect()} == {"a": ([11.0, 1.0], 2), "b": ([0.0, 1.0], 2), "c": ([11.0, 1.0], 2), "d": ([0.0, 1.0], 2)}
+    hashed = {r["node_id"]: list(r["vector"]) for r in embed.hashed_vectors(texts, 16).collect()}
+    words = {r["w"]: r["h"] for r in spark.createDataFrame([("one",), ("two",)], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    want = [0.0] * 16
+    for w in ("one", "two", "two"):
+        want[words[w] % 16] += 1.0 if (words[w] >> 40) % 2 == 0 else -1.0
+    norm = sum(x * x for x in want) ** 0.5
+    assert hashed["a"] == hashed["c"] == pytest.approx([x / norm for x in want]) and hashed["b"] == hashed["d"] == [0.0] * 16

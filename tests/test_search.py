@@ -73,3 +73,24 @@ def test_hybrid(spark, nodes):
 def test_exact_name_first(nodes):
     found = search.search_nodes(nodes, "service")
     assert search.exact_name_first(found, "comments.service").head()["id"] == "5"
+
+
+def test_postings_give_what_texts_give(spark, nodes):
+    index = search.Index(search.postings(nodes), search.lengths(nodes))
+    for query in ("get_timestamp", "comment*", "service NOT create", '"comments service"', "keywords:urls", "(create OR get) comment", "nothing", "timestamp OR create", "com* service", "common.utils", "__"):
+        rows = lambda df: sorted((r["id"], round(r["rank_score"], 9)) for r in df.collect())
+        assert rows(search.search_nodes(nodes, query, index=index)) == rows(search.search_nodes(nodes, query)), query
+
+
+def test_folding(spark):
+    rows = spark.createDataFrame([("1", "Ångström façade"), ("2", "smørrebrød"), ("3", "Ťažký žlutý kůň"), ("4", "İstanbul"), ("5", "étude"), ("6", "Ελλάδα")], "id string, title string")
+    rows = rows.selectExpr("id", "'f' AS node_type", "id AS name", "title", "id AS file_path", "1 AS line_start", "1 AS line_end", "'' AS signature", "'' AS keywords")
+    for query, want in (("angstrom", {"1"}), ("FACADE", {"1"}), ("ångström", {"1"}), ("smørrebrød", {"2"}), ("tazky zluty kun", {"3"}), ("etude", {"5"}), ("ελλαδα", {"6"})):
+        assert ids(search.search_nodes(rows, query)) == want, query
+
+
+def test_empty_graph(nodes):
+    none = nodes.limit(0)
+    assert search.search_nodes(none, "get_timestamp").count() == 0
+    assert search.search_entry_points(none, "x", scope="y").count() == 0
+    assert search.search_nodes(none, "x", index=search.Index(search.postings(none), search.lengths(none))).count() == 0

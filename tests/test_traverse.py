@@ -74,3 +74,45 @@ def test_unknown_entry(spark):
     nodes, _ = graph(spark, "a", "aa")
     with pytest.raises(traverse.UnknownNode):
         traverse.require_node(nodes, "zzz")
+
+
+def test_only_new_nodes_are_followed(spark):
+    nodes, edges = graph(spark, "abcdef", "ba cb dc ac bd ea fe be")
+    got = depths(traverse.blast_radius(nodes, edges, "a", 9))
+    assert got == {"b": 1, "e": 1, "c": 2, "d": 2, "f": 2} or got == {"b": 1, "e": 1, "c": 2, "f": 2, "d": 3}
+
+
+@pytest.mark.parametrize(("listed", "sent"), [(64, 1 << 18), (0, 1 << 18), (0, 0)])
+def test_frontiers_of_any_size(spark, monkeypatch, listed, sent):
+    import random
+
+    rng = random.Random(5)
+    names = "abcdefghijklmnopqrst"
+    links = {rng.choice(names) + rng.choice(names + "XYZ") for _ in range(45)}
+    nodes, edges = graph(spark, names, " ".join(sorted(links)))
+    monkeypatch.setattr(traverse, "MOST_LISTED", listed)
+    monkeypatch.setattr(traverse, "MOST_SENT", sent)
+    for reverse in (False, True):
+        far, depth = {"a": 0}, 0
+        while depth < 4:
+            depth += 1
+            for x in sorted(links):
+                a, b = (x[1], x[0]) if reverse else (x[0], x[1])
+                if far.get(a) == depth - 1 and a in names:
+                    far.setdefault(b, depth)
+        got = {r["id"]: r["depth"] for r in traverse._reach(nodes, edges, "a", 4, reverse).collect()}
+        assert got == far
+
+
+def test_affected_rows_are_sorted(spark):
+    from graphloom.operators import display
+
+    nodes, edges = graph(spark, "abcd", "da ca ba")
+    assert [r["title"] for r in display.affected_rows(traverse.blast_radius(nodes, edges, "a")).collect()] == ["b", "c", "d"]
+
+
+def test_context_result(spark):
+    nodes, edges = graph(spark, "abc", "ab bc", {"a": "in/a.py", "b": "in/b.py", "c": "out/c.py"})
+    row = traverse.Context(nodes, edges, "a", 3, "in").result().head()
+    assert [x["name"] for x in row["nodes"]] == ["b"] and len(row["edges"]) == 2 and [x["title"] for x in row["external_deps"]] == ["c"] and row["depth_reached"] == 1 and row["note"].startswith("1 ")
+    assert traverse.Context(nodes, edges, "a", 3).result().head()["note"] is None

@@ -5,9 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from itertools import count, islice
 
@@ -17,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.shared import written  # noqa: F401
 from graphloom.shipping import ship
 
 #: Rows and bytes of an Arrow batch, so that a batch of long texts stays small.
@@ -72,24 +70,6 @@ def task(name: str) -> Callable:
     return wrap
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is named (tests, one machine) an own one is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(spark: SparkSession, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """df as a table in the shared folder, read again: it cuts the lineage and outlives lost executors."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, n: int) -> list[str]:
     """n column names that df doesn't have, whatever its own are called."""
     taken = {c.lower() for c in df.columns}

@@ -14,6 +14,7 @@ labelled rows, gives `und` throughout. Extra columns are not read.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import bounded_batches, held_out, task, trim, utf8
+from graphloom.llm.common import bounded_batches, fresh, held_out, task, utf8
 
 UNKNOWN = "und"
 ORDERS = (2, 3, 4)
@@ -85,7 +86,7 @@ def _bucket(data: np.ndarray, order: int, buckets: int) -> np.ndarray:
     return (h * np.uint32(0x85EBCA6B)) >> np.uint32(32 - (buckets.bit_length() - 1))
 
 
-def _sums(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, buckets: int, step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def _sums(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, buckets: int, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """Sum of table rows and number of n-grams for each text; works on pieces of `step` bytes, however long a text is."""
     total, count = np.zeros((len(offsets) - 1, table.shape[1])), np.zeros(len(offsets) - 1)
     for k, order in enumerate(ORDERS):
@@ -206,31 +207,37 @@ def predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray, np.n
 
 
 def fit(docs: DataFrame, p: Params = Params()) -> Model:
-    """Trains on at most `sample_per_language` rows of each language, picked by a hash of the row over the whole table."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("text", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("at"))
+    """Trains on at most `sample_per_language` rows of each language, picked by a hash of the row over the whole table. One task
+    gathers that sample and runs the descent, so the driver gets the model alone."""
+    bounded_batches(docs.sparkSession)
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("text", "lang", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)).alias("at"))
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(p.most_languages).collect()
     if not counts:
         return train([], [], p)
     upto = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(int(min(1.0, p.sample_per_language / r["count"]) * (1 << 20))))])
-    rows = sorted((r["at"], r["lang"], r["text"]) for r in known.where(F.col("at") < upto[F.col("lang")]).collect())
-    model = train([r[2] for r in rows], [r[1] for r in rows], p)
-    del rows
-    trim()
-    return model
+
+    @task("language_id")
+    def learn(batches):
+        rows = sorted({x for b in batches for x in zip(b.column(2).to_pylist(), b.column(1).to_pylist(), b.column(0).to_pylist(), strict=True)})
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([r[2] for r in rows], [r[1] for r in rows], p))], pa.binary())], names=["model"])
+
+    sample = known.where(F.col("at") < upto[F.col("lang")]).repartition(1)
+    made = sample.mapInArrow(learn, "model binary").head()
+    return pickle.loads(made["model"]) if made else train([], [], p)
 
 
-def classify(spark: SparkSession, docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    """`columns` of docs with lang_pred, score and rejected. Its own columns come last, under names that replace clashing ones."""
+def classify(spark: SparkSession, docs: DataFrame, model: Model, columns: list[str], own: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """`columns` of docs, then the prediction, its probability and whether it is rejected, under the names `own`."""
     bounded_batches(spark)
-    columns = [c for c in columns if c not in ("lang_pred", "score", "rejected")]
     read = docs.select(*columns, *([] if "text" in columns else ["text"]))
-    schema = ", ".join(f"`{c}` {t}" for c, t in read.dtypes if c in columns) + ", lang_pred string, score double, rejected boolean"
+    names = [*columns, *own]
+    schema = ", ".join(f"`{c}` {t}" for c, t in [*((c, t) for c, t in read.dtypes if c in columns), *zip(own, ("string", "double", "boolean"), strict=True)])
 
     @task("language_id")
     def each(batches):
         for b in batches:
             lang, score, away = predict(model, b.column(b.schema.get_field_index("text")))
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in columns), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(away, pa.bool_())], names=[*columns, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in columns), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(away, pa.bool_())], names=names)
 
     return read.mapInArrow(each, schema)
 
@@ -242,4 +249,5 @@ def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The documents whose language is not rejected, with their own columns."""
-    return classify(spark, docs, fit(docs), docs.columns).where(~F.col("rejected")).select(*docs.columns)
+    own = fresh(docs, 3)
+    return classify(spark, docs, fit(docs), docs.columns, tuple(own)).where(~F.col(own[2])).select(*docs.columns)

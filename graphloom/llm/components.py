@@ -17,6 +17,8 @@ def components(spark: SparkSession, links: DataFrame, most_rounds: int = 60) ->
     are shuffled, and joins of a node with many neighbours can be split, so no task holds a component.
     """
     edges = written(spark, links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    check = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
+    before = check(edges)
     for _ in range(most_rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
@@ -25,11 +27,10 @@ def components(spark: SparkSession, links: DataFrame, most_rounds: int = 60) ->
         low = large.groupBy("b").agg(F.min("a").alias("m")).select(F.col("b").alias("n"), "m")
         small = large.join(low, F.col("b") == F.col("n")).select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b"))
         new = written(spark, small.where("a <> b").distinct(), "links-small")
-        check = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
-        done = check(new) == check(edges)
-        edges = new
-        if done:
+        edges, now = new, check(new)
+        if now == before:
             break
+        before = now
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

@@ -2,15 +2,19 @@
 
 Documents with equal shingle sets are one class; classes are joined, never copies. Shingles are ordered by how many classes
 hold them, rarest first. Two sets that reach the threshold share a shingle of their first n - ceil(t n) + 1 (the T-occurrence
-bound when the ceil(t n) - 1 longest lists are set aside), so only these are put into lists.
+bound when the ceil(t n) - 1 longest lists are set aside), so only these are put into lists. At the first shingle that two sets share
+all of their overlap is still ahead: a pair counts at a shingle only if both sets have as many shingles left there as the overlap that
+the pair needs. So documents that share a common passage and have too much else meet at no shingle of that passage.
 
 - Short lists are merged: each pair in one is a candidate once its lengths allow it.
 - Longer lists are not merged, as their pairs grow with the square. Each is first probed around one member, the one that
   stands in most lists; once components are known, members outside of a list's largest component are probed against all of it.
 - Candidates lose most strangers to a bound on the symmetric difference: the parities of hash buckets (1,024 bits, two bits a
   shingle in larger sets) cannot differ in more places than the sets do.
-- What is left is counted exactly on whole sets: first, for each class, the partner that shares most lists; then only pairs
-  between different components. Pairs inside a component change no result and are not counted.
+- What is left is counted exactly on whole sets by `divide_skip`: the candidates of a class are a block with inverted lists of their
+  own, of which the short ones are merged and the long ones probed by binary search; who reaches the required overlap is linked.
+  First comes, for each class, the partner that shares most lists; then only pairs between different components. Pairs inside a
+  component change no result and are not counted.
 
 Which lists are long comes from counts over all documents: each task counts its classes' shingles in a fixed number of cells
 and reports those above a small share of its classes; at most `most_long` of the largest sums are known to all tasks (a bounded table). The order
@@ -33,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.bytewords import shingle_sets
-from graphloom.llm.common import bounded_batches, in_pieces, partitions, task, written
+from graphloom.llm.common import bounded_batches, fresh, in_pieces, numbers, partitions, task, trim, written
 from graphloom.llm.components import components
 
 
@@ -50,8 +54,10 @@ class Params:
 
 LEAST_BITS = 1024  # of the parity sketch
 CELLS = 1 << 22  # of a task's counts
+MU = 0.5  # weight of a long list's probe against a merged entry
 STEPS = (7919, 104729)  # of the two bits of a document in the sieve
 ENTRY = np.dtype([("shingle", "<u8"), ("class", "<i8"), ("n", "<u4")])
+EARLY = np.uint32(1 << 31)  # of n in an entry: its shingle is among the first that a pair of equal sets may meet at
 
 
 def class_of(s: np.ndarray) -> int:
@@ -71,6 +77,16 @@ def least_overlap(p: Params, both: Column) -> Column:
     return F.ceil(p.percent * both / (100.0 + p.percent) - 1e-9)
 
 
+def _needed(p: Params, both: np.ndarray) -> np.ndarray:
+    """The same in integers."""
+    return -(-p.percent * both // (100 + p.percent))
+
+
+def _ahead(p: Params, n: str, pos: str, m: str, other: str) -> Column:
+    """Whether sets of n and m shingles have enough left at places pos and other."""
+    return F.least(F.col(n) - F.col(pos), F.col(m) - F.col(other)) >= least_overlap(p, F.col(n) + F.col(m))
+
+
 def classes(spark: SparkSession, docs: DataFrame, p: Params) -> DataFrame:
     """Written rows of two kinds: a document (doc_id, n, class, parity) and a shingle's count in a task (class, n)."""
     bounded_batches(spark)
@@ -116,7 +132,7 @@ def classes(spark: SparkSession, docs: DataFrame, p: Params) -> DataFrame:
 
 def lists(spark: SparkSession, docs: DataFrame, long_: tuple[np.ndarray, np.ndarray], p: Params) -> DataFrame:
     """Written rows of two kinds: a candidate pair of a short list (a < b, n of each) and a member of a long list (shingle,
-    class, n)."""
+    class, n, least place of the shingle in the set's order)."""
     parts = partitions(spark) * 4
     hot, often = long_
     t = p.percent
@@ -138,19 +154,19 @@ def lists(spark: SparkSession, docs: DataFrame, long_: tuple[np.ndarray, np.ndar
                 first = s[~is_hot][:take]
                 e = np.empty(len(first), ENTRY)
                 e["shingle"], e["class"], e["n"] = first, c, len(s)
+                e["n"][: len(s) - int(_needed(p, 2 * len(s))) + 1] |= EARLY
                 cold.append(e)
                 if take > len(first):
                     counts = often[at[is_hot]]
                     order = np.lexsort((rest, counts))[: take - len(first)]
-                    central = float(counts.sum()) / len(s)
                     rows[0].extend(rest[order].view(np.int64).tolist())
                     rows[1].extend([c] * len(order))
                     rows[2].extend([len(s)] * len(order))
-                    rows[3].extend([central] * len(order))
+                    rows[3].extend(range(len(first), len(first) + len(order)))
             if rows[0]:
                 # by class, so that a list's members are dealt over all tasks
                 m = len(rows[0])
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(rows[1], np.int64) % parts, pa.int32()), pa.nulls(m, pa.binary()), *(pa.array(x, k) for x, k in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True))], names=NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(rows[1], np.int64) % parts, pa.int32()), pa.nulls(m, pa.binary()), *(pa.array(x, k) for x, k in zip(rows, (pa.int64(),) * 4, strict=True))], names=NAMES)
             e = np.concatenate(cold) if cold else np.empty(0, ENTRY)
             to = (e["shingle"] % np.uint64(parts)).astype(np.int64)
             order = np.argsort(to, kind="stable")
@@ -159,9 +175,9 @@ def lists(spark: SparkSession, docs: DataFrame, long_: tuple[np.ndarray, np.ndar
             if len(some):
                 e = e[order]
                 m = len(some)
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([e[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary()), *(pa.nulls(m, k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([e[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary()), *(pa.nulls(m, pa.int64()) for _ in range(4))], names=NAMES)
 
-    NAMES = ["bucket", "data", "shingle", "class", "n", "central"]
+    NAMES = ["bucket", "data", "shingle", "class", "n", "pos"]
 
     @task("near_duplicates")
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,9 +195,9 @@ def lists(spark: SparkSession, docs: DataFrame, long_: tuple[np.ndarray, np.ndar
             for x in _merged(np.frombuffer(b"".join(x for k in list(held) for x in held.pop(k)), ENTRY), p):
                 yield from in_pieces(x)
 
-    OUT = ["kind", "shingle", "a", "b", "n", "m", "central"]
-    dealt = docs.select("text").mapInArrow(emit, "bucket int, data binary, shingle long, class long, n long, central double").repartition(partitions(spark), "bucket")
-    return written(spark, dealt.mapInArrow(reduce, "kind int, shingle long, a long, b long, n long, m long, central double"), "shingle-lists")
+    OUT = ["kind", "shingle", "a", "b", "n", "m", "pos"]
+    dealt = docs.select("text").mapInArrow(emit, "bucket int, data binary, shingle long, class long, n long, pos long").repartition(partitions(spark), "bucket")
+    return written(spark, dealt.mapInArrow(reduce, "kind int, shingle long, a long, b long, n long, m long, pos long"), "shingle-lists")
 
 
 def _merged(e: np.ndarray, p: Params) -> Iterator[pa.RecordBatch]:
@@ -192,11 +208,13 @@ def _merged(e: np.ndarray, p: Params) -> Iterator[pa.RecordBatch]:
     first = np.flatnonzero(np.append(True, e["shingle"][1:] != e["shingle"][:-1])) if len(e) else np.zeros(0, np.int64)
     size = np.diff(np.append(first, len(e)))
     long_ = np.repeat(size > p.long_list, size)
-    out = ["kind", "shingle", "a", "b", "n", "m", "central"]
+    out = ["kind", "shingle", "a", "b", "n", "m", "pos"]
+    own = (e["n"] & ~EARLY).astype(np.int64)
+    pos = np.where(e["n"] & EARLY, 0, own - _needed(p, 2 * own) + 1)  # at least
     if long_.any():
         x = e[long_]
         m = len(x)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(m), pa.int32()), pa.array(x["shingle"].view(np.int64)), pa.array(x["class"]), pa.nulls(m, pa.int64()), pa.array(x["n"].astype(np.int64)), pa.nulls(m, pa.int64()), pa.array(np.zeros(m))], names=out)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(m), pa.int32()), pa.array(x["shingle"].view(np.int64)), pa.array(x["class"]), pa.nulls(m, pa.int64()), pa.array(own[long_]), pa.nulls(m, pa.int64()), pa.array(pos[long_])], names=out)
     some = (size > 1) & (size <= p.long_list)
     first, size = first[some], size[some]
     pairs = []
@@ -204,10 +222,9 @@ def _merged(e: np.ndarray, p: Params) -> Iterator[pa.RecordBatch]:
         # every member with the d-th after it
         k = np.maximum(size - d, 0)
         i = np.repeat(first, k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-        x, y = e[i], e[i + d]
-        small, large = np.minimum(x["n"], y["n"]).astype(np.int64), np.maximum(x["n"], y["n"]).astype(np.int64)
-        ok = 100 * small >= p.percent * large
-        pairs.append(np.stack([x["class"][ok], y["class"][ok], x["n"][ok].astype(np.int64), y["n"][ok].astype(np.int64)]))
+        n, m = own[i], own[i + d]
+        ok = (100 * np.minimum(n, m) >= p.percent * np.maximum(n, m)) & (np.minimum(n - pos[i], m - pos[i + d]) >= _needed(p, n + m))
+        pairs.append(np.stack([e["class"][i][ok], e["class"][i + d][ok], n[ok], m[ok]]))
     if pairs:
         q = np.concatenate(pairs, axis=1)
         swap = q[0] > q[1]
@@ -215,7 +232,7 @@ def _merged(e: np.ndarray, p: Params) -> Iterator[pa.RecordBatch]:
         q = np.unique(q, axis=1)
         m = q.shape[1]
         if m:
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m), pa.int32()), pa.nulls(m, pa.int64()), pa.array(q[0]), pa.array(q[1]), pa.array(q[2]), pa.array(q[3]), pa.nulls(m, pa.float64())], names=out)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m), pa.int32()), pa.nulls(m, pa.int64()), pa.array(q[0]), pa.array(q[1]), pa.array(q[2]), pa.array(q[3]), pa.nulls(m, pa.int64())], names=out)
 
 
 def _close(p: Params, x: str, y: str, n: Column, m: Column) -> Column:
@@ -236,10 +253,10 @@ def _sets(spark: SparkSession, docs: DataFrame, wanted: DataFrame, p: Params) ->
     size = p.sieve_bits
     places = [F.pmod(F.pmod("class", F.lit(size)) + k * F.pmod(F.coalesce("least", F.lit(0)), F.lit(size)), F.lit(size)) for k in STEPS]
     ones = wanted.select(F.explode(F.array(*places)).alias("k")).groupBy(F.floor(F.col("k") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k % 64 as int))")).alias("x"))
-    words = np.zeros(size // 64, np.int64)
-    for r in ones.collect():
-        words[r["w"]] = r["x"]
+    words, ones = np.zeros(size // 64, np.int64), numbers(ones)
+    words[ones["w"]] = ones["x"]
     sieve = words.tobytes()
+    del words, ones
 
     @task("near_duplicates")
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,48 +276,93 @@ def _sets(spark: SparkSession, docs: DataFrame, wanted: DataFrame, p: Params) ->
     return written(spark, docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, "class long, data binary"), "shingle-sets", "none")
 
 
+def divide_skip(query: np.ndarray, block: list[np.ndarray], p: Params) -> np.ndarray:
+    """Which sets of a block reach the threshold with the query set. All are ascending; every answer is exact.
+
+    The query's shingles have inverted lists over the block. A set of m shingles needs T = least overlap of n and m; T of the smallest
+    set is what all need. The L longest lists are set aside (L by the rule of DivideSkip, T / (mu log2 M + 1), M the longest list's
+    length); the others are merged, and a set that occurs in fewer than T - L of them is out. The sets left are looked up in the long
+    lists by binary search, one list after the other, as long as the threshold can still be reached.
+    """
+    n, m = len(query), np.array([len(s) for s in block])
+    need = -(-p.percent * (n + m) // (100 + p.percent))
+    if not n:
+        return np.zeros(len(block), bool)
+    # postings: place of the shingle in the query, number of the set; sorted by shingle, then set
+    every, who = np.concatenate(block), np.repeat(np.arange(len(block)), m)
+    at = np.minimum(np.searchsorted(query, every), n - 1)
+    hit = query[at] == every
+    at, who = at[hit], who[hit]
+    length = np.bincount(at, minlength=n)
+    if len(block) == 1:  # lists of one member each: their merge is the count
+        return np.array([len(at) >= need[0]])
+    least, longest = int(need.min()), int(length.max())
+    aside = min(least - 1, int(least / (MU * np.log2(longest) + 1))) if longest > 1 else 0
+    order = np.argsort(length, kind="stable")
+    is_long = np.zeros(n, bool)
+    is_long[order[n - aside :]] = True
+    seen = np.bincount(who[~is_long[at]], minlength=len(block))
+    left = np.flatnonzero(seen >= need - aside)
+    by_list = np.argsort(at, kind="stable")
+    who, begin = who[by_list], np.concatenate([[0], np.cumsum(length)])
+    for done, k in enumerate(order[n - aside :].tolist()):
+        if not len(left):
+            break
+        own = who[begin[k] : begin[k + 1]]
+        if len(own):
+            i = np.minimum(np.searchsorted(own, left), len(own) - 1)
+            seen[left] += own[i] == left
+        left = left[seen[left] + (aside - done - 1) >= need[left]]
+    out = np.zeros(len(block), bool)
+    out[left] = seen[left] >= need[left]
+    return out
+
+
 def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, by_class: DataFrame, p: Params) -> DataFrame:
     """Written links: pairs (a, b) of classes that reach the threshold, counted on whole sets. Only sets of these pairs move."""
 
     @task("near_duplicates")
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                o = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * o >= p.percent * (len(x) + len(y) - o))
-            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+            own = b.column(0).to_numpy()
+            # neighbouring rows of one query set are a block
+            edges = np.flatnonzero(np.append(True, own[1:] != own[:-1])).tolist() if len(own) else []
+            ok = np.zeros(len(own), bool)
+            for i, j in zip(edges, [*edges[1:], len(own)], strict=True):
+                x = np.frombuffer(b.column(2)[i].as_buffer(), np.uint64)
+                ok[i:j] = divide_skip(x, [np.frombuffer(b.column(3)[k].as_buffer(), np.uint64) for k in range(i, j)], p)
+            yield b.select([0, 1]).filter(pa.array(ok))
 
     pairs = written(spark, pairs.select("a", "b"), "shingle-to-count")
     needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(by_class.select("class", "least"), "class")
     sets = _sets(spark, docs, needed, p)
     left = sets.select(F.col("class").alias("a"), F.col("data").alias("x"))
     right = sets.select(F.col("class").alias("b"), F.col("data").alias("y"))
-    return written(spark, pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(each, "a long, b long"), "shingle-links")
+    # the join by a comes last, so where it is one by sorting, a query's candidates come side by side
+    return written(spark, pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(each, "a long, b long"), "shingle-links")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
     found = classes(spark, docs, p)
     rows = found.where("kind = 0").drop("kind")
-    top = found.where("kind = 1").groupBy("class").agg(F.sum("n").alias("k")).orderBy(F.desc("k"), "class").limit(p.most_long).collect()
-    hot = np.array([r["class"] for r in top], np.int64).view(np.uint64)
+    top = numbers(found.where("kind = 1").groupBy("class").agg(F.sum("n").alias("k")).orderBy(F.desc("k"), "class").limit(p.most_long))
+    hot = top["class"].view(np.uint64)
     order = np.argsort(hot)
-    long_ = (hot[order], np.array([r["k"] for r in top], np.int64)[order])
+    long_ = (hot[order], top["k"][order])
+    del top
+    trim()
 
     by_class = written(spark, rows.where("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.first("parity").alias("parity"), F.min("doc_id").alias("least")), "shingle-by-class")
     listed = lists(spark, docs, long_, p)
     sketch = lambda k: by_class.select(F.col("class").alias(k), F.col("parity").alias(f"p{k}"))
 
     short = listed.where("kind = 0").groupBy("a", "b").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.count(F.lit(1)).alias("shared"))
-    member = written(spark, listed.where("kind = 1").select("shingle", F.col("a").alias("class"), "n"), "shingle-members")
+    member = written(spark, listed.where("kind = 1").select("shingle", F.col("a").alias("class"), "n", "pos"), "shingle-members")
     lists_of = member.groupBy("class").agg(F.count(F.lit(1)).alias("lists"))
     member = written(spark, member.join(lists_of, "class"), "shingle-members")
-    centre = written(spark, member.groupBy("shingle").agg(F.max(F.struct("lists", "n", "class")).alias("c")).select("shingle", F.col("c.class").alias("b"), F.col("c.n").alias("m")), "shingle-centres")
-    star = member.join(centre, "shingle").where((F.col("class") != F.col("b")) & (100 * F.least("n", "m") >= p.percent * F.greatest("n", "m")))
+    centre = written(spark, member.groupBy("shingle").agg(F.max(F.struct("lists", "n", "class", "pos")).alias("c")).select("shingle", F.col("c.class").alias("b"), F.col("c.n").alias("m"), F.col("c.pos").alias("at")), "shingle-centres")
+    star = member.join(centre, "shingle").where((F.col("class") != F.col("b")) & (100 * F.least("n", "m") >= p.percent * F.greatest("n", "m")) & _ahead(p, "n", "pos", "m", "at"))
     star = star.groupBy(F.col("class").alias("a"), "b").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.count(F.lit(1)).alias("shared"))
     near = lambda df: df.join(sketch("a"), "a").join(sketch("b"), "b").where(_close(p, "pa", "pb", F.col("n"), F.col("m"))).select("a", "b", "shared")
     pairs, star = written(spark, near(short), "shingle-pairs"), near(star)
@@ -316,7 +378,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: Params = Params())
     comp = lambda k: found.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
     own = lambda k: F.coalesce(f"c{k}", k)
     rest = pairs.select("a", "b").join(comp("a"), "a", "left").join(comp("b"), "b", "left").where(own("a") != own("b")).select("a", "b")
-    placed = member.join(comp("class"), "class", "left").select("shingle", "class", "n", own("class").alias("c"))
+    placed = member.join(comp("class"), "class", "left").select("shingle", "class", "n", "pos", own("class").alias("c"))
     sizes = placed.groupBy("shingle", "c").agg(F.count(F.lit(1)).alias("k"))
     main = sizes.groupBy("shingle").agg(F.max(F.struct("k", "c")).alias("x"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("shingle", F.col("x.c").alias("main"))
     main = written(spark, main, "shingle-main")
@@ -324,7 +386,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: Params = Params())
     other = written(spark, other, "shingle-open")
     u, v = other.where("c <> main").alias("u"), other.alias("v")
     un, vn = F.col("u.n"), F.col("v.n")
-    probe = u.join(v, (F.col("u.shingle") == F.col("v.shingle")) & (F.col("u.c") != F.col("v.c")) & (100 * F.least(un, vn) >= p.percent * F.greatest(un, vn)) & _close(p, F.col("u.parity"), F.col("v.parity"), un, vn))
+    probe = u.join(v, (F.col("u.shingle") == F.col("v.shingle")) & (F.col("u.c") != F.col("v.c")) & (100 * F.least(un, vn) >= p.percent * F.greatest(un, vn)) & _ahead(p, "u.n", "u.pos", "v.n", "v.pos") & _close(p, F.col("u.parity"), F.col("v.parity"), un, vn))
     probe = probe.select(F.least("u.class", "v.class").alias("a"), F.greatest("u.class", "v.class").alias("b"))
     rest = rest.union(probe).distinct().join(first, ["a", "b"], "left_anti")
     more = _verified(spark, docs, rest, by_class, p)
@@ -344,14 +406,14 @@ def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One document of each group stays, the one with the smallest doc_id. Rows with a null id go by a hash of their text, behind
     all ids; of rows that share an id the first by a hash of the text stays. Documents without words stay."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62)))
-    keyed = docs.withColumn("_key", key)
-    found = near_duplicates(spark, keyed.select(F.col("_key").alias("doc_id"), "text"))
-    found = written(spark, found.select(F.col("doc_id").alias("_gone"), (F.col("doc_id") == F.col("component_id")).alias("stays")), "near-kept")
-    gone = written(spark, found.groupBy("_gone").agg(F.max("stays").alias("stays")).where("not stays").select("_gone"), "near-gone")
-    kept = keyed.join(gone, F.col("_key") == F.col("_gone"), "left_anti")
-    first = Window.partitionBy("_key").orderBy(F.xxhash64("text"))
-    return kept.withColumn("_first", F.row_number().over(first)).where("_first = 1").select(*docs.columns)
+    key, gone, first = fresh(docs, 3)
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62))))
+    found = near_duplicates(spark, keyed.select(F.col(key).alias("doc_id"), "text"))
+    found = written(spark, found.select(F.col("doc_id").alias(gone), (F.col("doc_id") == F.col("component_id")).alias("stays")), "near-kept")
+    away = written(spark, found.groupBy(gone).agg(F.max("stays").alias("stays")).where("not stays").select(gone), "near-gone")
+    kept = keyed.join(away, F.col(key) == F.col(gone), "left_anti")
+    order = Window.partitionBy(key).orderBy(F.xxhash64("text"))
+    return kept.withColumn(first, F.row_number().over(order)).where(F.col(first) == 1).select(*docs.columns)
 
 
 def oracle() -> str:

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import written
+from graphloom.llm.common import fresh, written
 
 WORD_GAPS = r"[\x20\x09-\x0D]+"
 
@@ -34,7 +34,7 @@ class Params:
     shard_docs: int = 256  # documents of a shard, about
     most_shards: int = 4096  # of a source; beyond, shards grow
     seed: str = "mix-1"
-    most_sent: int = 1 << 19  # rows of the taken documents that the stage sends to all executors
+    most_cuts: int = 1 << 18  # shards whose cut-offs the stage sends to all executors
 
 
 def n_words(text: Column) -> Column:
@@ -85,9 +85,28 @@ def sainte_lague(df: DataFrame, votes: str, seats: Column, by: list[str], order:
     return ranked.groupBy(*df.columns).agg(F.greatest(F.coalesce(won, F.lit(0)), F.max("_low")).alias(out))
 
 
-def mix(spark: SparkSession, docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: one row for each row of docs."""
-    sizes = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.md5(F.concat_ws("|", F.lit(p.seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("source"))).alias("h"))
+def _shard(h: Column, shards: Column) -> Column:
+    return F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), shards)
+
+
+def _place(p: Params) -> Column:
+    """What orders a row in its shard. Rows without an id go by their text, so that no shard gathers them."""
+    who = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
+    return F.md5(F.concat_ws("|", F.lit(p.seed), who, F.col("source")))
+
+
+@dataclass
+class Plan:
+    """sizes: doc_id, source, size, h of each row; sources: source, source_size, target, blocks, shards; quotas: source, shard,
+    shard_size, passes (words taken of the shard). All written tables."""
+
+    sizes: DataFrame
+    sources: DataFrame
+    quotas: DataFrame
+
+
+def plan(spark: SparkSession, docs: DataFrame, p: Params = Params()) -> Plan:
+    sizes = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _place(p).alias("h"))
     sizes = written(spark, sizes, "mix-sizes")
     per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
     aimed = targets(per_source, p).withColumn("_one", F.lit(1))
@@ -95,31 +114,71 @@ def mix(spark: SparkSession, docs: DataFrame, p: Params = Params()) -> DataFrame
     given = sainte_lague(aimed.withColumn("blocks_all", total), "target", F.col("blocks_all"), ["_one"], ["source"], "blocks")
     shards = F.least(F.ceil(F.col("docs") / p.shard_docs), F.lit(p.most_shards)).cast("long")
     given = written(spark, given.select("source", "source_size", "target", "blocks", shards.alias("shards")), "mix-sources")  # small as read: the planner may send it to all
-    placed = sizes.join(given, sizes["source"].eqNullSafe(given["source"])).select("doc_id", sizes["source"], "size", "h", "source_size", "target", "blocks", F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.col("shards")).alias("shard"))
-    per_shard = placed.groupBy("source", "shard", "blocks").agg(F.sum("size").alias("shard_size"))
-    quota = sainte_lague(per_shard, "shard_size", F.col("blocks"), ["source"], ["shard"], "quota").select(F.col("source").alias("_s"), F.col("shard").alias("_k"), "shard_size", (F.col("quota") * p.block_words).alias("quota"))
-    quota = written(spark, quota, "mix-quotas")
-    row = placed.join(quota, F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_k")))
+    per_shard = sizes.join(given, sizes["source"].eqNullSafe(given["source"])).groupBy(sizes["source"], _shard(F.col("h"), F.col("shards")).alias("shard"), "blocks").agg(F.sum("size").alias("shard_size"))
+    quota = sainte_lague(per_shard, "shard_size", F.col("blocks"), ["source"], ["shard"], "quota")
+    passes = F.least(F.col("quota") * p.block_words, p.most_passes * F.col("shard_size"))
+    return Plan(sizes, given, written(spark, quota.select("source", "shard", "shard_size", passes.alias("passes")), "mix-quotas"))
+
+
+def _placed(made: Plan) -> DataFrame:
+    """Each row's numbers beside its shard's."""
+    q = made.quotas.select(F.col("source").alias("_s"), F.col("shard").alias("_k"), "shard_size", "passes")
+    s = made.sources
+    placed = made.sizes.join(s, made.sizes["source"].eqNullSafe(s["source"])).select("doc_id", made.sizes["source"], "size", "h", "source_size", "target", _shard(F.col("h"), F.col("shards")).alias("shard"))
+    return placed.join(q, F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_k"))).drop("_s", "_k")
+
+
+def _passes() -> tuple[Column, Column]:
+    """Whole passes over a shard, and what is left of its quota for one more, from the shard's start."""
+    whole = F.when(F.col("shard_size") > 0, F.floor(F.col("passes") / F.col("shard_size"))).otherwise(0)
+    return whole, F.col("passes") - whole * F.col("shard_size")
+
+
+def mix(spark: SparkSession, docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken: one row for each row of docs."""
+    row = _placed(plan(spark, docs, p))
     seeded = Window.partitionBy("source", "shard").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     row = row.withColumn("first", F.sum("size").over(seeded) - F.col("size"))
-    passes = F.least(F.col("quota"), p.most_passes * F.col("shard_size"))
-    whole = F.when(F.col("shard_size") > 0, F.floor(passes / F.col("shard_size"))).otherwise(0)
-    rest = passes - whole * F.col("shard_size")
+    whole, rest = _passes()
     taken = whole * F.col("size") + F.least(F.col("size"), F.greatest(rest - F.col("first"), F.lit(0)))
     return row.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
+def cuts(made: Plan) -> DataFrame:
+    """source, shard, shards, whole, last: of each shard, how often all of it is taken, and the (h, size) up to which documents are taken
+    once more. A document at the end of the quota is taken if half of it or more is; rows of one (h, size) share evenly."""
+    seeded = Window.partitionBy("source", "shard").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    alike = _placed(made).where("size > 0").groupBy("source", "shard", "h", "size", "shard_size", "passes").agg(F.sum("size").alias("words"))
+    whole, rest = _passes()
+    got = rest - (F.sum("words").over(seeded) - F.col("words"))
+    alike = alike.withColumns({"whole": whole, "extra": 2 * got >= F.col("words")})
+    ends = alike.groupBy("source", "shard").agg(F.first("whole").alias("whole"), F.max(F.when(F.col("extra"), F.struct("h", "size"))).alias("last"))
+    s = made.sources.select(F.col("source").alias("_s"), "shards")
+    return ends.join(s, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+
+
 def stage(spark: SparkSession, docs: DataFrame, p: Params = Params()) -> DataFrame:
     """The documents of the mix, with their own columns: as often as they are taken whole, and once more if what is left of
-    their share is over half of them. A document without words is not taken. Rows of one id are told apart by their size."""
-    taken = mix(spark, docs, p).groupBy("doc_id", "source", "size").agg(F.max("taken").alias("taken"))
-    taken = taken.where("taken > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_copies")).where("_copies > 0")
-    taken = written(spark, taken, "mix-taken")
-    if taken.count() <= p.most_sent:  # some 40 bytes a row; beyond, texts are shuffled to them
-        taken = F.broadcast(taken)
-    sized = docs.withColumn("_size", n_words(F.col("text")))
-    joined = sized.join(taken, sized["doc_id"].eqNullSafe(F.col("_d")) & sized["source"].eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    their share is half of them or more. A document without words is not taken.
+
+    Inside a shard documents stand in a seeded order, so one cut-off a shard tells what is taken, and each row finds its copies by
+    its own place. The cut-offs are a row a shard (`shard_docs` documents, `most_shards` a source at most); they are sent to all
+    while they are at most `most_cuts`, else joined, so no row of the documents meets another one.
+    """
+    found = written(spark, cuts(plan(spark, docs, p)), "mix-cuts")
+    source, shard, shards, whole, last, size, h, copy = fresh(docs, 8)
+    found = found.select(*(F.col(a).alias(b) for a, b in (("source", source), ("shard", shard), ("shards", shards), ("whole", whole), ("last", last))))
+    per_source = found.select(source, shards).distinct()
+    if found.count() <= p.most_cuts:  # some 80 bytes a row
+        found, per_source = F.broadcast(found.drop(shards)), F.broadcast(per_source)
+    else:
+        found = found.drop(shards)
+    sized = docs.withColumns({size: n_words(F.col("text")), h: _place(p)})
+    placed = sized.join(per_source, F.col("source").eqNullSafe(F.col(source))).drop(source)
+    met = placed.join(found, F.col("source").eqNullSafe(F.col(source)) & (_shard(F.col(h), F.col(shards)) == F.col(shard)))
+    more = F.coalesce(F.struct(F.col(h).alias("h"), F.col(size).alias("size")) <= F.col(last), F.lit(False))
+    copies = F.col(whole).cast("int") + more.cast("int")
+    return met.withColumn(copy, F.explode(F.when((F.col(size) > 0) & (copies > 0), F.sequence(F.lit(1), copies)))).select(*docs.columns)
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -137,7 +196,7 @@ def oracle(p: Params = Params()) -> str:
 {name}_r AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {votes} / (2 * k - 1) DESC, {order} NULLS FIRST) AS r FROM {name}_k)"""
 
     return f"""
-WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(concat_ws('|', '{p.seed}', coalesce(CAST(doc_id AS VARCHAR), ''), source)) AS h FROM documents),
+WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(concat_ws('|', '{p.seed}', coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))), source)) AS h FROM documents),
 ps AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS docs FROM s GROUP BY source),
 pw AS (SELECT *, [{weights}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(p.weights)} + 1] AS weight, row_number() OVER (ORDER BY source NULLS LAST) AS rank, {p.most_passes} * source_size AS cap FROM ps),
 pl AS (SELECT *, least({p.share} * sum(source_size) OVER (), sum(cap) OVER ()) AS wanted, sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap / weight, rank {before}), 0) AS left_weight, coalesce(sum(cap) OVER (ORDER BY cap / weight, rank {before}), 0) AS taken_before FROM pw),

@@ -15,6 +15,7 @@ last. An empty table gives no rows. Extra columns are not read.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from array import array
@@ -57,6 +58,7 @@ class Encoder:
     MARKS = ".,;:!?)]}$&%#*\"|"
 
     def __init__(self, p: Params):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has a core; threads of its own would only take memory
         from tokenizers import Tokenizer
 
         self.own, self.p = Tokenizer.from_file(p.tokenizer), p
@@ -227,5 +229,5 @@ def query(spark: SparkSession, docs: DataFrame, p: Params | None = None) -> Data
 
 
 def stage(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """query() with smaller caches, as other stages' workers stand beside this one's."""
-    return query(spark, docs, replace(default_params(), cached_words=800_000, cached_pieces=300_000))
+    """query() with smaller caches and batches, as other stages' workers stand beside this one's."""
+    return query(spark, docs, replace(default_params(), cached_words=200_000, cached_pieces=60_000, batch_docs=400))

@@ -7,15 +7,18 @@ equals) is its trigger. Consecutive starts with one trigger form a phrase: the b
 last string. The trigger of a string depends on nothing outside of it, so equal strings stand at equal places beside equal
 grams. The dictionary is the set of distinct phrases; the parse is the order of their places.
 
-Sorting. Phrases are sorted by trigger, then by phrase, then by place. A trigger gram that occurs once settles all its starts.
-Of equal phrases all but the first in corpus order are repeats as a whole. Where different phrases share a trigger gram, the
-suffixes of the dictionary's phrases are sorted by their first `length` bytes, and by place among equals. Only equality of
-those bytes counts for the result, so the sort is by a 64-bit hash of them instead of their letters.
+Parse. Phrases are sorted by trigger, then by phrase (BLAKE2b-128 of its bytes stands for its rank), then by place. As every string
+lies inside its phrase, the parse's suffixes need no more than their first phrase: a trigger gram that occurs once settles all its
+starts, and of equal phrases all but the first in corpus order are repeats as a whole.
 
-Scale. Per trigger a phrase travels as some 25 bytes; texts move only for documents with a shared trigger, twice at most.
+Dictionary. Strings of different triggers differ, so the dictionary's suffix array is built trigger by trigger, and only where
+different phrases share one: `suffix_ranks` sorts those phrases' suffixes by their first `length` bytes, by doubling, letter for letter.
+Suffixes of one rank, in order of their phrases' places in the parse, are the corpus order; all but the first are repeats.
+
+Scale. Per trigger a phrase travels as some 33 bytes; texts move only for documents with a shared trigger, twice at most.
 Tasks drop their own repeats first. Grams with many different phrases (the edges of a passage that a third of all documents
-holds) are settled by single strings, keyed by the string's hash, of which each task sends the first alone. So no key gathers
-more than a few entries a task.
+holds) are settled by single strings, keyed by the string's BLAKE2b-128, of which each task sends the first alone. So no key gathers
+more than a few entries a task. Rolling hashes choose triggers and partitions only; a chance meeting of theirs costs work and removes nothing.
 
 Null and empty texts, and those under `length` bytes, keep all bytes. Rows with a null doc_id come last, by a hash of their
 text. Rows that repeat with id and text are repeats of the first of them. An empty table gives no rows. Extra columns are
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.bytewords import BYTE_VALUE, PIECE, powers
-from graphloom.llm.common import bounded_batches, in_pieces, mixed, partitions, runs, task, utf8, written
+from graphloom.llm.common import bounded_batches, in_pieces, mixed, numbers, partitions, runs, task, utf8, written
 
 GRAM = 32
 LAST = (1 << 63) - 1
@@ -50,6 +53,7 @@ class Params:
     local_phrases: int = 64  # different phrases of a gram in one flush, beyond which it is settled by strings
     phrases: int = 4096  # the same in all
     sieve_bits: int = 1 << 23
+    sorted_bytes: int = 1 << 20  # of phrases whose suffixes are sorted at once, if no trigger has more
 
 
 class Hashes:
@@ -64,11 +68,34 @@ class Hashes:
         return mixed((self.run[j] - self.run[i]) * self.down[i] + (j - i).astype(np.uint64))
 
 
+def digests(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """BLAKE2b-128 of each data[first:last] as two numbers."""
+    view = memoryview(np.ascontiguousarray(data))
+    return np.frombuffer(b"".join([hashlib.blake2b(view[i:j], digest_size=16).digest() for i, j in zip(first.tolist(), last.tolist(), strict=True)]), "<u8").reshape(-1, 2)
+
+
+def suffix_ranks(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Ranks of the strings data[i:i + length] for i in `at`, by their bytes: equal strings have equal ranks, smaller ones smaller ranks.
+
+    Ranks of 1, 2, 4, ... bytes are worked out for all suffixes, each from two of half as many; suffixes that end early come first.
+    """
+    n = len(data)
+    rank, width = data.astype(np.int64) + 1, 1
+    while width < length:
+        step = min(width, length - width)  # the last step overlaps
+        behind = np.zeros(n, np.int64)
+        behind[: n - step] = rank[step:]
+        key = rank * (int(rank.max(initial=0)) + 1) + behind
+        rank = np.unique(key, return_inverse=True)[1].astype(np.int64) + 1
+        width += step
+    return rank[at]
+
+
 def phrases(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """For each phrase of a piece of texts: trigger hash, phrase hash, text number, first and last start, trigger (from the text's start)."""
+    """For each phrase of a piece of texts: trigger hash, phrase digest, text number, first and last start, trigger (from the text's start)."""
     sizes = np.maximum(np.diff(offsets) - length + 1, 0)
     if not sizes.sum():
-        return tuple(np.zeros(0, k) for k in (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64))
+        return tuple(np.zeros(0, k) for k in (np.uint64, np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64))
     h = Hashes(data)
     gram = mixed((h.run[GRAM:] - h.run[:-GRAM]) * h.down[: len(data) - GRAM + 1])
     least = (gram & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(gram), dtype=np.uint64)
@@ -85,14 +112,18 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(p)) - 1
     lo, hi, a, text = p[first], p[last], a[first], text[first]
-    whole = mixed(h(lo, hi + length) + (a - lo).astype(np.uint64))
+    whole = digests(data, lo, hi + length)
     at = offsets[text]
-    return h(a, a + GRAM), whole, text, lo - at, hi - at, a - at
+    return h(a, a + GRAM), whole[:, 0], whole[:, 1], text, lo - at, hi - at, a - at
+
 
+ENTRY = np.dtype([("gram", "<u8"), ("whole", "<u8"), ("other", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("lo", "<i8"), ("hi", "<i8"), ("at", "<i8"), ("hot", "?")])
+#: Of a trigger's hash 48 bits travel; a chance meeting only costs a comparison of whole phrases.
 
-ENTRY = np.dtype([("gram", "<u8"), ("whole", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("lo", "<i8"), ("hi", "<i8"), ("at", "<i8"), ("hot", "?")])
-#: Of a trigger's hash, so many bits travel; a chance meeting only costs a comparison of whole phrases.
-KEPT = np.uint64((1 << 48) - 1)
+
+def _to(gram: np.ndarray, n: int) -> np.ndarray:
+    """The partition of a trigger, by other bits than those that are compared and some of them."""
+    return ((gram >> np.uint64(24)) % np.uint64(n)).astype(np.int64)
 
 
 def _pack(e: np.ndarray) -> bytes:
@@ -101,7 +132,7 @@ def _pack(e: np.ndarray) -> bytes:
     at = np.flatnonzero(new)
     lo = e["lo"].astype("<u4").view("<u2").reshape(-1, 2)
     grams = np.ascontiguousarray(e["gram"].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
-    parts = [np.array([len(e), len(at)], "<u4"), e["doc"][at], e["tag"][at], np.diff(np.append(at, len(e))).astype("<u4"), grams, e["whole"], np.ascontiguousarray(lo[:, 0]), np.ascontiguousarray(lo[:, 1]), (e["hi"] - e["lo"]).astype(np.uint8), (e["at"] - e["lo"]).astype(np.uint8), e["hot"].astype(np.uint8)]
+    parts = [np.array([len(e), len(at)], "<u4"), e["doc"][at], e["tag"][at], np.diff(np.append(at, len(e))).astype("<u4"), grams, e["whole"], e["other"], np.ascontiguousarray(lo[:, 0]), np.ascontiguousarray(lo[:, 1]), (e["hi"] - e["lo"]).astype(np.uint8), (e["at"] - e["lo"]).astype(np.uint8), e["hot"].astype(np.uint8)]
     return b"".join(np.ascontiguousarray(x).tobytes() for x in parts)
 
 
@@ -120,7 +151,7 @@ def _unpack(data: bytes) -> np.ndarray:
     e["doc"], e["tag"] = np.repeat(doc, many), np.repeat(tag, many)
     grams = np.zeros((n, 8), np.uint8)
     grams[:, :6] = take("u1", 6 * n).reshape(n, 6)
-    e["gram"], e["whole"] = grams.view("<u8")[:, 0], take("<u8", n)
+    e["gram"], e["whole"], e["other"] = grams.view("<u8")[:, 0], take("<u8", n), take("<u8", n)
     e["lo"] = take("<u2", n).astype(np.int64) + (take("<u2", n).astype(np.int64) << 16)
     e["hi"], e["at"], e["hot"] = e["lo"] + take("u1", n), e["lo"] + take("u1", n), take("u1", n)
     return e
@@ -140,9 +171,9 @@ def _settle(e: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, int]], np
     """Sorted entries, the repeats among them, a mask of first phrases, and how many different phrases each entry's gram has."""
     if not len(e):
         return e, [], np.zeros(0, bool), np.zeros(0, np.int64)
-    e = e[np.lexsort((e["lo"], e["tag"], e["doc"], e["whole"], e["gram"]))]
+    e = e[np.lexsort((e["lo"], e["tag"], e["doc"], e["other"], e["whole"], e["gram"]))]
     gram = np.append(True, e["gram"][1:] != e["gram"][:-1])
-    whole = gram | np.append(True, e["whole"][1:] != e["whole"][:-1])
+    whole = gram | np.append(True, (e["whole"][1:] != e["whole"][:-1]) | (e["other"][1:] != e["other"][:-1]))
     same = ~whole & np.append(False, (e["doc"][1:] == e["doc"][:-1]) & (e["tag"][1:] == e["tag"][:-1]) & (e["lo"][1:] == e["lo"][:-1]))
     of = np.cumsum(gram) - 1
     many = np.bincount(of, weights=whole, minlength=len(e)).astype(np.int64)[of] if len(e) else np.zeros(0, np.int64)
@@ -183,7 +214,7 @@ def marks(spark: SparkSession, keyed: DataFrame, keys: np.ndarray, p: Params) ->
                 x = x[np.append(True, x["gram"][1:] != x["gram"][:-1])].copy()  # one of them tells that the gram is settled by strings
                 x["hot"] = True
                 e = np.concatenate([e[~hot], x])
-            to = ((e["gram"] >> np.uint64(48)) % np.uint64(n)).astype(np.int64)
+            to = _to(e["gram"], n)
             order = np.lexsort((e["tag"], e["doc"], to))
             e, to = e[order], to[order]
             cut = np.searchsorted(to, np.arange(n + 1))
@@ -194,9 +225,9 @@ def marks(spark: SparkSession, keyed: DataFrame, keys: np.ndarray, p: Params) ->
             data, offsets = utf8(b.column(2))
             doc, tag = b.column(0).to_numpy(), b.column(1).to_numpy()
             for i, j in runs(offsets, PIECE):
-                gram, whole, text, lo, hi, at = phrases(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], p.length)
+                gram, whole, other, text, lo, hi, at = phrases(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], p.length)
                 e = np.empty(len(gram), ENTRY)
-                e["gram"], e["whole"], e["doc"], e["tag"], e["lo"], e["hi"], e["at"], e["hot"] = gram, whole, doc[i + text], tag[i + text], lo, hi, at, False
+                e["gram"], e["whole"], e["other"], e["doc"], e["tag"], e["lo"], e["hi"], e["at"], e["hot"] = gram, whole, other, doc[i + text], tag[i + text], lo, hi, at, False
                 held.append(e)
                 size += int(offsets[j] - offsets[i])
                 if size >= p.flush_bytes:
@@ -237,10 +268,10 @@ def _with_marks(spark: SparkSession, keyed: DataFrame, found: DataFrame, p: Para
     size = p.sieve_bits
     bit = F.pmod(F.xxhash64("doc", "tag"), F.lit(size))
     ones = found.select(bit.alias("k")).groupBy(F.floor(F.col("k") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k % 64 as int))")).alias("x"))
-    words = np.zeros(size // 64, np.int64)
-    for r in ones.collect():
-        words[r["w"]] = r["x"]
+    words, ones = np.zeros(size // 64, np.int64), numbers(ones)
+    words[ones["w"]] = ones["x"]
     sieve = words.tobytes()
+    del words, ones
 
     @task("suffix_dedup")
     def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,13 +286,13 @@ def _with_marks(spark: SparkSession, keyed: DataFrame, found: DataFrame, p: Para
     return joined, seen.where("maybe = 0")
 
 
-WINDOW = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("lo", "<i8")])
+WINDOW = np.dtype([("hash", "<u8"), ("other", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("lo", "<i8")])
 
 
 def _repeats(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First strings, and the others as marks of single starts."""
-    w = w[np.lexsort((w["lo"], w["tag"], w["doc"], w["hash"]))]
-    first = np.append(True, w["hash"][1:] != w["hash"][:-1]) if len(w) else np.zeros(0, bool)
+    w = w[np.lexsort((w["lo"], w["tag"], w["doc"], w["other"], w["hash"]))]
+    first = np.append(True, (w["hash"][1:] != w["hash"][:-1]) | (w["other"][1:] != w["other"][:-1])) if len(w) else np.zeros(0, bool)
     return w[first], w[~first]
 
 
@@ -272,11 +303,11 @@ def _runs(w: np.ndarray) -> pa.RecordBatch:
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(w)) - 1
     m = len(first)
-    return pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), pa.array(w["doc"][first]), pa.array(w["tag"][first]), pa.array(w["lo"][first]), pa.array(w["lo"][last]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], names=OPEN)
+    return pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), pa.array(w["doc"][first]), pa.array(w["tag"][first]), pa.array(w["lo"][first]), pa.array(w["lo"][last]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], names=OPEN)
 
 
-OPEN = ["bucket", "doc", "tag", "lo", "hi", "hash", "bytes"]
-OPEN_SCHEMA = "bucket int, doc long, tag long, lo long, hi long, hash long, bytes binary"
+OPEN = ["bucket", "doc", "tag", "lo", "hi", "hash", "other", "bytes"]
+OPEN_SCHEMA = "bucket int, doc long, tag long, lo long, hi long, hash long, other long, bytes binary"
 
 
 def suffixes(spark: SparkSession, keyed: DataFrame, open_: DataFrame, keys: np.ndarray, p: Params) -> DataFrame:
@@ -288,7 +319,7 @@ def suffixes(spark: SparkSession, keyed: DataFrame, open_: DataFrame, keys: np.n
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             single: list[np.ndarray] = []
-            rows: tuple[list, ...] = ([], [], [], [], [])
+            rows: tuple[list, ...] = ([], [], [], [], [], [])
             for doc, tag, text, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 data = text.encode()
                 for m in own:
@@ -296,52 +327,57 @@ def suffixes(spark: SparkSession, keyed: DataFrame, open_: DataFrame, keys: np.n
                     piece = data[lo : hi + p.length]
                     x = np.frombuffer(piece, np.uint8)
                     if m["kind"] == BY_TRIGGER:
-                        gram = Hashes(x)(np.array([at - lo]), np.array([at - lo + GRAM]))[0]
-                        for r, v in zip(rows, (keys[int((gram >> np.uint64(48)) % np.uint64(n))], doc, tag, lo, piece), strict=True):
+                        gram = Hashes(x)(np.array([at - lo]), np.array([at - lo + GRAM]))
+                        for r, v in zip(rows, (keys[_to(gram, n)[0]], doc, tag, lo, piece, gram.view(np.int64)[0]), strict=True):
                             r.append(v)
                     else:
                         k = np.arange(hi - lo + 1)
                         w = np.empty(len(k), WINDOW)
-                        w["hash"], w["doc"], w["tag"], w["lo"] = Hashes(x)(k, k + p.length), doc, tag, lo + k
+                        own_hash = digests(x, k, k + p.length)
+                        w["hash"], w["other"], w["doc"], w["tag"], w["lo"] = own_hash[:, 0], own_hash[:, 1], doc, tag, lo + k
                         single.append(w)
             m = len(rows[0])
             if m:
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(rows[4], pa.binary())], names=OPEN)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(rows[5], pa.int64()), pa.array(rows[4], pa.binary())], names=OPEN)
             if single:
                 w, again = _repeats(np.concatenate(single))
                 if len(again):
                     x = _runs(again)
                     yield x.set_column(0, "bucket", pa.array(keys[np.arange(len(x)) % n], pa.int32()))
                 m = len(w)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[(w["hash"] % np.uint64(n)).astype(np.int64)], pa.int32()), pa.array(w["doc"]), pa.array(w["tag"]), pa.array(w["lo"]), pa.nulls(m, pa.int64()), pa.array(w["hash"].view(np.int64)), pa.nulls(m, pa.binary())], names=OPEN)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[(w["hash"] % np.uint64(n)).astype(np.int64)], pa.int32()), pa.array(w["doc"]), pa.array(w["tag"]), pa.array(w["lo"]), pa.nulls(m, pa.int64()), pa.array(w["hash"].copy().view(np.int64)), pa.array(w["other"].copy().view(np.int64)), pa.nulls(m, pa.binary())], names=OPEN)
 
     @task("suffix_dedup")
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_hash, by_trigger = [], []
+        strings, held = [], []
         for b in batches:
             x = b.filter(b.column(4).is_valid())
             if len(x):
                 yield x
-            for held, c in ((by_hash, 5), (by_trigger, 6)):
-                x = b.filter(b.column(c).is_valid())
-                if not len(x):
-                    continue
-                if c == 5:
-                    w = np.empty(len(x), WINDOW)
-                    w["hash"], w["doc"], w["tag"], w["lo"] = x.column(5).to_numpy().view(np.uint64), x.column(1).to_numpy(), x.column(2).to_numpy(), x.column(3).to_numpy()
-                else:
-                    data, offsets = utf8_of(x.column(6))
-                    k = np.diff(offsets) - p.length + 1
-                    i = np.repeat(np.arange(len(k)), k)
-                    at = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-                    w = np.empty(len(i), WINDOW)
-                    w["hash"] = Hashes(data)(offsets[:-1][i] + at, offsets[:-1][i] + at + p.length)
-                    w["doc"], w["tag"], w["lo"] = x.column(1).to_numpy()[i], x.column(2).to_numpy()[i], x.column(3).to_numpy()[i] + at
-                held.append(w)
-        for held in (by_hash, by_trigger):
-            if held:
-                again = _repeats(np.concatenate(held))[1]
-                held.clear()
+            x = b.filter(b.column(5).is_valid())
+            if len(x):
+                w = np.empty(len(x), WINDOW)
+                w["hash"], w["other"], w["doc"], w["tag"], w["lo"] = (x.column(c).to_numpy() if c < 5 else x.column(c).to_numpy().view(np.uint64) for c in (5, 6, 1, 2, 3))
+                strings.append(w)
+            x = b.filter(b.column(7).is_valid())
+            if len(x):
+                held.append(x.select([1, 2, 3, 6, 7]))
+        if strings:
+            again = _repeats(np.concatenate(strings))[1]
+            strings.clear()
+            if len(again):
+                yield from in_pieces(_runs(again))
+        if held:
+            x = pa.Table.from_batches(held)
+            held.clear()
+            gram = x.column(3).to_numpy()
+            order = np.argsort(gram, kind="stable")
+            x, gram = x.take(pa.array(order)), gram[order]
+            # the dictionary, some triggers at a time, end to end: no string goes over a phrase's end
+            new = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+            ends = np.cumsum(pa.compute.binary_length(x.column(4)).to_numpy().astype(np.int64))
+            for i, j in runs(np.append(0, ends[np.append(new[1:], len(gram)) - 1]), p.sorted_bytes):
+                again = _repeats(_suffixes(x.slice(new[i], (new[j] if j < len(new) else len(gram)) - new[i]), p))[1]
                 if len(again):
                     yield from in_pieces(_runs(again))
 
@@ -349,6 +385,18 @@ def suffixes(spark: SparkSession, keyed: DataFrame, open_: DataFrame, keys: np.n
     return written(spark, pieces.repartition(n, "bucket").mapInArrow(sort, OPEN_SCHEMA).select("doc", "tag", "lo", "hi"), "phrase-repeats")
 
 
+def _suffixes(x: pa.Table, p: Params) -> np.ndarray:
+    """All strings of some phrases (doc, tag, lo, gram, bytes), with their ranks as hashes."""
+    data, offsets = utf8_of(x.column(4).combine_chunks())
+    k = np.diff(offsets) - p.length + 1
+    i = np.repeat(np.arange(len(k)), k)
+    at = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+    w = np.empty(len(i), WINDOW)
+    w["hash"], w["other"] = suffix_ranks(data, offsets[:-1][i] + at, p.length), 0
+    w["doc"], w["tag"], w["lo"] = x.column(0).to_numpy()[i], x.column(1).to_numpy()[i], x.column(2).to_numpy()[i] + at
+    return w
+
+
 def utf8_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a binary column."""
     column = column.cast(pa.large_binary())

@@ -35,6 +35,11 @@ def upsert_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select(*[pick(c).alias(c) for c in NODE_COLUMNS])
 
 
+def put_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows of new whose id is not there yet are added, one an id; what is there stays as it is, so putting again changes nothing."""
+    return old.select(*NODE_COLUMNS).unionByName(new.select(*NODE_COLUMNS).join(old.select("id"), "id", "left_anti").dropDuplicates(["id"]))
+
+
 def upsert_edges(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.select(*EDGE_COLUMNS).unionByName(new.select(*EDGE_COLUMNS)).dropDuplicates(EDGE_COLUMNS)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 from collections.abc import Callable
 
 import pandas as pd
@@ -42,7 +43,8 @@ def clean_snippet(text: Column) -> Column:
 
 
 def callee_names(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """source_id, callees: names that a node calls or depends on, without plain ones, in order of name, a few at most."""
+    """source_id, callees: names that a node calls or depends on, without plain ones, a few at most. They go by name, as the rows of
+    a table of edges have no order."""
     names = nodes.where(F.col("node_type") != "import").select(F.col("id").alias("target_id"), "name")
     called = edges.where(F.col("edge_type").isin(*FOLLOWED)).join(names, "target_id")
     worth = called.where((F.length("name") > 3) & ~F.col("name").isin(*PLAIN_CALLEES)).select("source_id", "name").distinct()
@@ -75,6 +77,11 @@ def hashed_vectors(texts: DataFrame, dims: int = 64) -> DataFrame:
     return rows.withColumn("raw", raw).select("node_id", F.transform("raw", lambda x: (x / F.greatest(norm, F.lit(1e-9))).cast("float")).alias("vector"), F.lit(dims).alias("dims"))
 
 
+def backends() -> list[str]:
+    """Which model runtimes can be imported here, for model_vectors."""
+    return [x for x in ("onnxruntime", "sentence_transformers") if importlib.util.find_spec(x)]
+
+
 def model_vectors(texts: DataFrame, model: Callable[[], Callable[[list[str]], list[list[float]]]], chunk: int = 256) -> DataFrame:
     """(node_id, text) -> (node_id, vector, dims) by any model: `model()` is called once a task and gives a function on texts."""
 

@@ -421,6 +421,13 @@ def upsert_nodes(spark, d):
     return build.upsert_nodes(n.where("line_start % 3 <> 0"), new)
 
 
+@query("put_nodes", f"""WITH {sql()}, o AS (SELECT * FROM nodes WHERE line_start % 3 <> 0), u AS (SELECT * REPLACE ('new ' || title AS title) FROM nodes WHERE line_start % 2 = 0)
+SELECT * FROM o UNION ALL SELECT * FROM u WHERE id NOT IN (SELECT id FROM o)""")
+def put_nodes(spark, d):
+    n = Derived(spark, d).nodes
+    return build.put_nodes(n.where("line_start % 3 <> 0"), n.where("line_start % 2 = 0").withColumn("title", F.concat(F.lit("new "), "title")))
+
+
 @query("upsert_edges", f"WITH {sql()}, b AS (SELECT * FROM edges WHERE edge_type <> 'references') SELECT * FROM b UNION SELECT * FROM (SELECT * FROM edges WHERE edge_type <> 'calls')")
 def upsert_edges(spark, d):
     e = Derived(spark, d).edges

@@ -12,6 +12,7 @@ and sorted, so a scan for a few values skips most of it.
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
 
@@ -39,6 +40,10 @@ VERSION = 2
 POINTER = re.compile(r"CURRENT-(\d{10})")
 
 
+#: Opened stores by application and folder.
+OPEN: dict[tuple[str, str], GraphStore] = {}
+
+
 class ConflictingWrite(RuntimeError):
     """Another build has written a version meanwhile."""
 
@@ -117,10 +122,16 @@ class GraphStore:
         return Version(self)
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str) -> GraphStore:
-        store = cls(spark, path)
+    def open(cls, spark: SparkSession, path: str | None = None) -> GraphStore:
+        """The store of a folder that holds a graph, one object a folder and application; without a path, of the folder that GRAPHLOOM_STORE
+        names, else of `.graphloom` here."""
+        path = path or os.environ.get("GRAPHLOOM_STORE") or ".graphloom"
+        key = (spark.sparkContext.applicationId, path)
+        store = OPEN.get(key) or cls(spark, path)
         if store.current() is None:
+            OPEN.pop(key, None)
             raise FileNotFoundError(f"no graph at {path}")
+        OPEN[key] = store
         return store
 
     def empty(self, table: str) -> DataFrame:

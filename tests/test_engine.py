@@ -273,3 +273,15 @@ def test_vectors_by_a_model_and_by_hashes(spark):
         want[words[w] % 16] += 1.0 if (words[w] >> 40) % 2 == 0 else -1.0
     norm = sum(x * x for x in want) ** 0.5
     assert hashed["a"] == hashed["c"] == pytest.approx([x / norm for x in want]) and hashed["b"] == hashed["d"] == [0.0] * 16
+
+
+def test_open_store(spark, tree, monkeypatch):
+    from graphloom.sources.store import GraphStore
+
+    with pytest.raises(FileNotFoundError):
+        GraphStore.open(spark, f"file://{tree}/none")
+    e, root = engine_of(spark, tree)
+    e.index(root)
+    assert GraphStore.open(spark, e.store.path) is GraphStore.open(spark, e.store.path)
+    monkeypatch.setenv("GRAPHLOOM_STORE", e.store.path)
+    assert GraphStore.open(spark).snapshot()["file_count"] == 3 and isinstance(embed.backends(), list)

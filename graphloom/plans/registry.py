@@ -177,7 +177,7 @@ def predecessors(spark, d):
 
 @query("all_successors", f"WITH {sql()} SELECT source_id, count(*) AS degree, string_agg(target_id, ',' ORDER BY target_id, edge_type) AS targets FROM edges GROUP BY source_id")
 def all_successors(spark, d):
-    return traverse.all_successors(Derived(spark, d).edges).select("source_id", F.size("out").cast("long").alias("degree"), F.array_join(F.transform("out", lambda x: x["target_id"]), ",").alias("targets"))
+    return traverse.all_successors(Derived(spark, d).kept().edges).select("source_id", F.size("out").cast("long").alias("degree"), F.array_join(F.transform("out", lambda x: x["target_id"]), ",").alias("targets"))
 
 
 @query("edge_listing", f"""WITH {sql()}, s AS (SELECT * FROM edges WHERE edge_type NOT IN ('imports', 'defines', 'contains')),
@@ -201,18 +201,18 @@ def get_node(spark, d):
 g AS (SELECT folder, list(name ORDER BY name) FILTER (node_type = 'class') AS c, list(name ORDER BY name) FILTER (node_type = 'function') AS f, list(name ORDER BY name) FILTER (node_type = 'method') AS m FROM x GROUP BY folder)
 SELECT folder, {', '.join(f"array_to_string(list_concat(coalesce({c}, [])[1:20], CASE WHEN len({c}) > 20 THEN ['… +' || (len({c}) - 20) || ' more'] ELSE [] END), ',') AS {n}, CAST(coalesce(len({c}), 0) AS BIGINT) AS {n}_count" for c, n in (('c', 'classes'), ('f', 'functions'), ('m', 'methods')))} FROM g""")
 def feature_map(spark, d):
-    return rollup.feature_map(Derived(spark, d).nodes).withColumns({c: F.array_join(c, ",") for c in ("classes", "functions", "methods")})
+    return rollup.feature_map(Derived(spark, d).kept().nodes).withColumns({c: F.array_join(c, ",") for c in ("classes", "functions", "methods")})
 
 
 @query("graph_counts", f"WITH {sql()} SELECT (SELECT count(*) FROM nodes) AS node_count, (SELECT count(*) FROM edges) AS edge_count")
 def graph_counts(spark, d):
-    g = Derived(spark, d)
+    g = Derived(spark, d).kept()
     return rollup.counts(g.nodes, g.edges)
 
 
 @query("snapshot_hash", f"WITH {sql()} SELECT sha256(string_agg(id, '|' ORDER BY id)) AS snapshot_hash, count(*) AS node_count FROM nodes")
 def snapshot_hash(spark, d):
-    return rollup.snapshot_hash(Derived(spark, d).nodes)
+    return rollup.snapshot_hash(Derived(spark, d).kept().nodes)
 
 
 @query("node_ids", "SELECT o_orderkey, sha256('function:orders/' || o_orderstatus || ':order' || o_orderkey || ':' || o_orderkey) AS id FROM orders")
@@ -224,12 +224,12 @@ def node_ids(spark, d):
 
 @query("node_rows", f"WITH {sql()} SELECT id, node_type AS type, name, title, file_path AS file, line_start || '-' || line_end AS lines, signature FROM nodes")
 def node_rows(spark, d):
-    return display.node_rows(Derived(spark, d).nodes)
+    return display.node_rows(Derived(spark, d).kept().nodes)
 
 
 @query("edge_rows", f"WITH {sql()} SELECT left(source_id, 12) AS source, left(target_id, 12) AS target, edge_type FROM edges")
 def edge_rows(spark, d):
-    return display.edge_rows(Derived(spark, d).edges)
+    return display.edge_rows(Derived(spark, d).kept().edges)
 
 
 # documents as nodes
@@ -416,7 +416,7 @@ def diff_counts(spark, d):
 @query("upsert_nodes", f"""WITH {sql()}, o AS (SELECT * FROM nodes WHERE line_start % 3 <> 0), u AS (SELECT * REPLACE ('new ' || title AS title, line_end + 5 AS line_end) FROM nodes WHERE line_start % 2 = 0)
 SELECT coalesce(o.id, u.id) AS id, coalesce(o.node_type, u.node_type) AS node_type, coalesce(o.name, u.name) AS name, coalesce(u.title, o.title) AS title, coalesce(o.file_path, u.file_path) AS file_path, coalesce(o.line_start, u.line_start) AS line_start, coalesce(u.line_end, o.line_end) AS line_end, coalesce(u.signature, o.signature) AS signature, coalesce(u.keywords, o.keywords) AS keywords FROM o FULL JOIN u ON o.id = u.id""")
 def upsert_nodes(spark, d):
-    n = Derived(spark, d).nodes
+    n = Derived(spark, d).kept().nodes
     new = n.where("line_start % 2 = 0").withColumns({"title": F.concat(F.lit("new "), "title"), "line_end": F.col("line_end") + 5})
     return build.upsert_nodes(n.where("line_start % 3 <> 0"), new)
 
@@ -424,19 +424,19 @@ def upsert_nodes(spark, d):
 @query("put_nodes", f"""WITH {sql()}, o AS (SELECT * FROM nodes WHERE line_start % 3 <> 0), u AS (SELECT * REPLACE ('new ' || title AS title) FROM nodes WHERE line_start % 2 = 0)
 SELECT * FROM o UNION ALL SELECT * FROM u WHERE id NOT IN (SELECT id FROM o)""")
 def put_nodes(spark, d):
-    n = Derived(spark, d).nodes
+    n = Derived(spark, d).kept().nodes
     return build.put_nodes(n.where("line_start % 3 <> 0"), n.where("line_start % 2 = 0").withColumn("title", F.concat(F.lit("new "), "title")))
 
 
 @query("upsert_edges", f"WITH {sql()}, b AS (SELECT * FROM edges WHERE edge_type <> 'references') SELECT * FROM b UNION SELECT * FROM (SELECT * FROM edges WHERE edge_type <> 'calls')")
 def upsert_edges(spark, d):
-    e = Derived(spark, d).edges
+    e = Derived(spark, d).kept().edges
     return build.upsert_edges(e.where("edge_type <> 'references'"), e.where("edge_type <> 'calls'"))
 
 
 @query("update_keywords", f"WITH {sql()} SELECT id, CASE WHEN node_type = 'class' THEN 'k ' || name ELSE keywords END AS keywords FROM nodes")
 def update_keywords(spark, d):
-    n = Derived(spark, d).nodes
+    n = Derived(spark, d).kept().nodes
     words = n.where("node_type = 'class'").select("id", F.concat(F.lit("k "), "name").alias("keywords")).unionByName(spark.createDataFrame([("nobody", "x")], "id string, keywords string"))
     return build.update_keywords(n, words).select("id", "keywords")
 
@@ -446,25 +446,25 @@ GONE = "gone AS (SELECT id FROM nodes WHERE file_path LIKE 'AFRICA/%/c')"
 
 @query("delete_files", f"WITH {sql()}, {GONE} SELECT edge_type, count(*) AS edges, (SELECT count(*) FROM nodes WHERE id NOT IN (SELECT id FROM gone)) AS nodes FROM edges WHERE source_id NOT IN (SELECT id FROM gone) GROUP BY edge_type")
 def delete_files(spark, d):
-    g = Derived(spark, d)
+    g = Derived(spark, d).kept()
     nodes, edges, _ = build.delete_files(g.nodes, g.edges, None, g.nodes.where(F.col("file_path").like("AFRICA/%/c")).select("file_path").distinct())
     return edges.groupBy("edge_type").agg(F.count(F.lit(1)).alias("edges")).join(nodes.agg(F.count(F.lit(1)).alias("nodes")), F.lit(True))
 
 
 @query("dangling_edges", f"WITH {sql()}, {GONE} SELECT e.*, CASE WHEN s.id IS NOT NULL AND t.id IS NOT NULL THEN 'both' WHEN s.id IS NOT NULL THEN 'source' ELSE 'target' END AS missing FROM edges e LEFT JOIN gone s ON s.id = e.source_id LEFT JOIN gone t ON t.id = e.target_id WHERE s.id IS NOT NULL OR t.id IS NOT NULL")
 def dangling_edges(spark, d):
-    g = Derived(spark, d)
+    g = Derived(spark, d).kept()
     return build.dangling_edges(g.edges, g.nodes.where(~F.col("file_path").like("AFRICA/%/c")))
 
 
 @query("valid_edges", f"WITH {sql()}, {GONE} SELECT * FROM edges WHERE source_id NOT IN (SELECT id FROM gone) AND target_id NOT IN (SELECT id FROM gone)")
 def valid_edges(spark, d):
-    g = Derived(spark, d)
+    g = Derived(spark, d).kept()
     return build.valid_edges(g.edges, g.nodes.where(~F.col("file_path").like("AFRICA/%/c")))
 
 
 def _calls_by_name(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    g = Derived(spark, d)
+    g = Derived(spark, d).kept()
     wanted = table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), (F.col("s_suppkey") % 70).alias("k"))
     names = g.parts["part"].select("name").distinct().withColumn("k", F.dense_rank().over(Window.orderBy("name")).cast("long") - 1)
     stub = wanted.join(names, "k", "left").withColumn("name", F.coalesce("name", F.concat(F.lit("made up "), F.col("k").cast("string"))))
@@ -499,7 +499,7 @@ def url_keywords(spark, d):
 @query("embed_text", f"""WITH {sql()}, c AS (SELECT e.source_id, list(DISTINCT n.name) AS names FROM edges e JOIN nodes n ON n.id = e.target_id WHERE e.edge_type IN ('calls', 'depends') AND length(n.name) > 3 GROUP BY 1)
 SELECT n.id, array_to_string(string_split(file_path, '/')[1:-2], ' ') || '  ' || title || coalesce('  ' || array_to_string(list_sort(c.names)[1:8], ' '), '') || '  x = 1 y' AS embed_text FROM nodes n LEFT JOIN c ON c.source_id = n.id WHERE n.node_type = 'method'""")
 def embed_text(spark, d):
-    g = Derived(spark, d)
+    g = Derived(spark, d).kept()
     n = g.nodes.where("node_type = 'method'").join(embed.callee_names(g.nodes, g.edges).withColumnRenamed("source_id", "id"), "id", "left")
     made = embed.embed_text(F.col("node_type"), F.col("name"), F.col("title"), F.col("file_path"), F.lit("()"), F.col("callees"), F.lit("  x = 1\n\n  y # gone\nz"))
     return n.select("id", made.alias("embed_text"))
@@ -510,7 +510,7 @@ p AS (SELECT n.id, [array_to_string(list_filter(string_split(file_path, '/')[1:-
 SELECT id, array_to_string(list_filter(parts, lambda x: x <> ''), '  ') AS embed_text FROM p""")
 def embed_text_nodes(spark, d):
     """Every node but imports, which the reference does not embed either."""
-    g = Derived(spark, d)
+    g = Derived(spark, d).kept()
     n = g.nodes.where("node_type <> 'import'").join(embed.callee_names(g.nodes, g.edges).withColumnRenamed("source_id", "id"), "id", "left")
     made = embed.embed_text(F.col("node_type"), F.col("name"), F.col("title"), F.col("file_path"), F.lit("()"), F.col("callees"), F.lit("  x = 1\n\n  y # gone\nz"))
     return n.select("id", made.alias("embed_text"))
@@ -532,13 +532,13 @@ def snippet_clean(spark, d):
 
 @query("callee_names", f"""WITH {sql()} SELECT source_id, array_to_string(list_sort(list(DISTINCT n.name))[1:8], ',') AS callees FROM edges e JOIN nodes n ON n.id = e.target_id WHERE e.edge_type IN ('calls', 'depends') AND length(n.name) > 3 GROUP BY 1""")
 def callee_names(spark, d):
-    g = Derived(spark, d)
+    g = Derived(spark, d).kept()
     return embed.callee_names(g.nodes, g.edges).withColumn("callees", F.array_join("callees", ","))
 
 
 @query("missing_embeddings", f"WITH {sql()} SELECT id FROM nodes WHERE line_start % 2 = 1")
 def missing_embeddings(spark, d):
-    n = Derived(spark, d).nodes
+    n = Derived(spark, d).kept().nodes
     return embed.missing_embeddings(n, n.where("line_start % 2 = 0").select(F.col("id").alias("node_id"))).select("id")
 
 

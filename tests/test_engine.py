@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,65 +12,49 @@ from graphloom.engine import Engine
 from graphloom.operators import embed, parse, traverse
 from graphloom.sources import files
 
-UTILS = '''"""Times."""
+CAN = '''"""Watering."""
 
-import time
 
+def depth() -> int:
+    return int(random())
 
-def get_timestamp() -> int:
-    """Now."""
-    return int(time.time())
 
-
-def format_timestamp(ts: int) -> str:
-    """As text."""
-    return str(ts)
+def water(kind: str, n: int):
+    # https://example.org/water
+    return kind, depth()
 '''
-JWT = '''"""Tokens."""
-
-from common.utils import get_timestamp
-
-
-def sign_token(payload: dict):
-    stamp = get_timestamp()
-    # https://example.org/spec
-    payload["at"] = stamp
-    return payload
-
+LOG = '''from tools.can import depth
 
-def verify_token(token: str):
-    now = get_timestamp()
 
-    return token, now
+def note(text: str):
+    return depth(), text.strip()
 '''
-SERVICE = '''"""Comments."""
+PLANTS = '''"""Plants."""
 
-from common.utils import get_timestamp, format_timestamp
+import random
 
 
-class CommentService:
-    """Keeps them."""
+class Bed:
+    """Holds plants."""
 
-    def create_comment(self, text: str, author: str):
-        return {
-            "text": text,
-            "by": author,
-            "at": format_timestamp(get_timestamp()),
-            "kind": 1,
-            "more": 2,
-        }
+    def sow(self, kind: str):
+        return water(kind, depth())
 
-    def update_comment(self, comment: dict, new_text: str):
-        comment["text"] = new_text
-        comment["at"] = format_timestamp(get_timestamp())
-        comment["n"] = 1
-        return comment
+    def clear(self):
+        return depth()
 '''
+#: Every node that the rules of the front end give for these files: type, path, name, first line.
+GOLDEN = [
+    ("module", "tools/can.py", "tools.can", 1), ("function", "tools/can.py", "depth", 4), ("function", "tools/can.py", "water", 8),
+    ("module", "tools/log.py", "tools.log", 1), ("import", "tools/log.py", "from tools.can import depth", 1), ("function", "tools/log.py", "note", 4),
+    ("module", "garden/plants.py", "garden.plants", 1), ("import", "garden/plants.py", "import random", 3), ("class", "garden/plants.py", "Bed", 6), ("method", "garden/plants.py", "sow", 9), ("method", "garden/plants.py", "clear", 12),
+    ("function", "<unresolved>", "int", 0), ("function", "<unresolved>", "random", 0), ("function", "<unresolved>", "strip", 0), ("variable", "<unresolved>", "strip", 0),
+]
 
 
 @pytest.fixture()
 def tree(tmp_path):
-    for name, text in {"common/utils.py": UTILS, "auth/jwt.py": JWT, "comments/service.py": SERVICE, ".hidden/x.py": "a = 1", "build/y.py": "b = 1", "notes.txt": "no"}.items():
+    for name, text in {"tools/can.py": CAN, "tools/log.py": LOG, "garden/plants.py": PLANTS, ".hidden/x.py": "a = 1", "build/y.py": "b = 1", "notes.txt": "no"}.items():
         p = tmp_path / "src" / name
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_text(text)
@@ -87,19 +72,21 @@ def node(e: Engine, name: str) -> str:
 def test_golden_graph(spark, tree):
     e, root = engine_of(spark, tree)
     snap = e.index(root)
-    assert (snap["node_count"], snap["edge_count"], snap["file_count"]) == (17, 20, 3)
-    assert snap["snapshot_hash"] == "aa3ebe60eca4fead24e1535b5599ae498e66c7c1c887e09cffe3bcbf1aef7326"
-    assert {r["edge_type"]: r["count"] for r in e.edges.groupBy("edge_type").count().collect()} == {"imports": 3, "defines": 5, "contains": 2, "calls": 9, "references": 1}
-    nodes, score = e.blast_radius(node(e, "get_timestamp"))
-    assert {r["name"]: r["depth"] for r in nodes.collect()} == {"common.utils": 1, "sign_token": 1, "verify_token": 1, "create_comment": 1, "update_comment": 1, "auth.jwt": 2, "CommentService": 2, "comments.service": 3}
+    ids = sorted(hashlib.sha256(":".join(map(str, x)).encode()).hexdigest() for x in GOLDEN)
+    assert {r["id"] for r in e.nodes.collect()} == set(ids)
+    assert (snap["node_count"], snap["edge_count"], snap["file_count"]) == (15, 17, 3)
+    assert snap["snapshot_hash"] == hashlib.sha256("|".join(ids).encode()).hexdigest()
+    assert {r["edge_type"]: r["count"] for r in e.edges.groupBy("edge_type").count().collect()} == {"imports": 2, "defines": 4, "contains": 2, "calls": 8, "references": 1}
+    nodes, score = e.blast_radius(node(e, "depth"))
+    assert {r["name"]: r["depth"] for r in nodes.collect()} == {"tools.can": 1, "sow": 1, "clear": 1, "water": 1, "note": 1, "Bed": 2, "tools.log": 2, "garden.plants": 3}
     assert (score.head()["affected_count"], score.head()["confidence"], len(score.head()["risk_reasons"])) == (8, 0.5, 4)
-    c = e.context(node(e, "CommentService"), 5, "comments")
-    assert {r["name"] for r in c.nodes.collect()} == {"create_comment", "update_comment"} and c.edges.count() == 6
-    assert {r["name"] for r in c.external.collect()} == {"get_timestamp", "format_timestamp"}
+    c = e.context(node(e, "Bed"), 5, "garden")
+    assert {r["name"] for r in c.nodes.collect()} == {"sow", "clear"} and c.edges.count() == 5
+    assert {r["name"] for r in c.external.collect()} == {"water", "depth"}
     folders = {r["folder"]: r for r in e.feature_map().collect()}
-    assert folders["<unresolved>"]["functions"] == ["int", "str", "time"] and folders["comments"]["methods_count"] == 2 and folders["auth"]["classes"] == []
-    found = e.search("get_timestamp", scope="nowhere")
-    assert {r["type"] for r in found.collect()} == {"function", "import"} and found.count() == 3
+    assert folders["<unresolved>"]["functions"] == ["int", "random", "strip"] and folders["garden"]["methods_count"] == 2 and folders["tools"]["classes"] == []
+    found = e.search("depth", scope="nowhere")
+    assert {r["type"] for r in found.collect()} == {"function", "import"} and found.count() == 2
     with pytest.raises(traverse.UnknownNode):
         e.context("none")
 
@@ -108,14 +95,15 @@ def test_incremental_equals_full(spark, tree):
     e, root = engine_of(spark, tree)
     first = e.index(root)
     assert e.index(root)["indexed_at"] == first["indexed_at"]
-    (tree / "src/common/utils.py").write_text("# moved\n" + UTILS)
-    (tree / "src/auth/jwt.py").unlink()
-    (tree / "src/auth/extra.py").write_text("from auth.base import Base\n\nLIMIT = 3\n\n\nclass Extra(Base):\n    size = 1\n\n    def run(self):\n        return verify_token(self.size)\n")
+    (tree / "src/tools/can.py").write_text("# moved\n" + CAN)
+    (tree / "src/tools/log.py").unlink()
+    (tree / "src/garden/extra.py").write_text("from garden.base import Base\n\nLIMIT = 3\n\n\nclass Extra(Base):\n    size = 1\n\n    def run(self):\n        return note(self.size)\n")
     changed = e.index(root)
     assert changed["snapshot_hash"] != first["snapshot_hash"] and changed["file_count"] == 3
     other = Engine(spark, f"file://{tree}/other")
     assert other.index(root)["snapshot_hash"] == changed["snapshot_hash"]
-    assert {tuple(r) for r in other.edges.collect()} == {tuple(r) for r in e.edges.collect()}
+    for table in ("edges", "edges_in", "postings", "lengths"):
+        assert sorted(map(str, other.store.read(table).collect())) == sorted(map(str, e.store.read(table).collect()))
     assert e.index(root, full=True)["snapshot_hash"] == changed["snapshot_hash"]
     e.store.prune()
     assert e.status()["snapshot_hash"] == changed["snapshot_hash"]
@@ -128,9 +116,9 @@ def test_two_roots_and_embeddings(spark, tree):
     e.index(root, vectors=embed.hashed_vectors)
     vectors = e.embeddings.count()
     assert vectors == e.nodes.where("node_type <> 'import'").count()
-    assert e.nodes.where("name = 'sign_token'").head()["keywords"] == "https://example.org/spec"
+    assert e.nodes.where("name = 'water'").head()["keywords"] == "https://example.org/water"
     e.index(f"file://{tree}/more")
-    assert e.nodes.where("name in ('zeta', 'sign_token')").count() == 2
+    assert e.nodes.where("name in ('zeta', 'water')").count() == 2
 
 
 def test_parser_rules():
@@ -180,7 +168,7 @@ def test_a_build_that_dies_changes_nothing(spark, tree, monkeypatch):
     e, root = engine_of(spark, tree)
     first, edges = e.index(root), {tuple(r) for r in e.edges.collect()}
     for step in ("edges", "postings", "snapshot"):
-        (tree / "src/auth/more.py").write_text(f"def more_{step}():\n    return sign_token({{}})\n")
+        (tree / "src/tools/more.py").write_text(f"def more_{step}():\n    return note({{}})\n")
         write = store.Version._write
 
         def dies(self, table, df, step=step, write=write):
@@ -228,8 +216,8 @@ def test_commands(spark, tree, capsys):
     assert "node_count" in run("status")
     row = run("search", "zeta").strip().split("\t")
     assert row[:2] == ["function", "lib.z.zeta"] and row[2] == "lib/z.py:1" and row[3] == "1.00" and len(row[4]) == 12
-    assert '"depth_reached":1' in run("context", "CommentService", "--scope", "comments")
-    lines = run("impact", "get_timestamp").strip().splitlines()
+    assert '"depth_reached":1' in run("context", "Bed", "--scope", "garden")
+    lines = run("impact", "depth").strip().splitlines()
     assert '"affected_count":8' in lines[0] and [x.split("\t")[0] for x in lines[1:]] == sorted(x.split("\t")[0] for x in lines[1:])
     assert '"folder":"lib"' in run("map")
 

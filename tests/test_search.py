@@ -10,11 +10,11 @@ from graphloom.operators import search
 from graphloom.schemas import NODES
 
 ROWS = [
-    ("1", "function", "get_timestamp", "common.utils.get_timestamp", "common/utils.py", 6, 8, "()", ""),
-    ("2", "import", "from common.utils import get_timestamp", "from common.utils import get_timestamp", "auth/jwt.py", 3, 3, "", ""),
-    ("3", "class", "CommentService", "comments.service.CommentService", "comments/service.py", 6, 22, "", ""),
-    ("4", "method", "create_comment", "comments.service.CommentService.create_comment", "comments/service.py", 9, 16, "", "urls"),
-    ("5", "module", "comments.service", "comments.service", "comments/service.py", 1, 22, "", ""),
+    ("1", "function", "get_depth", "tools.can.get_depth", "tools/can.py", 6, 8, "()", ""),
+    ("2", "import", "from tools.can import get_depth", "from tools.can import get_depth", "log/book.py", 3, 3, "", ""),
+    ("3", "class", "PlantBed", "garden.plants.PlantBed", "garden/plants.py", 6, 22, "", ""),
+    ("4", "method", "create_plant", "garden.plants.PlantBed.create_plant", "garden/plants.py", 9, 16, "", "urls"),
+    ("5", "module", "garden.plants", "garden.plants", "garden/plants.py", 1, 22, "", ""),
 ]
 
 
@@ -30,28 +30,28 @@ def ids(df) -> set[str]:
 @pytest.mark.parametrize(
     ("query", "want"),
     [
-        ("get_timestamp", {"1", "2"}), ("commentservice", {"3", "4"}), ("comment", {"4"}), ("comment*", {"3", "4", "5"}), ("service create", {"4"}), ("timestamp OR create", {"1", "2", "4"}),
-        ("service NOT create", {"3", "5"}), ('"comments service"', {"3", "4", "5"}), ("keywords:urls", {"4"}), ("title:urls", set()), ("(create OR get) comment", {"4"}), ("nothing", set()),
+        ("get_depth", {"1", "2"}), ("plantbed", {"3", "4"}), ("plant", {"4"}), ("plant*", {"3", "4", "5"}), ("plants create", {"4"}), ("depth OR create", {"1", "2", "4"}),
+        ("plants NOT create", {"3", "5"}), ('"garden plants"', {"3", "4", "5"}), ("keywords:urls", {"4"}), ("title:urls", set()), ("(create OR get) plant", {"4"}), ("nothing", set()),
     ],
 )
 def test_language(nodes, query, want):
     assert ids(search.search_nodes(nodes, query)) == want
 
 
-@pytest.mark.parametrize("bad", ["common.utils", "where is auth?", "", "x-y", "AND", "(a", "a OR", "nope:x"])
+@pytest.mark.parametrize("bad", ["tools.can", "where is it?", "", "x-y", "AND", "(a", "a OR", "nope:x"])
 def test_syntax_errors(bad):
     with pytest.raises(search.QuerySyntaxError):
         search.parse_query(bad)
 
 
 def test_fallback_in_scope(nodes):
-    assert ids(search.search_nodes(nodes, "common.utils")) == {"1", "2"}
-    assert ids(search.search_nodes(nodes, "common.utils", scope="auth")) == {"2"}
+    assert ids(search.search_nodes(nodes, "tools.can")) == {"1", "2"}
+    assert ids(search.search_nodes(nodes, "tools.can", scope="log")) == {"2"}
 
 
 def test_scope_falls_back_to_all(nodes):
-    assert ids(search.search_entry_points(nodes, "get_timestamp", scope="nowhere")) == {"1", "2"}
-    assert ids(search.search_entry_points(nodes, "get_timestamp", scope="COMMON/")) == {"1"}
+    assert ids(search.search_entry_points(nodes, "get_depth", scope="nowhere")) == {"1", "2"}
+    assert ids(search.search_entry_points(nodes, "get_depth", scope="TOOLS/")) == {"1"}
 
 
 def test_two_scopes(spark):
@@ -64,20 +64,20 @@ def test_two_scopes(spark):
 
 def test_hybrid(spark, nodes):
     vectors = spark.createDataFrame([("3", [1.0, 0.0]), ("5", [0.9, 0.1]), ("1", [0.0, 1.0]), ("gone", [1.0, 0.0]), ("2", [1.0, 0.0, 0.0])], "node_id string, vector array<double>")
-    got = [(r["id"], round(r["score"], 3)) for r in search.search_hybrid(nodes, "CommentService", vectors, [1.0, 0.0], 10).collect()]
+    got = [(r["id"], round(r["score"], 3)) for r in search.search_hybrid(nodes, "PlantBed", vectors, [1.0, 0.0], 10).collect()]
     assert {g[0] for g in got[:2]} == {"3", "4"} and got[0][1] == got[1][1] == 1.0
     assert got[2] == ("5", 0.994) and got[-1][0] == "1"
     assert search.search_hybrid(nodes, "nothing", vectors, [0.0, 0.0], 3).count() == 2  # of three tied vectors one has no node
 
 
 def test_exact_name_first(nodes):
-    found = search.search_nodes(nodes, "service")
-    assert search.exact_name_first(found, "comments.service").head()["id"] == "5"
+    found = search.search_nodes(nodes, "plants")
+    assert search.exact_name_first(found, "garden.plants").head()["id"] == "5"
 
 
 def test_postings_give_what_texts_give(spark, nodes):
     index = search.Index(search.postings(nodes), search.lengths(nodes))
-    for query in ("get_timestamp", "comment*", "service NOT create", '"comments service"', "keywords:urls", "(create OR get) comment", "nothing", "timestamp OR create", "com* service", "common.utils", "__"):
+    for query in ("get_depth", "plant*", "plants NOT create", '"garden plants"', "keywords:urls", "(create OR get) plant", "nothing", "depth OR create", "gar* plants", "tools.can", "__"):
         rows = lambda df: sorted((r["id"], round(r["rank_score"], 9)) for r in df.collect())
         assert rows(search.search_nodes(nodes, query, index=index)) == rows(search.search_nodes(nodes, query)), query
 
@@ -91,6 +91,6 @@ def test_folding(spark):
 
 def test_empty_graph(nodes):
     none = nodes.limit(0)
-    assert search.search_nodes(none, "get_timestamp").count() == 0
+    assert search.search_nodes(none, "get_depth").count() == 0
     assert search.search_entry_points(none, "x", scope="y").count() == 0
     assert search.search_nodes(none, "x", index=search.Index(search.postings(none), search.lengths(none))).count() == 0

@@ -69,8 +69,8 @@ def hashed_vectors(texts: DataFrame, dims: int = 64) -> DataFrame:
     """(node_id, text) -> (node_id, vector, dims): signed counts of token hashes, scaled to length 1. A stand-in for a model that
     needs no download; it knows words, not meanings."""
     words = texts.select("node_id", F.explode(tokens(F.col("text"))).alias("w"))
-    h = F.xxhash64("w")
-    cell = words.groupBy("node_id", F.pmod(h, F.lit(dims)).alias("k")).agg(F.sum(F.when(F.shiftright(h, 40) % 2 == 0, 1.0).otherwise(-1.0)).alias("x"))
+    bits = lambda first, n: F.conv(F.substring(F.md5("w"), first, n), 16, 10).cast("long")
+    cell = words.groupBy("node_id", F.pmod(bits(1, 8), F.lit(dims)).alias("k")).agg(F.sum(F.when(bits(9, 2) % 2 == 0, 1.0).otherwise(-1.0)).alias("x"))
     rows = texts.select("node_id").distinct().join(cell.groupBy("node_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "x"))).alias("m")), "node_id", "left")
     raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.col("m")[i.cast("bigint")], F.lit(0.0)))
     norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda s, x: s + x * x))

@@ -542,7 +542,9 @@ def missing_embeddings(spark, d):
     return embed.missing_embeddings(n, n.where("line_start % 2 = 0").select(F.col("id").alias("node_id"))).select("id")
 
 
-@query("hashed_vectors")
+@query("hashed_vectors", f"""WITH w AS (SELECT item_id, unnest({TOK.format('text')}) AS w FROM benchmark), h AS (SELECT item_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS k, CASE WHEN CAST('0x' || substr(md5(w), 9, 2) AS BIGINT) % 2 = 0 THEN 1.0 ELSE -1.0 END AS x FROM w),
+c AS (SELECT item_id, k, CAST(sum(x) AS DOUBLE) AS x FROM h GROUP BY 1, 2), n AS (SELECT item_id, sqrt(sum(x * x)) AS norm FROM c GROUP BY 1), i AS (SELECT DISTINCT item_id FROM benchmark), g AS (SELECT item_id, unnest(range(64)) AS k FROM i)
+SELECT CAST(g.item_id AS VARCHAR) AS node_id, 64 AS dims, string_agg(CAST(CAST(round(coalesce(c.x, 0) / greatest(coalesce(n.norm, 0), 1e-9) * 1000) AS INTEGER) AS VARCHAR), ',' ORDER BY g.k) AS vector FROM g LEFT JOIN c USING (item_id, k) LEFT JOIN n ON n.item_id = g.item_id GROUP BY g.item_id""")
 def hashed_vectors(spark, d):
-    return embed.hashed_vectors(table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("node_id"), "text"))
-
+    made = embed.hashed_vectors(table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("node_id"), "text"))
+    return made.withColumn("vector", F.array_join(F.transform("vector", lambda x: F.round(x.cast("double") * 1000).cast("int").cast("string")), ","))

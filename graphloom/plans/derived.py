@@ -77,7 +77,8 @@ class Derived:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, self.cyclic)
         if anew or key not in KEPT:
             lay = lambda df, by, name: written(self.spark, df.repartitionByRange(by).sortWithinPartitions(by), name)
-            edges = lay(self.edges, "source_id", "derived-edges")
+            # dealing by ranges reads its input twice, so the joins are done once before
+            edges = lay(written(self.spark, self.edges, "derived-edges"), "source_id", "derived-edges")
             KEPT[key] = lay(self.nodes, "id", "derived-nodes"), edges, lay(edges, "target_id", "derived-edges-in")
         self.nodes, self.edges, self.edges_in = KEPT[key]
         return self

@@ -48,14 +48,27 @@ def oracle_sql() -> dict[str, str]:
 # the stored graph
 
 
-@query("graph_store", f"WITH {sql()} SELECT edge_type, count(*) AS edges, count(DISTINCT source_id) AS sources, count(DISTINCT target_id) AS targets FROM edges GROUP BY edge_type")
-def graph_store(spark, d):
+def _store_sql(cyclic: bool) -> str:
+    return f"WITH {sql(cyclic)} SELECT edge_type, count(*) AS edges, count(DISTINCT source_id) AS sources, count(DISTINCT target_id) AS targets FROM edges GROUP BY edge_type"
+
+
+def _store(spark, d, cyclic: bool) -> DataFrame:
     """Writes the graph anew, by source and by target, and counts what was written."""
-    g = Derived(spark, d).kept(anew=True)
+    g = Derived(spark, d, cyclic).kept(anew=True)
     ends = [g.edges.groupBy("edge_type").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("source_id").alias("sources")), g.edges_in.groupBy("edge_type").agg(F.countDistinct("target_id").alias("targets"))]
     return ends[0].join(ends[1], "edge_type")
 
 
+@query("graph_store", _store_sql(False))
+def graph_store(spark, d):
+    return _store(spark, d, False)
+
+
+@query("graph_store_cyclic", _store_sql(True))
+def graph_store_cyclic(spark, d):
+    return _store(spark, d, True)
+
+
 # traversal
 
 

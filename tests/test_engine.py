@@ -273,3 +273,38 @@ def test_open_store(spark, tree, monkeypatch):
     assert GraphStore.open(spark, e.store.path) is GraphStore.open(spark, e.store.path)
     monkeypatch.setenv("GRAPHLOOM_STORE", e.store.path)
     assert GraphStore.open(spark).snapshot()["file_count"] == 3 and isinstance(embed.backends(), list)
+
+
+def test_clock_stream_sees_deleted_files(spark, tree):
+    import time
+
+    from graphloom.streaming.builds import watch
+
+    e, root = engine_of(spark, tree)
+    q = watch(e, root, f"file://{tree}/ticks", every="1 second")
+
+    def until(n: int) -> None:
+        end = time.time() + 120
+        while (row := e.status()) is None or row["file_count"] != n:
+            assert time.time() < end and q.isActive, q.exception()
+            time.sleep(0.5)
+
+    try:
+        until(3)
+        (tree / "src/tools/log.py").unlink()
+        until(2)
+    finally:
+        q.stop()
+    assert e.nodes.where("file_path = 'tools/log.py'").count() == 0
+
+
+def test_single_nodes(spark, tree):
+    e, root = engine_of(spark, tree)
+    e.index(root)
+    bed = node(e, "Bed")
+    assert e.store.exists(bed) and not e.store.exists("none") and e.store.get(bed)["title"] == "garden.plants.Bed"
+    with pytest.raises(KeyError):
+        e.store.get("none")
+    assert e.named("Bed") == bed and e.index([root, root])["file_count"] == 3
+    e.store.clear()
+    assert e.nodes.count() == 0 and e.status() is None and e.store.current() is not None

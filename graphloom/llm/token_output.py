@@ -9,7 +9,8 @@ without id, i64 least doc_id, Elias-Fano of the documents' ends, Elias-Fano of d
 the range's number, the shard's number in it and the ids before it in that range; the ids before a range are a sum over
 earlier ranges, of which there are no more than shuffle partitions.
 
-Null and empty texts are the end id alone. Rows that repeat stay apart, each with its place. Rows with a null doc_id come
+Null and empty texts are the end id alone. Rows that repeat stay apart, each with its place; as the order is one of id and text, rows
+that share both share a range. Rows with a null doc_id come
 last. An empty table gives no rows. Extra columns are not read.
 """
 
@@ -19,7 +20,7 @@ import os
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -63,33 +64,43 @@ class Encoder:
 
         self.own, self.p = Tokenizer.from_file(p.tokenizer), p
         self.width = 2 if self.own.get_vocab_size() <= 1 << 16 and p.end_id < 1 << 16 else 4
-        self.words: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        # of words behind a space and of others, which have none before them
+        self.words: dict[str, dict[str, bytes]] = {" ": {}, "": {"": b""}}
+        self.old: dict[str, dict[str, bytes]] = {" ": {}, "": {}}
+        self.pieces: dict[str, dict[str, bytes]] = {" ": {}, "": {}}
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         kind = "H" if self.width == 2 else "I"
         return [array(kind, e.ids).tobytes() for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        words, marks = self.words, self.MARKS
-        if len(words) > self.p.cached_words // 2:
-            self.old, self.words = words, {"": b""}  # words in use come back from the older half
-            words = self.words
-        found = list(map(self.pieces.get, pieces))
+    def _learned(self, words: Iterable[str], lead: str) -> dict[str, bytes]:
+        """The cache of words behind `lead`, with these words."""
+        known = self.words[lead]
+        if len(known) > self.p.cached_words // 2:
+            self.old[lead], known = known, {"": b""} if not lead else {}  # words in use come back from the older half
+            self.words[lead] = known
+        old = self.old[lead]
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        known.update((w, old[w]) for w in new if w in old)
+        new = [w for w in new if w not in known]
+        known.update(zip(new, self._encoded([lead + w for w in new] if lead else new), strict=True))
+        return known
+
+    def _pieces(self, pieces: list[str], lead: str) -> list[bytes]:
+        cache, marks = self.pieces[lead], self.MARKS
+        found = list(map(cache.get, pieces))
         missed = [i for i, c in enumerate(found) if c is None]
-        parts = []
-        for x in map(pieces.__getitem__, missed):
-            w = x.rstrip(marks)
-            parts.append((w, x[len(w) :]) if w and (w[1:] if w[0] == " " else w).isalpha() else (x, ""))
-        new = list(dict.fromkeys(y for part in parts for y in part if y and y not in words))
-        words.update((y, self.old[y]) for y in new if y in self.old)
-        new = [y for y in new if y not in words]
-        words.update(zip(new, self._encoded(new), strict=True))
-        for i, (w, m) in zip(missed, parts, strict=True):
-            found[i] = words[w] + words[m] if m else words[w]
-        if len(self.pieces) < self.p.cached_pieces:
-            self.pieces.update((pieces[i], found[i]) for i in missed)
+        if not missed:
+            return found
+        own = [pieces[i] for i in missed]
+        heads = [w if w.isalpha() else x for w, x in zip([x.rstrip(marks) for x in own], own, strict=True)]
+        tails = [x[len(w) :] for w, x in zip(heads, own, strict=True)]
+        ends = self._learned([m for m in tails if m], "")
+        words = self._learned(heads, lead)
+        for i, w, m in zip(missed, heads, tails, strict=True):
+            found[i] = words[w] + ends[m] if m else words[w]
+        if len(cache) < self.p.cached_pieces:
+            cache.update((pieces[i], found[i]) for i in missed)
         return found
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +116,7 @@ class Encoder:
         odd[starts] = False
         whole = np.flatnonzero(np.add.reduceat(odd, starts)) if len(starts) else starts
         texts = [column[int(i)].as_py() for i in whole]
-        codes = [*self._pieces([" " + x for x in distinct]), *self._pieces(firsts), *self._encoded(texts), np.array([self.p.end_id], f"<u{self.width}").tobytes()]
+        codes = [*self._pieces(distinct, " "), *self._pieces(firsts, ""), *self._encoded(texts), np.array([self.p.end_id], f"<u{self.width}").tobytes()]
         # the order in which the codes stand: the first piece, the others, the end; or the whole text, the end
         n, k = len(column), np.diff(at)
         index[starts] = len(distinct) + np.arange(n)

@@ -3,7 +3,7 @@
 Query language: words and "phrases" side by side mean AND; OR and NOT; word* takes longer words; title:word and keywords:word
 look at one column; parentheses group. A bare word with an underscore is a phrase. What doesn't parse falls back to LIKE.
 
-A stored graph has postings (`postings`: token, id, places; `lengths`: id, tokens), sorted by token, so a query reads its own words' rows.
+A stored graph has postings (`postings`: token, id, length, places; `lengths`: id, length), sorted by token, so a query reads its own words' rows.
 Without them each text is cut into tokens once a query, and only the query's words are kept. Either way the hits are a small written
 table, from which ranks and statistics are taken.
 """
@@ -147,6 +147,10 @@ def _cut(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", F.explode(F.array(F.struct(*[tokens(F.col(c)).alias(c) for c in COLUMNS]))).alias("t")).select("id", *[F.col(f"t.{c}").alias(c) for c in COLUMNS])
 
 
+def _length() -> Column:
+    return sum((F.size(c) for c in COLUMNS[1:]), F.size(COLUMNS[0]))
+
+
 def _hits(keep: Callable[[Column], Column]) -> Column:
     def of(k: int) -> Column:
         placed = F.transform(COLUMNS[k], lambda w, i: F.struct(F.lit(k).alias("c"), w.alias("w"), i.alias("i")))
@@ -156,15 +160,15 @@ def _hits(keep: Callable[[Column], Column]) -> Column:
 
 
 def postings(nodes: DataFrame) -> DataFrame:
-    """token, id, then the places of the token in each column, ascending."""
-    rows = _cut(nodes).select("id", F.inline(_hits(lambda w: F.lit(True))))
+    """token, id, length of the node in tokens, then the places of the token in each column, ascending."""
+    rows = _cut(nodes).select("id", _length().alias("length"), F.inline(_hits(lambda w: F.lit(True))))
     places = [F.array_sort(F.collect_list(F.when(F.col("c") == k, F.col("i")))).alias(c) for k, c in enumerate(COLUMNS)]
-    return rows.groupBy(F.col("w").alias("token"), "id").agg(*places)
+    return rows.groupBy(F.col("w").alias("token"), "id", "length").agg(*places)
 
 
 def lengths(nodes: DataFrame) -> DataFrame:
     """id, length: number of tokens of each node."""
-    return _cut(nodes).select("id", sum((F.size(c) for c in COLUMNS[1:]), F.size(COLUMNS[0])).alias("length"))
+    return _cut(nodes).select("id", _length().alias("length"))
 
 
 @dataclass
@@ -184,8 +188,7 @@ class Index:
         def of(k: int) -> Column:
             return F.transform(COLUMNS[k], lambda i: F.struct(F.lit(k).alias("c"), F.col("token").alias("w"), i.alias("i")))
 
-        grouped = found.groupBy("id").agg(F.flatten(F.collect_list(F.concat(*map(of, range(len(COLUMNS)))))).alias("hits"))
-        return grouped.join(self.lengths, "id")
+        return found.groupBy("id", "length").agg(F.flatten(F.collect_list(F.concat(*map(of, range(len(COLUMNS)))))).alias("hits"))
 
     def totals(self) -> DataFrame:
         return self.lengths.agg(F.count(F.lit(1)).alias("_n"), F.avg("length").alias("_avg"))
@@ -204,7 +207,7 @@ def _counted(nodes: DataFrame, wanted: list[Phrase], index: Index | None) -> tup
 
     counts = [phrase_count(F.col("hits"), ph.words, ph.prefix, None if ph.column is None else COLUMNS.index(ph.column)) if ph.words else F.lit(0) for ph in wanted]
     if index is None:
-        found = _cut(nodes).select("id", sum((F.size(c) for c in COLUMNS[1:]), F.size(COLUMNS[0])).alias("length"), _hits(keep).alias("hits"))
+        found = _cut(nodes).select("id", _length().alias("length"), _hits(keep).alias("hits"))
     else:
         found = index.hits(words)
     counted = found.select("id", F.col("length").cast("double").alias("_dl"), *[c.cast("double").alias(f"_f{k}") for k, c in enumerate(counts)])

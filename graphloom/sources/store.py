@@ -30,7 +30,7 @@ TABLES = {
     "embeddings": schemas.EMBEDDINGS,
     "manifest": schemas.MANIFEST + ", root string",
     "snapshot": schemas.SNAPSHOT,
-    "postings": "token string, id string, title array<int>, keywords array<int>",
+    "postings": "token string, id string, length int, title array<int>, keywords array<int>",
     "lengths": "id string, length int",
     "meta": "key string, value string",
 }

@@ -82,6 +82,23 @@ def numbers(df: DataFrame) -> dict[str, np.ndarray]:
     return {c: table[c].to_numpy() for c in table.column_names}
 
 
+#: Bits of a sieve, at least and at most: 128 KB to 16 MB for all executors.
+SIEVE = (1 << 20, 1 << 27)
+
+
+def sieve_bits(n: int) -> int:
+    """Bits of a sieve for n entries: 16 each, a power of two. Beyond `SIEVE` it lets more through that is not in it, and loses nothing."""
+    return min(SIEVE[1], max(SIEVE[0], 1 << max(0, 16 * n - 1).bit_length()))
+
+
+def sieve(places: DataFrame, size: int) -> np.ndarray:
+    """Bytes in which the bits of all places (column k, under `size`) are set; no more rows than size / 64 come to the driver."""
+    ones = numbers(places.groupBy(F.floor(F.col("k") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k % 64 as int))")).alias("x")))
+    words = np.zeros(size // 64, "<i8")
+    words[ones["w"]] = ones["x"]
+    return words.view(np.uint8)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

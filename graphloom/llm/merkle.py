@@ -15,7 +15,8 @@ The query pairs each document with the next one by doc_id. Documents are cut int
 rows, each bucket is read in order in one task, and the last document of a bucket meets the first of the next bucket in a
 small join. Only the text of two documents a bucket moves twice. Rows with a null doc_id come last, by a hash of their text.
 
-Null and empty texts have no leaf, all the same fingerprint, and likeness 1 to each other. Repeated rows follow each other. A
+Null and empty texts have no leaf, all the same fingerprint, and likeness 1 to each other. Repeated rows follow each other; rows that
+share an id share a bucket. A
 single row is its own next document. An empty table gives no rows. Extra columns are not read.
 """
 

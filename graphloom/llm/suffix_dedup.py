@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.bytewords import BYTE_VALUE, PIECE, powers
-from graphloom.llm.common import bounded_batches, in_pieces, mixed, numbers, partitions, runs, task, utf8, written
+from graphloom.llm.common import bounded_batches, in_pieces, mixed, partitions, runs, sieve, sieve_bits, task, utf8, written
 
 GRAM = 32
 LAST = (1 << 63) - 1
@@ -52,7 +52,6 @@ class Params:
     flush_bytes: int = 16 << 20  # text of a task between two sortings
     local_phrases: int = 64  # different phrases of a gram in one flush, beyond which it is settled by strings
     phrases: int = 4096  # the same in all
-    sieve_bits: int = 1 << 23
     sorted_bytes: int = 1 << 20  # of phrases whose suffixes are sorted at once, if no trigger has more
 
 
@@ -77,16 +76,18 @@ def digests(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray
 def suffix_ranks(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     """Ranks of the strings data[i:i + length] for i in `at`, by their bytes: equal strings have equal ranks, smaller ones smaller ranks.
 
-    Ranks of 1, 2, 4, ... bytes are worked out for all suffixes, each from two of half as many; suffixes that end early come first.
+    All suffixes are sorted by eight bytes, then by 16, 32 and so on, each time from two ranks of half as many. What a suffix lacks behind
+    the end of the data counts as zeros; no string of `at` reaches there.
     """
     n = len(data)
-    rank, width = data.astype(np.int64) + 1, 1
+    key = np.ndarray((n,), ">u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,)).astype(np.uint64)
+    rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
+    width = 8
     while width < length:
         step = min(width, length - width)  # the last step overlaps
         behind = np.zeros(n, np.int64)
-        behind[: n - step] = rank[step:]
-        key = rank * (int(rank.max(initial=0)) + 1) + behind
-        rank = np.unique(key, return_inverse=True)[1].astype(np.int64) + 1
+        behind[: max(n - step, 0)] = rank[step:]
+        rank = np.unique(rank * (int(rank.max(initial=0)) + 1) + behind, return_inverse=True)[1].astype(np.int64)
         width += step
     return rank[at]
 
@@ -263,24 +264,22 @@ def marks(spark: SparkSession, keyed: DataFrame, keys: np.ndarray, p: Params) ->
 
 
 def _with_marks(spark: SparkSession, keyed: DataFrame, found: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
-    """Texts with their marks (array of lo, hi, at, kind), and the other texts. A bit sieve of fixed size, filled from all marks,
-    keeps most texts without marks from being moved."""
-    size = p.sieve_bits
-    bit = F.pmod(F.xxhash64("doc", "tag"), F.lit(size))
-    ones = found.select(bit.alias("k")).groupBy(F.floor(F.col("k") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k % 64 as int))")).alias("x"))
-    words, ones = np.zeros(size // 64, np.int64), numbers(ones)
-    words[ones["w"]] = ones["x"]
-    sieve = words.tobytes()
-    del words, ones
+    """Texts with their marks (array of lo, hi, at, kind), and the other texts. A bit sieve, filled from all marks, keeps most texts
+    without marks from being moved."""
+    marked = found.select("doc", "tag").distinct()
+    size = sieve_bits(marked.count())
+    place = F.pmod(F.xxhash64("doc", "tag"), F.lit(size))
+    bits = sieve(marked.select(place.alias("k")), size).tobytes()
 
     @task("suffix_dedup")
     def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(sieve, np.uint8), bitorder="little")
+        own = np.frombuffer(bits, np.uint8)
         for b in batches:
-            yield b.set_column(b.schema.get_field_index("maybe"), "maybe", pa.array(bits[b.column(b.schema.get_field_index("maybe")).to_numpy()].astype(np.int64)))
+            at = b.column(b.schema.get_field_index("maybe")).to_numpy()
+            yield b.set_column(b.schema.get_field_index("maybe"), "maybe", pa.array(((own[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(np.int64)))
 
     kind = dict(keyed.dtypes)["doc_id"]
-    seen = keyed.withColumn("maybe", bit).mapInArrow(through, f"doc_id {kind}, doc long, tag long, text string, maybe long")
+    seen = keyed.withColumn("maybe", place).mapInArrow(through, f"doc_id {kind}, doc long, tag long, text string, maybe long")
     per = found.groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "hi", "at", "kind")).alias("marks"))
     joined = seen.where("maybe = 1").join(per.hint("merge"), ["doc", "tag"], "left")
     return joined, seen.where("maybe = 0")

@@ -15,6 +15,7 @@ labelled rows, gives `und` throughout. Extra columns are not read.
 from __future__ import annotations
 
 import pickle
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -218,7 +219,11 @@ def fit(docs: DataFrame, p: Params = Params()) -> Model:
 
     @task("language_id")
     def learn(batches):
-        rows = sorted({x for b in batches for x in zip(b.column(2).to_pylist(), b.column(1).to_pylist(), b.column(0).to_pylist(), strict=True)})
+        rows, seen = [], Counter()
+        for x in sorted({x for b in batches for x in zip(b.column(2).to_pylist(), b.column(1).to_pylist(), b.column(0).to_pylist(), strict=True)}):
+            seen[x[1]] += 1
+            if seen[x[1]] <= p.sample_per_language:
+                rows.append(x)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([r[2] for r in rows], [r[1] for r in rows], p))], pa.binary())], names=["model"])
 
     sample = known.where(F.col("at") < upto[F.col("lang")]).repartition(1)

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.bytewords import shingle_sets
-from graphloom.llm.common import bounded_batches, fresh, in_pieces, numbers, partitions, task, trim, written
+from graphloom.llm.common import bounded_batches, fresh, in_pieces, numbers, partitions, sieve, sieve_bits, task, trim, written
 from graphloom.llm.components import components
 
 
@@ -49,7 +49,6 @@ class Params:
     local_least: int = 4  # a task reports shingles that so many of its classes hold
     local_share: float = 0.0005
     most_long: int = 1 << 18
-    sieve_bits: int = 1 << 23
 
 
 LEAST_BITS = 1024  # of the parity sketch
@@ -247,26 +246,22 @@ def _close(p: Params, x: str, y: str, n: Column, m: Column) -> Column:
     return (F.greatest(F.size(x), F.size(y)) <= 2 * k) & (odd <= n + m - 2 * least_overlap(p, n + m))
 
 
-def _sets(spark: SparkSession, docs: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
-    """Written (class, shingles as bytes) of wanted classes (class, least doc_id), without moving a text. A bit sieve of fixed
-    size, filled from all wanted classes, lets their first documents through, and few others, which do no harm."""
-    size = p.sieve_bits
+def _sets(spark: SparkSession, docs: DataFrame, wanted: DataFrame, n: int, p: Params) -> DataFrame:
+    """Written (class, shingles as bytes) of wanted classes (class, least doc_id), n at most, without moving a text. A bit sieve,
+    filled from all wanted classes, lets their first documents through, and few others, which do no harm."""
+    size = sieve_bits(len(STEPS) * n)
     places = [F.pmod(F.pmod("class", F.lit(size)) + k * F.pmod(F.coalesce("least", F.lit(0)), F.lit(size)), F.lit(size)) for k in STEPS]
-    ones = wanted.select(F.explode(F.array(*places)).alias("k")).groupBy(F.floor(F.col("k") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k % 64 as int))")).alias("x"))
-    words, ones = np.zeros(size // 64, np.int64), numbers(ones)
-    words[ones["w"]] = ones["x"]
-    sieve = words.tobytes()
-    del words, ones
+    bits = sieve(wanted.select(F.explode(F.array(*places)).alias("k")), size).tobytes()
 
     @task("near_duplicates")
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = np.unpackbits(np.frombuffer(sieve, np.uint8), bitorder="little"), set()
+        seen: set[int] = set()
         for b in batches:
             cls, data = [], []
             for i, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1), p.words), strict=True):
                 if len(s):
                     c = class_of(s)
-                    if c not in seen and all(bits[(c % size + k * ((i or 0) % size)) % size] for k in STEPS):
+                    if c not in seen and all(bits[(at := (c % size + k * ((i or 0) % size)) % size) >> 3] >> (at & 7) & 1 for k in STEPS):
                         seen.add(c)
                         cls.append(c)
                         data.append(s.tobytes())
@@ -335,15 +330,15 @@ def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, by_class:
 
     pairs = written(spark, pairs.select("a", "b"), "shingle-to-count")
     needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(by_class.select("class", "least"), "class")
-    sets = _sets(spark, docs, needed, p)
+    sets = _sets(spark, docs, needed, 2 * pairs.count(), p)
     left = sets.select(F.col("class").alias("a"), F.col("data").alias("x"))
     right = sets.select(F.col("class").alias("b"), F.col("data").alias("y"))
     # the join by a comes last, so where it is one by sorting, a query's candidates come side by side
     return written(spark, pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(each, "a long, b long"), "shingle-links")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs."""
+def _lists(spark: SparkSession, docs: DataFrame, p: Params) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written: a row for each document (doc_id, n, class, parity), one for each class (class, n, parity, least doc_id), and lists()."""
     found = classes(spark, docs, p)
     rows = found.where("kind = 0").drop("kind")
     top = numbers(found.where("kind = 1").groupBy("class").agg(F.sum("n").alias("k")).orderBy(F.desc("k"), "class").limit(p.most_long))
@@ -352,9 +347,31 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: Params = Params())
     long_ = (hot[order], top["k"][order])
     del top
     trim()
-
     by_class = written(spark, rows.where("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.first("parity").alias("parity"), F.min("doc_id").alias("least")), "shingle-by-class")
-    listed = lists(spark, docs, long_, p)
+    return rows, by_class, lists(spark, docs, long_, p)
+
+
+def links(spark: SparkSession, docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame]:
+    """The join itself: every pair (a < b) of classes that reach the threshold, and the membership (doc_id, class, n_links: classes that
+    the document's own is linked with). Copies are one class, never pairs. The pairs of a group of near copies grow with its square, as
+    they are the result; near_duplicates() needs components alone and works without them."""
+    rows, by_class, listed = _lists(spark, docs, p)
+    sketch = lambda k: by_class.select(F.col("class").alias(k), F.col("parity").alias(f"p{k}"))
+    member = listed.where("kind = 1").select("shingle", F.col("a").alias("class"), "n", "pos")
+    u, v = member.alias("u"), member.alias("v")
+    un, vn = F.col("u.n"), F.col("v.n")
+    long_ = u.join(v, (F.col("u.shingle") == F.col("v.shingle")) & (F.col("u.class") < F.col("v.class")) & (100 * F.least(un, vn) >= p.percent * F.greatest(un, vn)) & _ahead(p, "u.n", "u.pos", "v.n", "v.pos"))
+    pairs = listed.where("kind = 0").select("a", "b", "n", "m").union(long_.select(F.col("u.class"), F.col("v.class"), un, vn)).distinct()
+    pairs = pairs.join(sketch("a"), "a").join(sketch("b"), "b").where(_close(p, "pa", "pb", F.col("n"), F.col("m")))
+    found = _verified(spark, docs, pairs, by_class, p)
+    many = found.select(F.explode(F.array("a", "b")).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n_links"))
+    members = rows.select("doc_id", F.when(F.col("n") > 0, F.col("class")).alias("class")).join(many, F.col("class") == F.col("k"), "left")
+    return found, members.select("doc_id", "class", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs."""
+    rows, by_class, listed = _lists(spark, docs, p)
     sketch = lambda k: by_class.select(F.col("class").alias(k), F.col("parity").alias(f"p{k}"))
 
     short = listed.where("kind = 0").groupBy("a", "b").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.count(F.lit(1)).alias("shared"))

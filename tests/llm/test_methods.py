@@ -51,6 +51,33 @@ def test_links_where_all_share_common_words(spark):
     assert got == dict(enumerate(comp)) and 1 < len(set(comp)) < len(rows)
 
 
+def test_the_join_gives_every_link(spark, small):
+    rng = random.Random(14)
+    word = lambda: f"w{rng.randrange(4000)}"
+    texts = []
+    for size in (6, 30, 120):
+        for _ in range(5):
+            base = [word() for _ in range(size)]
+            for _ in range(9):
+                t = list(base)
+                for _ in range(rng.choice([0, 1, 2])):
+                    t[rng.randrange(size)] = word()
+                texts.append(" ".join(t))
+    texts += ["", None, "one two"]
+    sets = []
+    for t in texts:
+        w = (t or "").split()
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or (frozenset([tuple(w)]) if w else frozenset()))
+    distinct = sorted({s for s in sets if s}, key=sorted)
+    want = {frozenset((x, y)) for i, x in enumerate(distinct) for y in distinct[:i] if 100 * len(x & y) >= 80 * len(x | y)}
+    found, members = near_duplicates.links(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4))
+    rows = {r["doc_id"]: r for r in members.collect()}
+    of = {r["class"]: sets[k] for k, r in rows.items() if r["class"] is not None}
+    assert len(of) == len(distinct) and len(rows) == len(texts)
+    assert {frozenset((of[r["a"]], of[r["b"]])) for r in found.collect()} == want and len(want) > 40
+    assert all(rows[k]["n_links"] == sum(s in pair for pair in want) for k, s in enumerate(sets))
+
+
 def test_suffix_ranks_equal_sorting():
     rng = np.random.default_rng(2)
     for data in (rng.integers(97, 99, 700), np.full(400, 97), np.tile(rng.integers(97, 122, 130), 6), rng.integers(0, 256, 300)):

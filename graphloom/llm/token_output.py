@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import CACHES, bounded_batches, partitions, task, written
+from graphloom.llm.common import CACHES, bounded_batches, partitions, task, utf8, written
 from graphloom.llm.elias_fano import EliasFano, encode
 
 MAGIC = b"GLTOK1"
@@ -47,6 +47,19 @@ class Params:
     batch_docs: int = 1200
 
 
+def _no_letter_first(column: pa.Array, texts: list[str]) -> np.ndarray:
+    """Which texts are empty or begin with white space; only what begins beyond ASCII is looked at one by one."""
+    if not len(column):
+        return np.zeros(0, bool)
+    data, offsets = utf8(column)
+    size = np.diff(offsets)
+    first = np.append(data, np.uint8(0))[offsets[:-1]]
+    out = (size == 0) | (first == 32) | ((first >= 9) & (first <= 13)) | ((first >= 28) & (first <= 31))
+    for i in np.flatnonzero((first >= 128) & (size > 0)).tolist():
+        out[i] = texts[i][0].isspace()
+    return out
+
+
 class Encoder:
     """The tokenizer over batches of texts, with a cache of words.
 
@@ -112,7 +125,7 @@ class Encoder:
         distinct, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(coded.indices).astype(np.int64)
         starts = at[:-1]  # pieces without a space before them
         firsts = [distinct[i] for i in index[starts].tolist()]
-        odd = np.array([not x or x[0].isspace() for x in distinct], bool)[index]
+        odd = _no_letter_first(coded.dictionary, distinct)[index]
         odd[starts] = False
         whole = np.flatnonzero(np.add.reduceat(odd, starts)) if len(starts) else starts
         texts = [column[int(i)].as_py() for i in whole]
@@ -126,7 +139,7 @@ class Encoder:
             index[at[i]], k[i] = len(distinct) + n + j, 1
         ends = np.cumsum(k)
         order = np.insert(index[keep], ends, len(codes) - 1)
-        flat, size = np.frombuffer(b"".join(codes), f"<u{self.width}"), np.array([len(c) for c in codes]) // self.width
+        flat, size = np.frombuffer(b"".join(codes), f"<u{self.width}"), np.fromiter(map(len, codes), np.int64, len(codes)) // self.width
         before, many = np.cumsum(size) - size, size[order]
         ids = flat[np.repeat(before[order] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
         return ids, np.add.reduceat(many, ends - k + np.arange(n)) if n else np.zeros(0, np.int64)

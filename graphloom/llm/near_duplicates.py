@@ -8,7 +8,8 @@ the pair needs. So documents that share a common passage and have too much else
 
 - Short lists are merged: each pair in one is a candidate once its lengths allow it.
 - Longer lists are not merged, as their pairs grow with the square. Each is first probed around one member, the one that
-  stands in most lists; once components are known, members outside of a list's largest component are probed against all of it.
+  stands in most lists; once components are known, members outside of a list's largest component are probed against all of it: `probed`
+  looks up, in the list sorted by size, those whose size allows the threshold, and goes by whole arrays. Very long lists are dealt to several tasks.
 - Candidates lose most strangers to a bound on the symmetric difference: the parities of hash buckets (1,024 bits, two bits a
   shingle in larger sets) cannot differ in more places than the sets do.
 - What is left is counted exactly on whole sets by `divide_skip`: the candidates of a class are a block with inverted lists of their
@@ -37,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.bytewords import shingle_sets
-from graphloom.llm.common import bounded_batches, fresh, in_pieces, numbers, partitions, sieve, sieve_bits, task, trim, written
+from graphloom.llm.common import bounded_batches, fresh, in_pieces, numbers, partitions, runs, sieve, sieve_bits, task, trim, written
 from graphloom.llm.components import components
 
 
@@ -53,6 +54,8 @@ class Params:
 
 LEAST_BITS = 1024  # of the parity sketch
 CELLS = 1 << 22  # of a task's counts
+BLOCK = 4096  # members of a long list that one task asks for
+ROWS, PAIRS, LONGS = 1 << 14, 1 << 18, 1 << 19  # members, pairs and words of sketches that are held at once
 MU = 0.5  # weight of a long list's probe against a merged entry
 STEPS = (7919, 104729)  # of the two bits of a document in the sieve
 ENTRY = np.dtype([("shingle", "<u8"), ("class", "<i8"), ("n", "<u4")])
@@ -246,6 +249,83 @@ def _close(p: Params, x: str, y: str, n: Column, m: Column) -> Column:
     return (F.greatest(F.size(x), F.size(y)) <= 2 * k) & (odd <= n + m - 2 * least_overlap(p, n + m))
 
 
+def in_lists(t: pa.Table, p: Params) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Classes of pairs of a list's members, one of them asking, whose sizes, places and sketches allow the threshold. Rows come by list, then size."""
+    shingle, part, cls, n, pos, c, open_, asks = (t[k].to_numpy() for k in ("shingle", "part", "class", "n", "pos", "c", "open", "asks"))
+    parity = t["parity"].combine_chunks()
+    words, at = parity.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(parity.value_lengths().to_numpy())])
+    size = np.diff(at)
+    own = np.concatenate([[0], np.cumsum((shingle[1:] != shingle[:-1]) | (part[1:] != part[:-1]))]) << 32
+    key = own | n
+    u = np.flatnonzero(asks)
+    lo = np.searchsorted(key, own[u] | -(-p.percent * n[u] // 100))
+    many = np.searchsorted(key, own[u] | np.minimum(100 * n[u] // p.percent, (1 << 32) - 1), "right") - lo
+    for first, last in runs(np.concatenate([[0], np.cumsum(many)]), PAIRS):
+        k = many[first:last]
+        i, j = np.repeat(u[first:last], k), np.repeat(lo[first:last] - np.cumsum(k) + k, k) + np.arange(k.sum())
+        both = n[i] + n[j]
+        need = _needed(p, both)
+        # of two open members each asks for the other
+        ok = (c[i] != c[j]) & (~open_[j] | (cls[i] < cls[j])) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need)
+        i, j, most = i[ok], j[ok], (both - 2 * need)[ok]
+        small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+        for w in np.unique(small).tolist():
+            some = np.flatnonzero((small == w) & (large <= 2 * w))  # as in _close
+            for s in range(0, len(some), max(1, LONGS // w)):
+                x = some[s : s + max(1, LONGS // w)]
+                odd = np.zeros(len(x), np.int64)
+                for a, b in ((0, w // 2), (w // 2, w)):
+                    bits = [_words(words, at[m], size[m] > w, a, b, w) for m in (i[x], j[x])]
+                    odd += np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
+                    x, odd = x[left := odd <= most[x]], odd[left]
+                yield cls[i[x]], cls[j[x]]
+
+
+def _words(words: np.ndarray, at: np.ndarray, folds: np.ndarray, a: int, b: int, w: int) -> np.ndarray:
+    """Words a to b of sketches of w words that begin at some places; those that fold have 2 w."""
+    place = at[:, None] + np.arange(a, b)
+    out = words[place]
+    out[folds] ^= words[place[folds] + w]
+    return out
+
+
+def probed(spark: SparkSession, members: DataFrame, p: Params) -> DataFrame:
+    """Pairs (a < b) of members of a list that lie in different components c, one of them open, and may reach the threshold. members: shingle,
+    class, n, pos, c, open, parity, size (of the list). The open ones of a list are dealt by BLOCK, each part held against all of the list."""
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("class"), parts)
+    dealt = members.select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), own.alias("own")).withColumn("asks", F.col("open") & (F.col("own") == F.col("part")))
+    dealt = dealt.select("shingle", "part", "class", "n", "pos", "c", "open", "asks", "parity").repartition(partitions(spark), "shingle", "part").sortWithinPartitions("shingle", "part", "n")
+
+    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        for a, b in in_lists(t, p):
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    @task("near_duplicates")
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows, most = 0, ROWS
+        for x in batches:
+            held.append(x)
+            rows += len(x)
+            if rows < most:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
+            shingle, part = t["shingle"].to_numpy(), t["part"].to_numpy()
+            edges = np.flatnonzero((shingle[1:] != shingle[:-1]) | (part[1:] != part[:-1]))
+            done = int(edges[-1]) + 1 if len(edges) else 0
+            if done:
+                yield from pairs(t.slice(0, done).combine_chunks())
+            held = t.slice(done).combine_chunks().to_batches()
+            rows -= done
+            most = max(ROWS, 2 * rows)  # a list is held whole
+        if rows:
+            yield from pairs(pa.Table.from_batches(held).combine_chunks())
+
+    return dealt.mapInArrow(each, "a long, b long")
+
+
 def _sets(spark: SparkSession, docs: DataFrame, wanted: DataFrame, n: int, p: Params) -> DataFrame:
     """Written (class, shingles as bytes) of wanted classes (class, least doc_id), n at most, without moving a text. A bit sieve,
     filled from all wanted classes, lets their first documents through, and few others, which do no harm."""
@@ -358,11 +438,10 @@ def links(spark: SparkSession, docs: DataFrame, p: Params = Params()) -> tuple[D
     rows, by_class, listed = _lists(spark, docs, p)
     sketch = lambda k: by_class.select(F.col("class").alias(k), F.col("parity").alias(f"p{k}"))
     member = listed.where("kind = 1").select("shingle", F.col("a").alias("class"), "n", "pos")
-    u, v = member.alias("u"), member.alias("v")
-    un, vn = F.col("u.n"), F.col("v.n")
-    long_ = u.join(v, (F.col("u.shingle") == F.col("v.shingle")) & (F.col("u.class") < F.col("v.class")) & (100 * F.least(un, vn) >= p.percent * F.greatest(un, vn)) & _ahead(p, "u.n", "u.pos", "v.n", "v.pos"))
-    pairs = listed.where("kind = 0").select("a", "b", "n", "m").union(long_.select(F.col("u.class"), F.col("v.class"), un, vn)).distinct()
-    pairs = pairs.join(sketch("a"), "a").join(sketch("b"), "b").where(_close(p, "pa", "pb", F.col("n"), F.col("m")))
+    sizes = member.groupBy("shingle").agg(F.count(F.lit(1)).alias("size"))
+    every = member.join(sizes, "shingle").join(by_class.select("class", "parity"), "class").withColumns({"c": F.col("class"), "open": F.lit(True)})
+    short = listed.where("kind = 0").select("a", "b", "n", "m").distinct().join(sketch("a"), "a").join(sketch("b"), "b").where(_close(p, "pa", "pb", F.col("n"), F.col("m")))
+    pairs = short.select("a", "b").union(probed(spark, every, p)).distinct()
     found = _verified(spark, docs, pairs, by_class, p)
     many = found.select(F.explode(F.array("a", "b")).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n_links"))
     members = rows.select("doc_id", F.when(F.col("n") > 0, F.col("class")).alias("class")).join(many, F.col("class") == F.col("k"), "left")
@@ -397,14 +476,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: Params = Params())
     rest = pairs.select("a", "b").join(comp("a"), "a", "left").join(comp("b"), "b", "left").where(own("a") != own("b")).select("a", "b")
     placed = member.join(comp("class"), "class", "left").select("shingle", "class", "n", "pos", own("class").alias("c"))
     sizes = placed.groupBy("shingle", "c").agg(F.count(F.lit(1)).alias("k"))
-    main = sizes.groupBy("shingle").agg(F.max(F.struct("k", "c")).alias("x"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("shingle", F.col("x.c").alias("main"))
+    main = sizes.groupBy("shingle").agg(F.max(F.struct("k", "c")).alias("x"), F.count(F.lit(1)).alias("parts"), F.sum("k").alias("size")).where("parts > 1").select("shingle", F.col("x.c").alias("main"), "size")
     main = written(spark, main, "shingle-main")
-    other = placed.join(main, "shingle").join(by_class.select("class", "parity"), "class")
-    other = written(spark, other, "shingle-open")
-    u, v = other.where("c <> main").alias("u"), other.alias("v")
-    un, vn = F.col("u.n"), F.col("v.n")
-    probe = u.join(v, (F.col("u.shingle") == F.col("v.shingle")) & (F.col("u.c") != F.col("v.c")) & (100 * F.least(un, vn) >= p.percent * F.greatest(un, vn)) & _ahead(p, "u.n", "u.pos", "v.n", "v.pos") & _close(p, F.col("u.parity"), F.col("v.parity"), un, vn))
-    probe = probe.select(F.least("u.class", "v.class").alias("a"), F.greatest("u.class", "v.class").alias("b"))
+    other = placed.join(main, "shingle").withColumn("open", F.col("c") != F.col("main")).join(by_class.select("class", "parity"), "class")
+    probe = probed(spark, other, p)
     rest = rest.union(probe).distinct().join(first, ["a", "b"], "left_anti")
     more = _verified(spark, docs, rest, by_class, p)
     found = components(spark, links.union(more))

@@ -75,7 +75,7 @@ def _reach(nodes: DataFrame, edges: DataFrame, node: str, max_depth: int, revers
     spark = nodes.sparkSession
     near, far = ("target_id", "source_id") if reverse else ("source_id", "target_id")
     flag = (F.lit(True) if follow is None else F.coalesce(follow, F.lit(False))).alias("goes_on")
-    visited = written(spark, get_node(nodes, node).select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("edge_type"), F.lit(True).alias("present"), F.lit(True).alias("goes_on")).limit(1), "reach")
+    visited = written(spark, get_node(nodes, node).select("id", F.lit(0).alias("depth"), F.lit(None).cast(dict(nodes.dtypes)["id"]).alias("parent"), F.lit(None).cast("string").alias("edge_type"), F.lit(True).alias("present"), F.lit(True).alias("goes_on")).limit(1), "reach")
     frontier = visited
     for d in range(1, max_depth + 1):
         ids = frontier.where("goes_on").select("id")

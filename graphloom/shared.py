@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -25,3 +26,9 @@ def written(spark: SparkSession, df: DataFrame, name: str, compression: str = "z
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def released(spark: SparkSession) -> None:
+    """Asks for the shuffle files of finished plans to be deleted now: Spark does so once its driver has collected the plans' objects."""
+    gc.collect()
+    spark._jvm.System.gc()

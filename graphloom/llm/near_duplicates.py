@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.bytewords import shingle_sets
+from graphloom.llm.bytewords import distinct, shingle_sets
 from graphloom.llm.common import bounded_batches, fresh, in_pieces, numbers, partitions, released, runs, sieve, sieve_bits, task, trim, written
 from graphloom.llm.components import components
 
@@ -56,6 +56,7 @@ LEAST_BITS = 1024  # of the parity sketch
 CELLS = 1 << 22  # of a task's counts
 BLOCK = 4096  # members of a long list that one task asks for
 ROWS, PAIRS, LONGS = 1 << 14, 1 << 18, 1 << 19  # members, pairs and words of sketches that are held at once
+ENTRIES = 1 << 19  # that a task holds before it deals them out, so that buckets, which grow with the input, don't make rows of a few each
 MU = 0.5  # weight of a long list's probe against a merged entry
 STEPS = (7919, 104729)  # of the two bits of a document in the sieve
 ENTRY = np.dtype([("shingle", "<u8"), ("class", "<i8"), ("n", "<u4")])
@@ -119,8 +120,8 @@ def classes(spark: SparkSession, docs: DataFrame, p: Params) -> DataFrame:
                 names=["kind", "doc_id", "n", "class", "parity"],
             )
             if sum(map(len, held)) > 1 << 18:
-                held = [np.unique(np.concatenate(held))]
-        v = np.unique(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+                held = [distinct(np.concatenate(held))]
+        v = distinct(np.concatenate(held)) if held else np.zeros(0, np.uint64)
         c = cells[(v >> np.uint64(30)).astype(np.int64) & (CELLS - 1)].astype(np.int64)
         often = c >= max(p.local_least, p.local_share * len(seen), 3 * total / CELLS + p.local_least)
         v, c = v[often].view(np.int64), c[often]
@@ -132,18 +133,28 @@ def classes(spark: SparkSession, docs: DataFrame, p: Params) -> DataFrame:
     return written(spark, docs.select("doc_id", "text").mapInArrow(each, schema), "shingle-classes")
 
 
-def lists(spark: SparkSession, docs: DataFrame, long_: tuple[np.ndarray, np.ndarray], p: Params) -> DataFrame:
-    """Written rows of two kinds: a candidate pair of a short list (a < b, n of each) and a member of a long list (shingle,
-    class, n, least place of the shingle in the set's order)."""
+def _entries(spark: SparkSession, docs: DataFrame, long_: tuple[np.ndarray, np.ndarray], p: Params) -> DataFrame:
+    """What each task deals out of its classes: bucket, and either the entries of that bucket as bytes or a hot shingle's member."""
     parts = partitions(spark) * 4
     hot, often = long_
     t = p.percent
+    NAMES = ["bucket", "data", "shingle", "class", "n", "pos"]
+
+    def by_bucket(cold: list[np.ndarray]) -> pa.RecordBatch:
+        e = np.concatenate(cold)
+        to = (e["shingle"] % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        cut = np.searchsorted(to[order], np.arange(parts + 1))
+        some = np.flatnonzero(np.diff(cut))
+        e, m = e[order], len(some)
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([e[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary()), *(pa.nulls(m, pa.int64()) for _ in range(4))], names=NAMES)
 
     @task("near_duplicates")
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        cold: list[np.ndarray] = []
+        held = 0
         for b in batches:
-            cold: list[np.ndarray] = []
             rows: tuple[list, list, list, list] = ([], [], [], [])
             for s in shingle_sets(b.column(0), p.words):
                 if not len(s) or (c := class_of(s)) in seen:
@@ -158,6 +169,7 @@ def lists(spark: SparkSession, docs: DataFrame, long_: tuple[np.ndarray, np.ndar
                 e["shingle"], e["class"], e["n"] = first, c, len(s)
                 e["n"][: len(s) - int(_needed(p, 2 * len(s))) + 1] |= EARLY
                 cold.append(e)
+                held += len(e)
                 if take > len(first):
                     counts = often[at[is_hot]]
                     order = np.lexsort((rest, counts))[: take - len(first)]
@@ -169,25 +181,30 @@ def lists(spark: SparkSession, docs: DataFrame, long_: tuple[np.ndarray, np.ndar
                 # by class, so that a list's members are dealt over all tasks
                 m = len(rows[0])
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(rows[1], np.int64) % parts, pa.int32()), pa.nulls(m, pa.binary()), *(pa.array(x, k) for x, k in zip(rows, (pa.int64(),) * 4, strict=True))], names=NAMES)
-            e = np.concatenate(cold) if cold else np.empty(0, ENTRY)
-            to = (e["shingle"] % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            cut = np.searchsorted(to[order], np.arange(parts + 1))
-            some = np.flatnonzero(np.diff(cut))
-            if len(some):
-                e = e[order]
-                m = len(some)
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([e[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary()), *(pa.nulls(m, pa.int64()) for _ in range(4))], names=NAMES)
+            if held >= ENTRIES:
+                yield from in_pieces(by_bucket(cold), 1_000)
+                cold, held = [], 0
+        if cold:
+            yield from in_pieces(by_bucket(cold), 1_000)
 
-    NAMES = ["bucket", "data", "shingle", "class", "n", "pos"]
+    return docs.select("text").mapInArrow(emit, "bucket int, data binary, shingle long, class long, n long, pos long")
+
+
+def lists(spark: SparkSession, docs: DataFrame, long_: tuple[np.ndarray, np.ndarray], p: Params) -> DataFrame:
+    """Written rows of two kinds: a candidate pair of a short list (a < b, n of each) and a member of a long list (shingle,
+    class, n, least place of the shingle in the set's order), each once."""
 
     @task("near_duplicates")
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
+        seen: set[tuple[int, int]] = set()
         for b in batches:
             own = b.column(2).is_valid()
             if pa.compute.any(own).as_py():
                 x = b.filter(own)
+                # copies of a class that lie in other tasks told of the same places
+                at = list(zip(x.column(3).to_pylist(), x.column(5).to_pylist(), strict=True))
+                x = x.filter(pa.array([k not in seen and not seen.add(k) for k in at], pa.bool_()))
                 m = len(x)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ones(m), pa.int32()), x.column(2), x.column(3), pa.nulls(m, pa.int64()), x.column(4), pa.nulls(m, pa.int64()), x.column(5)], names=OUT)
             for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -198,7 +215,7 @@ def lists(spark: SparkSession, docs: DataFrame, long_: tuple[np.ndarray, np.ndar
                 yield from in_pieces(x)
 
     OUT = ["kind", "shingle", "a", "b", "n", "m", "pos"]
-    dealt = docs.select("text").mapInArrow(emit, "bucket int, data binary, shingle long, class long, n long, pos long").repartition(partitions(spark), "bucket")
+    dealt = _entries(spark, docs, long_, p).repartition(partitions(spark), "bucket")
     return written(spark, dealt.mapInArrow(reduce, "kind int, shingle long, a long, b long, n long, m long, pos long"), "shingle-lists")
 
 
@@ -327,16 +344,21 @@ def probed(spark: SparkSession, members: DataFrame, p: Params) -> DataFrame:
 
 
 def _sets(spark: SparkSession, docs: DataFrame, wanted: DataFrame, n: int, p: Params) -> DataFrame:
-    """Written (class, shingles as bytes) of wanted classes (class, least doc_id), n at most, without moving a text. A bit sieve,
-    filled from all wanted classes, lets their first documents through, and few others, which do no harm."""
+    """Written (class, shingles as bytes) of wanted classes (class, least doc_id), n at most, without moving a text. A bit sieve of
+    the ids of their first documents tells which texts are cut into shingles at all; another, of both, lets few others through, which do no harm."""
     size = sieve_bits(len(STEPS) * n)
-    places = [F.pmod(F.pmod("class", F.lit(size)) + k * F.pmod(F.coalesce("least", F.lit(0)), F.lit(size)), F.lit(size)) for k in STEPS]
-    bits = sieve(wanted.select(F.explode(F.array(*places)).alias("k")), size).tobytes()
+    cls, id_ = F.pmod("class", F.lit(size)), F.pmod(F.coalesce("least", F.lit(0)), F.lit(size))
+    first, bits = (sieve(wanted.select(F.explode(F.array(*k)).alias("k")), size) for k in ([id_], [F.pmod(cls + k * id_, F.lit(size)) for k in STEPS]))
+    bits = bits.tobytes()
 
     @task("near_duplicates")
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
+            at = pa.compute.fill_null(b.column(0), 0).to_numpy() % size
+            b = b.filter(pa.array((first[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+            if not len(b):
+                continue
             cls, data = [], []
             for i, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1), p.words), strict=True):
                 if len(s):

@@ -7,6 +7,7 @@ supplier references nation.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -174,6 +175,14 @@ class Derived:
     def nodes(self) -> DataFrame:
         return self.store.select(*NODE_COLUMNS)
 
+    @property
+    def nodes_once(self) -> DataFrame:
+        """The same for a query that reads them once: no table is written for it."""
+        if "nodes" in self.tables:
+            return self.nodes
+        rows = [df.select(*NODE_COLUMNS) for df in self.parts.values()]
+        return reduce(DataFrame.unionByName, rows)
+
     @property
     def numbered(self) -> DataFrame:
         """The nodes with their numbers for ids."""
